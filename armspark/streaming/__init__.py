@@ -1,0 +1 @@
+"""Left empty on purpose: every input of this library is a finite table."""
