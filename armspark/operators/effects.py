@@ -115,9 +115,8 @@ def cross_fit_residuals(
     for k in range(folds):
         others, own = encoded.where(F.col("fold") != k), encoded.where(F.col("fold") == k)
         outcome = GBTRegressor(labelCol="y", predictionCol="y_hat", **learner).fit(others)
-        arm = GBTClassifier(
-            labelCol="t", predictionCol="t_class", probabilityCol="t_prob", **learner
-        ).fit(others)
+        arm = GBTClassifier(labelCol="t", predictionCol="t_class", **learner)
+        arm = arm.setProbabilityCol("t_prob").fit(others)
         parts.append(arm.transform(outcome.transform(own)))
     together = parts[0]
     for part in parts[1:]:
