@@ -16,7 +16,7 @@ from ..functions.columns import (
     ratio,
     revert_label,
 )
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..spec import ExperimentSpec, require_columns
 from .encoding import feature_stages
 
@@ -120,32 +120,6 @@ def score_class_transformation(model: PipelineModel, df: DataFrame, output: str)
     return scored.select(*df.columns, centred_score(F.col("__p")).alias(output))
 
 
-def cell_scores(
-    train: DataFrame,
-    test: DataFrame,
-    spec: ExperimentSpec,
-    target: str,
-    cell: Sequence[str],
-    score: Column,
-    sums: dict[str, Column],
-    output: str,
-) -> DataFrame:
-    """Score test rows by a formula over sums within their cell of the training rows.
-
-    The saturated learner: as exact as the cells are fine, and checkable in plain SQL. A cell
-    without a score (unseen, or an arm is empty in it) falls back to the whole training table. The cell table
-    grows with the number of distinct cells, so it carries no broadcast hint.
-    """
-    by_cell = train.groupBy(*cell).agg(*[c.alias(n) for n, c in sums.items()])
-    by_cell = by_cell.select(*cell, score.alias("__cell_score"))
-    overall = train.agg(*[c.alias(n) for n, c in sums.items()]).select(score.alias("__all_score"))
-    return (
-        test.join(by_cell, list(cell), "left")
-        .join(F.broadcast(overall))  # one row
-        .select(*test.columns, F.coalesce("__cell_score", "__all_score").alias(output))
-    )
-
-
 def _cell_sums(spec: ExperimentSpec, target: str) -> dict[str, Column]:
     t, y = F.col(spec.treatment), F.col(target)
     return {
@@ -157,20 +131,46 @@ def _cell_sums(spec: ExperimentSpec, target: str) -> dict[str, Column]:
     }
 
 
-def cell_response(train, test, spec: ExperimentSpec, target: str, cell: Sequence[str], output: str) -> DataFrame:
-    return cell_scores(
-        train, test, spec, target, cell, ratio(F.col("y"), F.col("n")), _cell_sums(spec, target), output
-    )
+def cell_formulas() -> dict[str, Column]:
+    """Scores of a cell from its sums: outcome rate, difference of arm rates, 2p-1 of agreement."""
+    n, nt, y, yt, z = (F.col(c) for c in ("n", "nt", "y", "yt", "z"))
+    return {
+        "response": ratio(y, n),
+        "two_model": ratio(yt, nt) - ratio(y - yt, n - nt),
+        "class_transform": centred_score(ratio(z, n)),
+    }
 
 
-def cell_two_model(train, test, spec: ExperimentSpec, target: str, cell: Sequence[str], output: str) -> DataFrame:
-    treated = ratio(F.col("yt"), F.col("nt"))
-    control = ratio(F.col("y") - F.col("yt"), F.col("n") - F.col("nt"))
-    return cell_scores(
-        train, test, spec, target, cell, treated - control, _cell_sums(spec, target), output
-    )
+def cell_scores(
+    train: DataFrame,
+    test: DataFrame,
+    spec: ExperimentSpec,
+    target: str,
+    cell: Sequence[str],
+    outputs: dict[str, str],
+) -> DataFrame:
+    """Score test rows by formulas over sums within their cell of the training rows.
 
+    The saturated form of the response, two-model and class-transformation learners: as exact as
+    the cells are fine, and checkable in plain SQL. ``outputs`` names a formula per new column; all
+    share one aggregate. A cell without a score (unseen, or an arm is empty in it) takes the score
+    of the whole training table.
 
-def cell_class_transform(train, test, spec: ExperimentSpec, target: str, cell: Sequence[str], output: str) -> DataFrame:
-    score = centred_score(ratio(F.col("z"), F.col("n")))
-    return cell_scores(train, test, spec, target, cell, score, _cell_sums(spec, target), output)
+    The cell table is stored, so the join sees its true size: Spark broadcasts it while it is
+    small, which spares the test rows a shuffle on a few hot cells, and otherwise shuffles with
+    the adaptive skew join.
+    """
+    require_columns(train, (spec.treatment, target, *cell))
+    formulas = cell_formulas()
+    sums = _cell_sums(spec, target)
+    by_cell = train.groupBy(*cell).agg(*[c.alias(v) for v, c in sums.items()])
+    by_cell = materialize(by_cell, "cells")
+    scored = by_cell.select(*cell, *[formulas[f].alias(f"__{o}") for o, f in outputs.items()])
+    overall = by_cell.agg(*[F.sum(v).alias(v) for v in sums]).select(
+        *[formulas[f].alias(f"__all_{o}") for o, f in outputs.items()]
+    )
+    return (
+        test.join(scored, list(cell), "left")
+        .join(F.broadcast(overall))  # one row
+        .select(*test.columns, *[F.coalesce(f"__{o}", f"__all_{o}").alias(o) for o in outputs])
+    )

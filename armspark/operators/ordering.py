@@ -17,6 +17,7 @@ positions adds the total of the preceding cells to a window *inside* the cell.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -38,7 +39,10 @@ LIGHT = -1
 
 @dataclass(frozen=True)
 class Scores:
-    """Long score rows (m, model, score, bin, sub, key, ...) and what the bins were built from."""
+    """Long score rows (m, score, bin, sub, key, ...); ``m`` is the position in ``models``.
+
+    ``n`` is the number of units, the same for every model. ``max_cells`` bounds the cell tables.
+    """
 
     rows: DataFrame
     models: tuple[str, ...]
@@ -108,13 +112,12 @@ def long_scores(
     )
     sub = F.col("__sub")
     structs = []
-    for i, model in enumerate(models):
+    for i, _ in enumerate(models):
         bin_ = F.col(f"__b{i}")
         heavy = bin_.isin(isolated[i]) if isolated[i] else F.lit(False)
         structs.append(
             F.struct(
                 F.lit(i).alias("m"),
-                F.lit(model).alias("model"),
                 F.col(f"__s{i}").alias("score"),
                 bin_.alias("bin"),
                 F.when(heavy, sub).otherwise(LIGHT).alias("sub"),
@@ -186,30 +189,33 @@ def running_totals(scores: Scores, values: Mapping[str, Column]) -> DataFrame:
     )
 
 
-def _targets(cells: DataFrame, fractions: Sequence[float], rounding: str) -> DataFrame:
-    """The cell in which the k-th row lies, for each (model, fraction); k in double arithmetic."""
+def selected_sizes(n: int, fractions: Sequence[float], rounding: str) -> dict[float, int]:
+    """k = ceil or floor of n * fraction, in double arithmetic."""
     if rounding not in ("ceil", "floor"):
         raise ValueError(f"rounding must be ceil or floor, not {rounding!r}")
-    wanted = F.array(*[F.lit(float(f)) for f in fractions])
-    size = F.col("all_n").cast("double") * F.col("fraction")
-    k = (F.ceil(size) if rounding == "ceil" else F.floor(size)).cast("bigint")
-    return (
-        cells.select("*", F.explode(wanted).alias("fraction"))
-        .withColumn("k", k)
-        .where((F.col("before_n") < F.col("k")) & (F.col("k") <= F.col("before_n") + F.col("n")))
-    )
+    whole = math.ceil if rounding == "ceil" else math.floor
+    return {float(f): int(whole(float(n) * float(f))) for f in fractions}
 
 
-def _boundary_rows(scores: Scores, targets: DataFrame) -> DataFrame:
-    """Rows of the boundary cells, numbered from the best; one bounded cell per window group.
+def _boundary_rows(scores: Scores, cells: DataFrame, sizes: Mapping[float, int]) -> DataFrame:
+    """Rows of the cells in which a k-th row lies, numbered from the best, with the cell's totals.
 
-    ``targets`` has at most models x fractions rows, which bounds the broadcast.
+    At most models x fractions cells qualify, which bounds the broadcast; each becomes one window
+    group of bounded size. ``need`` is how many of its rows are selected.
     """
-    at = Window.partitionBy("m", "fraction").orderBy(F.col("score").desc(), F.col(scores.key))
-    return (
-        scores.rows.join(F.broadcast(targets), ["m", "bin", "sub"])
-        .withColumn("rn", F.row_number().over(at))
+    wanted = [(f, k) for f, k in sizes.items() if k > 0]
+    targets = F.array(
+        *[F.struct(F.lit(f).alias("fraction"), F.lit(k).cast("bigint").alias("k")) for f, k in wanted]
+    )
+    boundary = (
+        cells.select("*", F.inline(targets))
+        .where((F.col("before_n") < F.col("k")) & (F.col("k") <= F.col("before_n") + F.col("n")))
         .withColumn("need", F.col("k") - F.col("before_n"))
+        .drop("n")
+    )
+    at = Window.partitionBy("m", "fraction").orderBy(F.col("score").desc(), F.col(scores.key))
+    return scores.rows.join(F.broadcast(boundary), ["m", "bin", "sub"]).withColumn(
+        "rn", F.row_number().over(at)
     )
 
 
@@ -221,52 +227,58 @@ def top_fraction_sums(
 ) -> DataFrame:
     """Sums over the best k = round(n * fraction) rows of each model, for all fractions at once.
 
-    Returns (m, model, fraction, k, <value>, all_<value>). Rows better than the boundary cell are
-    only counted, never ranked or moved: two scans and two small shuffles, however large k is.
-    ``values`` are sums; a row count ``n`` is added.
+    Returns (m, model, fraction, <value>, all_<value>); the row count ``n`` is added to the sums.
+    Rows better than the boundary cell are only counted, never ranked or moved: two scans and
+    small shuffles, however large k is.
     """
     sums = {"n": F.count(F.lit(1)), **values}
-    cells = cell_totals(scores, sums, by_sub=True)
-    targets = _targets(cells, fractions, rounding)
-    keep = ["m", "bin", "sub", "fraction", "k", "before_n"]
-    inside = (
-        _boundary_rows(scores, targets.select(*keep))
-        .where(F.col("rn") <= F.col("need"))
-        .groupBy("m", "fraction")
-        .agg(*[c.alias(f"in_{v}") for v, c in sums.items()])
-    )
-    ahead = targets.select(
-        "m", "fraction", *[f"before_{v}" for v in sums], *[f"all_{v}" for v in sums]
-    )
-    # Every (model, fraction) appears, also where k = 0 leaves nothing to select.
-    grid = cells.groupBy("m").agg(*[F.first(f"all_{v}").alias(f"all_{v}") for v in sums])
-    wanted = F.array(*[F.lit(float(f)) for f in fractions])
-    grid = grid.select("*", F.explode(wanted).alias("fraction"))
-    joined = grid.join(
-        ahead.drop(*[f"all_{v}" for v in sums]), ["m", "fraction"], "left"
-    ).join(inside, ["m", "fraction"], "left")
-
-    def chosen(v: str) -> Column:
-        zero = F.lit(0)
-        return F.coalesce(F.col(f"before_{v}"), zero) + F.coalesce(F.col(f"in_{v}"), zero)
-
-    return joined.select(
-        "m",
-        model_name(scores).alias("model"),
-        "fraction",
-        *[chosen(v).alias(v) for v in sums],
-        *[f"all_{v}" for v in sums],
-    )
+    sizes = selected_sizes(scores.n, fractions, rounding)
+    cells = cell_totals(scores, {f"cell_{v}": c for v, c in sums.items()}, by_sub=True)
+    cells = cells.withColumnsRenamed({"cell_n": "n", "before_cell_n": "before_n"})
+    carried = [f"before_cell_{v}" for v in values] + [f"all_cell_{v}" for v in sums]
+    parts = []
+    if any(sizes.values()):
+        inside = (
+            _boundary_rows(scores, cells.drop(*[f"cell_{v}" for v in values]), sizes)
+            .where(F.col("rn") <= F.col("need"))
+            .groupBy("m", "fraction")
+            .agg(
+                *[c.alias(f"in_{v}") for v, c in sums.items()],
+                *[F.first(c).alias(c) for c in ("before_n", *carried)],
+            )
+        )
+        chosen = {"n": F.col("before_n") + F.col("in_n")}
+        chosen |= {v: F.col(f"before_cell_{v}") + F.col(f"in_{v}") for v in values}
+        parts.append(
+            inside.select(
+                "m",
+                "fraction",
+                *[c.alias(v) for v, c in chosen.items()],
+                *[F.col(f"all_cell_{v}").alias(f"all_{v}") for v in sums],
+            )
+        )
+    empty = [f for f, k in sizes.items() if k == 0]
+    if empty:
+        # floor(n * fraction) = 0 selects nothing, but the row still reports the whole table.
+        whole = scores.rows.groupBy("m").agg(*[c.alias(f"all_{v}") for v, c in sums.items()])
+        parts.append(
+            whole.select(
+                "m",
+                F.explode(F.array(*[F.lit(f) for f in empty])).alias("fraction"),
+                *[F.lit(0).cast("bigint").alias(v) for v in sums],
+                *[f"all_{v}" for v in sums],
+            )
+        )
+    together = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return together.select("*", model_name(scores).alias("model"))
 
 
 def cutoffs(scores: Scores, fractions: Sequence[float], rounding: str = "ceil") -> DataFrame:
     """(m, fraction, k, cut_score, cut_key): the last selected row of each (model, fraction)."""
+    sizes = selected_sizes(scores.n, fractions, rounding)
     cells = cell_totals(scores, {"n": F.count(F.lit(1))}, by_sub=True)
-    targets = _targets(cells, fractions, rounding).select(
-        "m", "bin", "sub", "fraction", "k", "before_n"
-    )
     return (
-        _boundary_rows(scores, targets)
+        _boundary_rows(scores, cells, sizes)
         .where(F.col("rn") == F.col("need"))
         .select(
             "m",
@@ -280,13 +292,16 @@ def cutoffs(scores: Scores, fractions: Sequence[float], rounding: str = "ceil")
 
 def flag_top(scores: Scores, fraction: float, rounding: str = "ceil") -> DataFrame:
     """All rows with ``in_top``. The cut-off table has one row per model, which bounds the broadcast."""
+    if not selected_sizes(scores.n, [fraction], rounding)[float(fraction)]:
+        return named_rows(scores).withColumn("in_top", F.lit(False))
     cut = cutoffs(scores, [fraction], rounding).select("m", "cut_score", "cut_key")
     above = F.col("score") > F.col("cut_score")
     tied = (F.col("score") == F.col("cut_score")) & (F.col(scores.key) <= F.col("cut_key"))
     return (
         scores.rows.join(F.broadcast(cut), "m", "left")
         .withColumn("in_top", F.coalesce(above | tied, F.lit(False)))
-        .drop("bin", "sub", "cut_score", "cut_key")
+        .withColumn("model", model_name(scores))
+        .drop("m", "bin", "sub", "cut_score", "cut_key")
     )
 
 
@@ -302,9 +317,15 @@ def global_rank(scores: Scores) -> DataFrame:
         scores.rows.withColumn("rn", F.row_number().over(inside))
         .join(before, ["m", "bin", "sub"])
         .withColumn("rank", (F.col("before_n") + F.col("rn")).cast("bigint"))
-        .drop("bin", "sub", "rn", "before_n")
+        .withColumn("model", model_name(scores))
+        .drop("m", "bin", "sub", "rn", "before_n")
     )
 
 
 def model_name(scores: Scores, index: str = "m") -> Column:
     return F.element_at(F.array(*[F.lit(name) for name in scores.models]), F.col(index) + 1)
+
+
+def named_rows(scores: Scores) -> DataFrame:
+    """The long rows with the model's name instead of its position and cell."""
+    return scores.rows.withColumn("model", model_name(scores)).drop("m", "bin", "sub")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from ..sources.tables import require_unique_keys
+from ..sources.tables import key_presence
 from ..spec import require_columns
 from .curves import arm_values
 from .ordering import Scores, global_rank, top_fraction_sums
@@ -24,11 +24,20 @@ def combine_scores(
     """
     require_columns(scores, [key])
     require_columns(baseline, [key, probability])
-    require_unique_keys(scores, key)
-    require_unique_keys(baseline, key)
-    missing = unmatched_scores(scores, baseline, key, probability).count()
-    if missing:
-        raise ValueError(f"{missing} row(s) failed to join with the baseline ranking on {key}")
+    usable = baseline.where(F.col(probability).isNotNull())
+    # One shuffle of the bare keys finds repeated and missing ones together.
+    found = (
+        key_presence((scores, baseline, usable), key)
+        .agg(
+            F.count_if((F.col("n_0") > 1) | (F.col("n_1") > 1)).alias("repeated"),
+            F.count_if((F.col("n_0") > 0) & (F.col("n_2") == 0)).alias("missing"),
+        )
+        .first()
+    )
+    if found["repeated"]:
+        raise ValueError(f"{found['repeated']} duplicate {key} value(s)")
+    if found["missing"]:
+        raise ValueError(f"{found['missing']} row(s) failed to join with the baseline ranking on {key}")
     return attach_baseline(scores, baseline, key, probability, output)
 
 

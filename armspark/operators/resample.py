@@ -33,6 +33,7 @@ from ..functions.hashing import (
     with_replicate_hash,
     with_unit_hash,
 )
+from ..session import materialize
 from .curves import qini_from_area, qini_height
 from .ordering import LIGHT, Scores, model_name
 
@@ -149,6 +150,8 @@ def bootstrap_qini(
     bins = sums.groupBy("m", "bin", "rep").agg(
         F.min("sub").alias("first_sub"), *[F.sum(s).alias(s) for s in _SUMS]
     )
+    # models x bins x replicates rows, used three times below: stored, so the draws are made once.
+    bins = materialize(bins, "resampled_bins")
     model = Window.partitionBy("m", "rep")
     ahead = model.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = bins.select(

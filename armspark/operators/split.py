@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import strat_key
 from ..functions.hashing import STREAM_SPLIT, with_unit_hash
+from ..session import materialize
 from ..spec import ExperimentSpec, require_columns
 
 MAX_STRATA = 10_000
 _HASH_BITS = 32
 _ROWS_PER_BIN = 1_000_000
+_MAX_BITS = 16
 
 
 def allocate(sizes: dict[str, int], test_size: float) -> dict[str, int]:
@@ -45,36 +47,35 @@ def stratified_split(
     Within a stratum the rows with the smallest keyed hash are the test rows. Because the hash is
     uniform, its leading bits are balanced bins: one small aggregate finds the bin holding the
     last test row, only that bin is ranked, and every row is then compared with the cut-off. Pass
-    a stored table, it is read three times.
+    a stored table, it is read three times; no pass moves more than the boundary bins.
     """
     require_columns(df, (spec.key, spec.treatment, spec.strat_outcome))
     hashed = with_unit_hash(df, spec.key, seed, STREAM_SPLIT, "__h").withColumn(
         "__stratum", strat_key(spec.treatment, spec.strat_outcome)
     )
-    counted = hashed.groupBy("__stratum").count().limit(MAX_STRATA + 1).collect()
-    if len(counted) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata: is {spec.strat_outcome} a binary outcome?")
-    sizes = {r["__stratum"]: r["count"] for r in counted}
-    if not sizes:
+    n = df.count()
+    if not n:
         raise ValueError("cannot split an empty table")
-    wanted = df.sparkSession.createDataFrame(
-        sorted(allocate(sizes, test_size).items()), "__stratum string, __k bigint"
-    )
-
-    largest = max(sizes.values())
-    bits = min(16, max(3, math.ceil(math.log2(max(1, largest / _ROWS_PER_BIN)))))
+    bits = min(_MAX_BITS, max(3, math.ceil(math.log2(max(1, n / _ROWS_PER_BIN)))))
     hash_bin = F.shiftrightunsigned("__h", _HASH_BITS - bits)
     slim = hashed.select(F.col(spec.key).alias("__key"), "__stratum", "__h", hash_bin.alias("__bin"))
+    # strata x 2^bits rows at most; stored, because sizes and cut-offs both come from it.
+    counts = slim.groupBy("__stratum", "__bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts, "strata")
+    sizes = counts.groupBy("__stratum").agg(F.sum("n").alias("n")).limit(MAX_STRATA + 1).collect()
+    if len(sizes) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata: is {spec.strat_outcome} a binary outcome?")
+    allocation = allocate({r["__stratum"]: r["n"] for r in sizes}, test_size)
+    wanted = df.sparkSession.createDataFrame(
+        sorted(allocation.items()), "__stratum string, __k bigint"
+    )
     ahead = (
         Window.partitionBy("__stratum")
         .orderBy("__bin")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # strata x 2^bits rows at most.
     boundary = (
-        slim.groupBy("__stratum", "__bin")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        counts.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
         .join(F.broadcast(wanted), "__stratum")
         .where((F.col("before") < F.col("__k")) & (F.col("__k") <= F.col("before") + F.col("n")))
         .select("__stratum", "__bin", (F.col("__k") - F.col("before")).alias("need"))

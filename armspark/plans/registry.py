@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import binarize_treatment
 from ..operators import balance, curves, effects, encoding, learners, profile, ranking, resample, split
 from ..operators import targeting as target
-from ..operators.ordering import Scores, flag_top, long_scores
+from ..operators.ordering import Scores, flag_top, long_scores, named_rows
 from ..session import materialize
 from ..sources.star import STAR_SPEC as SPEC
 from ..sources.star import experiment_table, experiment_units
@@ -78,11 +78,11 @@ def _sides(spark, folder):
 def scored(spark, folder):
     """Test units with the scores of the cell learners and one score that never ties."""
     train, test = _sides(spark, folder)
-    df = learners.cell_response(train, test, SPEC, "visit", CELL, "s_base")
-    df = learners.cell_two_model(train, df, SPEC, "visit", CELL, "s_two")
-    df = learners.cell_class_transform(train, df, SPEC, "visit", CELL, "s_class")
+    formulas = {"s_base": "response", "s_two": "two_model", "s_class": "class_transform"}
+    df = learners.cell_scores(train, test, SPEC, "visit", CELL, formulas)
     residual = effects.cell_residual_effect(train, SPEC, "visit", CELL, seed=SEED)
-    df = df.join(residual.select(*CELL, F.col("effect").alias("s_res")), list(CELL), "left")
+    residual = materialize(residual.select(*CELL, F.col("effect").alias("s_res")), "cell_effects")
+    df = df.join(residual, list(CELL), "left")
     df = df.withColumn("s_cont", F.col("history") / (1.0 + F.col("recency")))
     return materialize(df.select("unit_id", *KEEP, *MODELS.values()), "scored")
 
@@ -237,17 +237,18 @@ def arm_summary(spark, folder):
 # --- cell learners ----------------------------------------------------------------------------
 
 
-def _cell_query(learner):
+def _cell_query(formula: str):
     def run(spark, folder):
         train, test = _sides(spark, folder)
-        return learner(train, test, SPEC, "visit", CELL, "score").select("unit_id", "score")
+        df = learners.cell_scores(train, test, SPEC, "visit", CELL, {"score": formula})
+        return df.select("unit_id", "score")
 
     return run
 
 
-QUERIES["cell_response"] = _cell_query(learners.cell_response)
-QUERIES["cell_two_model"] = _cell_query(learners.cell_two_model)
-QUERIES["cell_class_transform"] = _cell_query(learners.cell_class_transform)
+QUERIES["cell_response"] = _cell_query("response")
+QUERIES["cell_two_model"] = _cell_query("two_model")
+QUERIES["cell_class_transform"] = _cell_query("class_transform")
 
 
 @query
@@ -261,7 +262,7 @@ def residual_effect(spark, folder):
 
 @query
 def score_summary(spark, folder):
-    summary = profile.score_summary(_scores(spark, folder).rows)
+    summary = profile.score_summary(named_rows(_scores(spark, folder)))
     return summary.withColumn("mean_score", F.round("mean_score", 6))
 
 

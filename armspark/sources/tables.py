@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,20 +101,25 @@ def assemble(
     features: DataFrame, outcomes: DataFrame, arms: DataFrame, spec: ExperimentSpec
 ) -> DataFrame:
     """Join features, outcomes and arm on the unit key; keys must match one to one."""
-    parts = (features, outcomes, arms)
-    for part in parts:
-        require_unique_keys(part, spec.key)
-    joined = features.join(outcomes, spec.key).join(arms, spec.key)
-    sizes = [part.count() for part in parts] + [joined.count()]
-    if len(set(sizes)) != 1:
-        raise ValueError(f"unit keys do not match one to one: {sizes[:3]} rows, {sizes[3]} joined")
-    return joined
-
-
-def require_unique_keys(df: DataFrame, key: str) -> None:
-    repeated = df.groupBy(key).count().where("count > 1").limit(1).collect()
-    if repeated:
-        raise ValueError(f"duplicate {key}: {repeated[0][0]}")
+    require_matching_keys((features, outcomes, arms), spec.key)
+    return features.join(outcomes, spec.key).join(arms, spec.key)
+
+
+def key_presence(parts: Sequence[DataFrame], key: str) -> DataFrame:
+    """(key, n_0, n_1, ...): rows per part for every key, combined before its one shuffle."""
+    tagged = [part.select(key, F.lit(i).alias("__part")) for i, part in enumerate(parts)]
+    together = reduce(DataFrame.unionByName, tagged)
+    return together.groupBy(key).agg(
+        *[F.count_if(F.col("__part") == i).alias(f"n_{i}") for i in range(len(parts))]
+    )
+
+
+def require_matching_keys(parts: Sequence[DataFrame], key: str) -> None:
+    """Every key occurs exactly once in every part; one pass over the keys alone."""
+    bad = reduce(lambda a, b: a | b, [F.col(f"n_{i}") != 1 for i in range(len(parts))])
+    example = key_presence(parts, key).where(bad).limit(1).collect()
+    if example:
+        raise ValueError(f"unit keys do not match one to one: {example[0].asDict()}")
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
