@@ -87,7 +87,9 @@ def scored(spark, folder):
     return materialize(df.select("unit_id", *KEEP, *MODELS.values()), "scored")
 
 
+@stored
 def _scores(spark, folder) -> Scores:
+    """The score rows with their bins, as one analysis builds them once for all its metrics."""
     return long_scores(scored(spark, folder), MODELS, "unit_id", KEEP)
 
 
