@@ -1,11 +1,11 @@
 """Keyed uniform numbers: a pure function of (seed, stream, unit key, replicate).
 
 ``rand(seed)`` depends on partitioning and on retries, so it can neither be replayed nor checked
-from another engine. These numbers are plain 32-bit integer arithmetic (xor, shift, multiply,
-mask), so they stay inside generated code and any SQL engine reproduces them bit for bit.
+from another engine. Here a unit gets 32 bits of an md5 over (seed, stream, key), which any engine
+with md5 reproduces, and a replicate number is mixed in with plain 32-bit integer arithmetic.
 
-A mixing round refers to its input eight times. Each round is therefore its own projection;
-Catalyst keeps such projections apart instead of multiplying the expression.
+The unit number refers to the key once and is never NULL: a filter or an inferred IS NOT NULL that
+Catalyst pushes below it therefore stays one small expression.
 """
 
 from __future__ import annotations
@@ -28,17 +28,6 @@ STREAM_FOLD = 4
 STREAM_HONEST = 5
 
 
-def mix_int(h: int) -> int:
-    h &= MASK
-    for _ in range(2):
-        h = ((h ^ (h >> 16)) * MULTIPLIER) & MASK
-    return h ^ (h >> 16)
-
-
-def seed_word(seed: int, stream: int) -> int:
-    return mix_int(mix_int(seed) ^ stream)
-
-
 def mix_column(h: Column) -> Column:
     for _ in range(2):
         h = (h.bitwiseXOR(F.shiftrightunsigned(h, 16)) * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK))
@@ -52,28 +41,16 @@ def mix_array(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(16))
 
 
-def with_unit_hash(df: DataFrame, key: str, seed: int, stream: int, out: str) -> DataFrame:
-    """Add ``out``: a uniform bigint in [0, 2^32) that depends on the unit key only."""
-    low = F.col(key).cast("bigint").bitwiseAND(F.lit(MASK))
-    high = F.shiftrightunsigned(F.col(key).cast("bigint"), 32)
-    step = f"__{out}_low"
-    return (
-        df.withColumn(step, low.bitwiseXOR(F.lit(seed_word(seed, stream))))
-        .withColumn(step, mix_column(F.col(step)).bitwiseXOR(high))
-        .withColumn(out, mix_column(F.col(step)))
-        .drop(step)
-    )
+def unit_prefix(seed: int, stream: int) -> str:
+    return f"{seed}:{stream}"
 
 
-def with_replicate_hash(df: DataFrame, unit_hash: str, replicate: str, out: str) -> DataFrame:
-    """Add ``out``: a uniform bigint per (unit hash, replicate number)."""
-    step = f"__{out}_rep"
-    return (
-        df.withColumn(step, F.col(replicate).cast("bigint"))
-        .withColumn(step, mix_column(F.col(step)).bitwiseXOR(F.col(unit_hash)))
-        .withColumn(out, mix_column(F.col(step)))
-        .drop(step)
-    )
+def unit_hash(key: str | Column, seed: int, stream: int) -> Column:
+    """A uniform bigint in [0, 2^32) that depends on the unit key only."""
+    column = F.col(key) if isinstance(key, str) else key
+    text = F.concat_ws(":", F.lit(unit_prefix(seed, stream)), column.cast("string"))
+    leading = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.coalesce(leading, F.lit(0).cast("bigint"))
 
 
 def poisson_cuts() -> tuple[int, ...]:
@@ -103,4 +80,5 @@ def poisson_matrix(unit_hash: np.ndarray, replicate_words: np.ndarray) -> np.nda
 
 
 def replicate_words(n_replicates: int) -> np.ndarray:
+    """One 32-bit word per replicate; a unit's draw mixes it with the unit number."""
     return mix_array(np.arange(n_replicates, dtype=np.uint32))

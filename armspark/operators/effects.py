@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import positive_probability, ratio
-from ..functions.hashing import STREAM_FOLD, STREAM_HONEST, with_unit_hash
+from ..functions.hashing import STREAM_FOLD, STREAM_HONEST, unit_hash
 from ..session import ensure_checkpoint_dir, materialize
 from ..spec import ExperimentSpec, require_columns
 from .encoding import fit_features
@@ -26,8 +26,7 @@ MAX_LEAVES = 200_000
 
 def with_fold(df: DataFrame, spec: ExperimentSpec, folds: int, seed: int, out: str = "fold") -> DataFrame:
     """Fold number from the unit key alone: stable, even, and independent of the arm."""
-    hashed = with_unit_hash(df, spec.key, seed, STREAM_FOLD, "__f")
-    return hashed.withColumn(out, (F.col("__f") % folds).cast("int")).drop("__f")
+    return df.withColumn(out, (unit_hash(spec.key, seed, STREAM_FOLD) % folds).cast("int"))
 
 
 def residual_effect(df: DataFrame, y_residual: str, t_residual: str, by: Sequence[str] = ()) -> DataFrame:
@@ -206,9 +205,8 @@ def train_effect_forest(
     if trees * 2**depth > MAX_LEAVES:
         raise ValueError(f"trees x 2^depth must stay within {MAX_LEAVES} leaves")
     residuals, encoder = cross_fit_residuals(train, spec, target, folds, nuisance_rounds, seed=seed)
-    halves = with_unit_hash(residuals, spec.key, seed, STREAM_HONEST, "__half")
-    half = F.col("__half") % 2
-    grow = halves.where(half == 0).select(
+    half = unit_hash(spec.key, seed, STREAM_HONEST) % 2
+    grow = residuals.where(half == 0).select(
         "features",
         (F.col("yr") / F.col("tr")).alias("__target"),
         (F.col("tr") * F.col("tr")).alias("__weight"),
@@ -223,7 +221,7 @@ def train_effect_forest(
         featureSubsetStrategy="onethird",
     ).fit(grow)
     width = 2**depth
-    located = forest.transform(halves.where(half == 1)).select(
+    located = forest.transform(residuals.where(half == 1)).select(
         "yr", "tr", F.posexplode(vector_to_array(F.col("leaf"))).alias("tree", "leaf")
     )
     leaves = (

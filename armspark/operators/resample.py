@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..functions.hashing import (
     STREAM_BOOTSTRAP,
+    mix_column,
     poisson_matrix,
     poisson_weight,
     replicate_words,
-    with_replicate_hash,
-    with_unit_hash,
+    unit_hash,
 )
 from ..session import materialize
 from .curves import qini_from_area, qini_height
@@ -48,11 +48,17 @@ _SUM_SCHEMA = "m int, bin int, sub int, rep int, n bigint, nt bigint, y bigint,
 
 def bootstrap_weights(df: DataFrame, key: str, n_replicates: int, seed: int = 42) -> DataFrame:
     """(unit, rep, weight) for weights above zero: the resamples themselves, as rows."""
-    hashed = with_unit_hash(df.select(key), key, seed, STREAM_BOOTSTRAP, "__u")
-    reps = hashed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_replicates - 1))))
+    words = [
+        F.struct(F.lit(r).alias("rep"), F.lit(int(w)).cast("bigint").alias("word"))
+        for r, w in enumerate(replicate_words(n_replicates))
+    ]
+    reps = df.select(
+        key, unit_hash(key, seed, STREAM_BOOTSTRAP).alias("u"), F.inline(F.array(*words))
+    )
+    mixed = mix_column(F.col("u").bitwiseXOR(F.col("word")))
     return (
-        with_replicate_hash(reps, "__u", "rep", "__h")
-        .select(key, "rep", poisson_weight(F.col("__h")).cast("int").alias("weight"))
+        reps.select(key, "rep", mixed.alias("h"))
+        .select(key, "rep", poisson_weight(F.col("h")).cast("int").alias("weight"))
         .where("weight > 0")
     )
 
@@ -133,12 +139,12 @@ def bootstrap_qini(
 
     NULL where the resample lacks an arm or an outcome class. ``treatment`` and ``outcome`` are 0/1.
     """
-    slim = with_unit_hash(scores.rows, scores.key, seed, STREAM_BOOTSTRAP, "u").select(
+    slim = scores.rows.select(
         "m",
         "bin",
         "sub",
         "score",
-        "u",
+        unit_hash(scores.key, seed, STREAM_BOOTSTRAP).alias("u"),
         F.col(treatment).cast("int").alias("t"),
         F.col(outcome).cast("int").alias("y"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import strat_key
-from ..functions.hashing import STREAM_SPLIT, with_unit_hash
+from ..functions.hashing import STREAM_SPLIT, unit_hash
 from ..session import materialize
 from ..spec import ExperimentSpec, require_columns
 
@@ -50,8 +50,11 @@ def stratified_split(
     a stored table, it is read three times; no pass moves more than the boundary bins.
     """
     require_columns(df, (spec.key, spec.treatment, spec.strat_outcome))
-    hashed = with_unit_hash(df, spec.key, seed, STREAM_SPLIT, "__h").withColumn(
-        "__stratum", strat_key(spec.treatment, spec.strat_outcome)
+    hashed = df.withColumns(
+        {
+            "__h": unit_hash(spec.key, seed, STREAM_SPLIT),
+            "__stratum": strat_key(spec.treatment, spec.strat_outcome),
+        }
     )
     n = df.count()
     if not n:

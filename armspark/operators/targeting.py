@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from ..functions.hashing import STREAM_RANDOM_PICK, with_unit_hash
+from ..functions.hashing import STREAM_RANDOM_PICK, unit_hash
 from .curves import arm_values
 from .ordering import Scores, flag_top, long_scores, top_fraction_sums
 
@@ -18,8 +18,7 @@ RANDOM = "Random Selection"
 
 def with_random_score(df: DataFrame, key: str, seed: int, out: str = "random_score") -> DataFrame:
     """A score whose descending order is a seeded random order (32 bits, exact as double)."""
-    hashed = with_unit_hash(df, key, seed, STREAM_RANDOM_PICK, f"__{out}")
-    return hashed.withColumn(out, -F.col(f"__{out}").cast("double")).drop(f"__{out}")
+    return df.withColumn(out, -unit_hash(key, seed, STREAM_RANDOM_PICK).cast("double"))
 
 
 def random_selection(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:

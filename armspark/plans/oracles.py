@@ -13,7 +13,7 @@ from ..functions.hashing import (
     STREAM_RANDOM_PICK,
     STREAM_SPLIT,
     poisson_cuts,
-    seed_word,
+    unit_prefix,
 )
 from .registry import (
     BUDGETS,
@@ -35,11 +35,10 @@ def _mix(h: str) -> str:
 
 
 def _unit_hash(name: str, source: str, stream: int, columns: str) -> str:
-    """CTEs ending in ``name``: ``columns`` of ``source`` plus the unit hash ``h``."""
+    """A CTE: ``columns`` of ``source`` plus the unit hash ``h``."""
+    text = f"md5('{unit_prefix(SEED, stream)}:' || unit_id)"
     return f"""
-{name}_low AS (SELECT {columns}, xor(unit_id & {MASK}, {seed_word(SEED, stream)}) AS h0 FROM {source}),
-{name}_high AS (SELECT *, xor({_mix("h0")}, (unit_id >> 32) & {MASK}) AS h1 FROM {name}_low),
-{name} AS (SELECT * EXCLUDE (h0, h1), {_mix("h1")} AS h FROM {name}_high)"""
+{name} AS (SELECT {columns}, CAST('0x' || substr({text}, 1, 8) AS BIGINT) AS h FROM {source})"""
 
 
 def _replicates(name: str, source: str, columns: str, count: int) -> str:
