@@ -18,6 +18,15 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator != 0, numerator.cast("double") / denominator.cast("double"))
 
 
+def stable_sum(value: Column, digits: int = 10) -> Column:
+    """A sum of doubles that does not depend on the order of the rows.
+
+    Each term is fixed to ``digits`` decimals first, and decimal addition is exact, so reruns and
+    other partitionings give the same bits.
+    """
+    return F.sum(value.cast(f"decimal(38,{digits})")).cast("double")
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Aggregates skip NULL but not NaN, so NaN never gets past a scan."""
     exprs = [

@@ -26,6 +26,7 @@ STREAM_RANDOM_PICK = 2
 STREAM_BOOTSTRAP = 3
 STREAM_FOLD = 4
 STREAM_HONEST = 5
+STREAM_DRAW = 6
 
 
 def mix_column(h: Column) -> Column:

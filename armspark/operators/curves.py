@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import ratio, stable_sum
 from .ordering import Scores, model_name, running_totals
 
 
@@ -91,7 +91,7 @@ def qini_coefficient(scores: Scores, treatment: str, outcome: str) -> DataFrame:
     """(model, n, curve_area, curve_end, qini_coefficient)."""
     totals = running_totals(scores, arm_values(treatment, outcome))
     areas = totals.groupBy("m").agg(
-        F.sum(slice_area()).alias("area"),
+        stable_sum(slice_area()).alias("area"),
         *[F.first(f"all_{v}").alias(f"all_{v}") for v in ("n", "nt", "y", "yt")],
     )
     return areas.select(
@@ -122,7 +122,7 @@ def roc_auc(scores: Scores, labels: Sequence[str]) -> DataFrame:
         own_pos = F.col(f"p{i}")
         own_neg = F.col("n") - own_pos
         pos_before = F.col(f"cum_p{i}") - own_pos
-        sums.append(F.sum(own_neg * (pos_before + own_pos / 2.0)).alias(f"pairs{i}"))
+        sums.append(stable_sum(own_neg * (pos_before + own_pos / 2.0), 1).alias(f"pairs{i}"))
         sums.append(F.first(f"all_p{i}").alias(f"pos{i}"))
     wide = totals.groupBy("m").agg(F.first("all_n").alias("n"), *sums)
     rows = F.array(
@@ -147,7 +147,7 @@ def average_precision(scores: Scores, label: str) -> DataFrame:
     precision = F.col("cum_p0").cast("double") / F.col("cum_n")
     return (
         totals.groupBy("m")
-        .agg(F.sum(gain * precision).alias("average_precision"))
+        .agg(stable_sum(gain * precision, 18).alias("average_precision"))
         .select(model_name(scores).alias("model"), "average_precision")
     )
 
@@ -213,9 +213,9 @@ def classifier_report(scores: Scores, label: str, threshold: float = 0.5) -> Dat
     pos, n = F.col("p0"), F.col("n")
     above = F.col("score") >= F.lit(float(threshold))
     wide = totals.groupBy("m").agg(
-        F.sum((n - pos) * (F.col("cum_p0") - pos + pos / 2.0)).alias("pairs"),
-        F.sum(
-            ratio(pos, F.col("all_p0")) * (F.col("cum_p0").cast("double") / F.col("cum_n"))
+        stable_sum((n - pos) * (F.col("cum_p0") - pos + pos / 2.0), 1).alias("pairs"),
+        stable_sum(
+            ratio(pos, F.col("all_p0")) * (F.col("cum_p0").cast("double") / F.col("cum_n")), 18
         ).alias("ap"),
         F.sum(F.when(above, pos).otherwise(0)).alias("tp"),
         F.sum(F.when(above, n).otherwise(0)).alias("chosen"),

@@ -145,15 +145,19 @@ def _bucketize(df: DataFrame, wanted: Mapping[str, tuple[str, list[float]]]) ->
     return df
 
 
-def cell_totals(scores: Scores, values: Mapping[str, Column], by_sub: bool) -> DataFrame:
+def cell_totals(
+    scores: Scores, values: Mapping[str, Column], by_sub: bool, extra: Sequence[str] = ()
+) -> DataFrame:
     """Totals per cell with ``before_*`` (all better cells of the model) and ``all_*`` (the model).
 
-    The windows run over at most one row per cell.
+    ``extra`` columns, such as a replicate number, make separate orders. The windows run over at
+    most one row per cell.
     """
-    keys = ["m", "bin", "sub"] if by_sub else ["m", "bin"]
+    own = ["m", *extra]
+    keys = [*own, "bin", "sub"] if by_sub else [*own, "bin"]
     totals = scores.rows.groupBy(*keys).agg(*[c.alias(name) for name, c in values.items()])
     order = [F.col("bin").desc(), *([F.col("sub")] if by_sub else [])]
-    model = Window.partitionBy("m")
+    model = Window.partitionBy(*own)
     ahead = model.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
         *keys,
@@ -163,25 +167,27 @@ def cell_totals(scores: Scores, values: Mapping[str, Column], by_sub: bool) -> D
     )
 
 
-def running_totals(scores: Scores, values: Mapping[str, Column]) -> DataFrame:
+def running_totals(
+    scores: Scores, values: Mapping[str, Column], extra: Sequence[str] = ()
+) -> DataFrame:
     """One row per (model, distinct score): own sums and ``cum_*`` totals down to that score.
 
     Ties collapse before the first shuffle. The offset table has one row per (model, bin), at
     most ``max_cells``, and joins on the keys the window has already partitioned by.
     """
-    groups = scores.rows.groupBy("m", "bin", "score").agg(*[c.alias(v) for v, c in values.items()])
+    keys = ["m", *extra, "bin"]
+    groups = scores.rows.groupBy(*keys, "score").agg(*[c.alias(v) for v, c in values.items()])
     inside = (
-        Window.partitionBy("m", "bin")
+        Window.partitionBy(*keys)
         .orderBy(F.col("score").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = groups.select("*", *[F.sum(v).over(inside).alias(f"in_{v}") for v in values])
-    offsets = cell_totals(scores, values, by_sub=False).select(
-        "m", "bin", *[f"before_{v}" for v in values], *[f"all_{v}" for v in values]
+    offsets = cell_totals(scores, values, by_sub=False, extra=extra).select(
+        *keys, *[f"before_{v}" for v in values], *[f"all_{v}" for v in values]
     )
-    return local.join(offsets, ["m", "bin"]).select(
-        "m",
-        "bin",
+    return local.join(offsets, keys).select(
+        *keys,
         "score",
         *values,
         *[(F.col(f"before_{v}") + F.col(f"in_{v}")).alias(f"cum_{v}") for v in values],

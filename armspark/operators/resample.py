@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from ..functions.columns import stable_sum
 from ..functions.hashing import (
     STREAM_BOOTSTRAP,
+    STREAM_DRAW,
     mix_column,
     poisson_matrix,
     poisson_weight,
@@ -34,14 +37,15 @@ from ..functions.hashing import (
     unit_hash,
 )
 from ..session import materialize
-from .curves import qini_from_area, qini_height
-from .ordering import LIGHT, Scores, model_name
+from .curves import qini_from_area, qini_height, slice_area
+from .ordering import LIGHT, Scores, global_rank, long_scores, model_name, running_totals
 
 # The cell functions travel with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(hashing)
 
 _BLOCK = 4096
+MAX_MULTINOMIAL = 1 << 24
 _SUMS = ("n", "nt", "y", "yt")
 _SUM_SCHEMA = "m int, bin int, sub int, rep int, n bigint, nt bigint, y bigint, yt bigint"
 
@@ -176,7 +180,7 @@ def bootstrap_qini(
     after = [F.col(f"before_{s}") + F.col(s) for s in _SUMS]
     tied_area = F.col("n") * (qini_height(*before) + qini_height(*after)) / 2.0
     tied = offsets.where(F.col("first_sub") != LIGHT).select("m", "rep", tied_area.alias("area"))
-    area = light_area.unionByName(tied).groupBy("m", "rep").agg(F.sum("area").alias("area"))
+    area = light_area.unionByName(tied).groupBy("m", "rep").agg(stable_sum(F.col("area")).alias("area"))
 
     whole = offsets.groupBy("m", "rep").agg(*[F.first(f"all_{s}").alias(s) for s in _SUMS])
     return whole.join(area, ["m", "rep"]).select(
@@ -184,6 +188,41 @@ def bootstrap_qini(
     )
 
 
+def multinomial_weights(df: DataFrame, key: str, n_replicates: int, seed: int = 42) -> DataFrame:
+    """(unit, rep, weight): exactly n draws with replacement per replicate.
+
+    The literal resample, for tables small enough that units x replicates rows are affordable; the
+    Poisson weights above need no draws table and have no such limit.
+    """
+    n = df.count()
+    if n > MAX_MULTINOMIAL:
+        raise ValueError(f"{n} units exceed {MAX_MULTINOMIAL}; use the Poisson bootstrap")
+    spark = df.sparkSession
+    draws = spark.range(n * n_replicates).select(
+        F.expr(f"cast(id div {max(n, 1)} as int)").alias("rep"),
+        F.shiftright(unit_hash("id", seed, STREAM_DRAW) * F.lit(n), 32).alias("position"),
+    )
+    drawn = draws.groupBy("rep", "position").agg(F.count(F.lit(1)).cast("int").alias("weight"))
+    # A constant score ranks the units by key alone: a dense position without a global sort.
+    flat = long_scores(df.select(key).withColumn("flat", F.lit(0.0)), {"": "flat"}, key, [])
+    place = global_rank(flat).select(key, (F.col("rank") - 1).alias("position"))
+    return drawn.join(place, "position").select(key, "rep", "weight")
+
+
+def weighted_qini(scores: Scores, weights: DataFrame, treatment: str, outcome: str) -> DataFrame:
+    """(m, rep, n, qini) for explicit (unit, rep, weight) rows, with joins and windows alone."""
+    rows = scores.rows.join(weights, scores.key)
+    w, t, y = F.col("weight").cast("bigint"), F.col(treatment), F.col(outcome)
+    values = {"n": F.sum(w), "nt": F.sum(w * t), "y": F.sum(w * y), "yt": F.sum(w * t * y)}
+    totals = running_totals(replace(scores, rows=rows), values, extra=["rep"])
+    sums = totals.groupBy("m", "rep").agg(
+        stable_sum(slice_area()).alias("area"), *[F.first(f"all_{s}").alias(s) for s in _SUMS]
+    )
+    return sums.select(
+        "m", "rep", "n", qini_from_area(F.col("area"), *[F.col(s) for s in _SUMS]).alias("qini")
+    )
+
+
 def percentile_interval(replicates: DataFrame, scores: Scores) -> DataFrame:
     """(model, ci_lower_95, ci_upper_95, n_successful_resamples) over non-NULL replicates.
 

@@ -9,6 +9,7 @@ from ..functions.hashing import (
     MASK,
     MULTIPLIER,
     STREAM_BOOTSTRAP,
+    STREAM_DRAW,
     STREAM_FOLD,
     STREAM_RANDOM_PICK,
     STREAM_SPLIT,
@@ -244,10 +245,30 @@ coefficients AS (
          {_qini("area", "an", "ant", "ay", "ayt")} AS qini_coefficient FROM areas)"""
 
 
-def _bootstrap(count: int) -> str:
+def _poisson_draws(count: int) -> str:
+    return (
+        _unit_hash("booted", "scored", STREAM_BOOTSTRAP, "unit_id").lstrip()
+        + ","
+        + _replicates("draws", "booted", "unit_id", count)
+    )
+
+
+def _multinomial_draws(count: int) -> str:
+    text = f"md5('{unit_prefix(SEED, STREAM_DRAW)}:' || id)"
+    return f"""
+population AS (SELECT count(*) AS size FROM scored),
+numbers AS (SELECT unnest(range((SELECT size * {count} FROM population))) AS id),
+positions AS (
+  SELECT id // size AS rep, (CAST('0x' || substr({text}, 1, 8) AS BIGINT) * size) >> 32 AS position
+  FROM numbers, population),
+places AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS position FROM scored),
+draws AS (
+  SELECT unit_id, rep, count(*) AS w FROM positions JOIN places USING (position) GROUP BY unit_id, rep)"""
+
+
+def _bootstrap(draws: str) -> str:
     return f"""
-{_unit_hash("booted", "scored", STREAM_BOOTSTRAP, "unit_id").lstrip()},
-{_replicates("draws", "booted", "unit_id", count).lstrip()},
+{draws.lstrip()},
 boot_groups AS (
   SELECT m, model, rep, score, sum(w) AS n, sum(w * treatment) AS nt, sum(w * visit) AS y,
          sum(w * visit * treatment) AS yt
@@ -268,7 +289,7 @@ replicates AS (
 
 
 _INTERVALS = f"""
-{_bootstrap(REPLICATES).lstrip()},
+{_bootstrap(_poisson_draws(REPLICATES)).lstrip()},
 bounds AS (
   SELECT model, quantile_cont(qini, 0.025) AS lo, quantile_cont(qini, 0.975) AS hi,
          count(qini) AS n_ok FROM replicates GROUP BY model),
@@ -664,13 +685,15 @@ SELECT * FROM thresholded JOIN ordered USING (model)""",
         "bootstrap_weights": _sql(
             _WITH_SCORES
             + ","
-            + _unit_hash("booted", "scored", STREAM_BOOTSTRAP, "unit_id")
-            + ","
-            + _replicates("draws", "booted", "unit_id", WEIGHT_REPLICATES),
+            + _poisson_draws(WEIGHT_REPLICATES),
             "SELECT unit_id, CAST(rep AS INTEGER) AS rep, CAST(w AS INTEGER) AS weight FROM draws WHERE w > 0",
         ),
         "bootstrap_replicates": _sql(
-            _WITH_LONG + "," + _bootstrap(WEIGHT_REPLICATES),
+            _WITH_LONG + "," + _bootstrap(_poisson_draws(WEIGHT_REPLICATES)),
+            "SELECT model, CAST(rep AS INTEGER) AS rep, n, round(qini, 6) AS qini FROM replicates",
+        ),
+        "bootstrap_multinomial": _sql(
+            _WITH_LONG + "," + _bootstrap(_multinomial_draws(WEIGHT_REPLICATES)),
             "SELECT model, CAST(rep AS INTEGER) AS rep, n, round(qini, 6) AS qini FROM replicates",
         ),
         "bootstrap_qini_ci": _sql(

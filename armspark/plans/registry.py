@@ -406,6 +406,17 @@ def bootstrap_replicates(spark, folder):
     return _rounded(named, "qini")
 
 
+@query
+def bootstrap_multinomial(spark, folder):
+    scores = _scores(spark, folder)
+    weights = resample.multinomial_weights(
+        scored(spark, folder), "unit_id", WEIGHT_REPLICATES, SEED
+    )
+    table = resample.weighted_qini(scores, weights, "treatment", "visit")
+    named = table.withColumn("model", curves.model_name(scores)).drop("m")
+    return _rounded(named, "qini")
+
+
 def _intervals(spark, folder) -> DataFrame:
     scores = _scores(spark, folder)
     replicates = resample.bootstrap_qini(scores, "treatment", "visit", REPLICATES, SEED)
