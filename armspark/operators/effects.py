@@ -84,6 +84,31 @@ def cell_residual_effect(
     )
 
 
+def cell_effect_scores(
+    train: DataFrame,
+    test: DataFrame,
+    spec: ExperimentSpec,
+    target: str,
+    cell: Sequence[str],
+    output: str,
+    folds: int = 2,
+    seed: int = 42,
+) -> DataFrame:
+    """Score test rows by their cell's residual effect on the training rows.
+
+    A cell without one (unseen, in a single fold, or with a constant arm) takes the population's.
+    The cell table is stored, so the join is planned on its true size.
+    """
+    by_cell = cell_residual_effect(train, spec, target, cell, folds, seed)
+    by_cell = materialize(by_cell.select(*cell, F.col("effect").alias("__cell")), "cell_effects")
+    overall = cell_residual_effect(train, spec, target, (), folds, seed)
+    return (
+        test.join(by_cell, list(cell), "left")
+        .join(F.broadcast(overall.select(F.col("effect").alias("__all"))))  # one row
+        .select(*test.columns, F.coalesce("__cell", "__all").alias(output))
+    )
+
+
 def cross_fit_residuals(
     train: DataFrame,
     spec: ExperimentSpec,

@@ -116,34 +116,46 @@ _formulas = """y / CAST(n AS DOUBLE) AS base,
 
 
 def _out_of_fold(c: str) -> str:
-    return f"(CAST(all_{c} - {c} AS DOUBLE) / CAST(all_n - n AS DOUBLE))"
+    return f"(CAST(all_{c} - {c} AS DOUBLE) / CAST(nullif(all_n - n, 0) AS DOUBLE))"
+
+
+def _residual(name: str, cells: str) -> str:
+    """CTEs ending in ``name``: cross-fitted residual effect per group of ``cells`` (may be empty)."""
+    listed = f"{cells}, " if cells else ""
+    window = f"PARTITION BY {cells}" if cells else ""
+    both = [
+        f"(max(CASE WHEN fold = 0 THEN {c} END) + max(CASE WHEN fold = 1 THEN {c} END))"
+        for c in ("crossed", "square")
+    ]
+    return f"""
+{name}_folds AS (
+  SELECT {listed}h % 2 AS fold, count(*) AS n, sum(treatment) AS st, sum(visit) AS sy,
+         sum(treatment * visit) AS sty FROM folded GROUP BY {listed}h % 2),
+{name}_all AS (
+  SELECT *, sum(n) OVER c AS all_n, sum(st) OVER c AS all_st, sum(sy) OVER c AS all_sy
+  FROM {name}_folds WINDOW c AS ({window})),
+{name}_means AS (SELECT *, {_out_of_fold("sy")} AS my, {_out_of_fold("st")} AS mt FROM {name}_all),
+{name}_terms AS (
+  SELECT *, sty - my * st - mt * sy + n * my * mt AS crossed,
+         st - 2 * mt * st + n * mt * mt AS square FROM {name}_means),
+{name} AS (
+  SELECT {listed}CAST(sum(n) AS BIGINT) AS n, {both[0]} / nullif({both[1]}, 0) AS effect
+  FROM {name}_terms {f"GROUP BY {cells}" if cells else ""})"""
 
 
 _SCORED = f"""
 cell_means AS (SELECT {_cell}, {_formulas} FROM (SELECT {_cell}, {_sums} FROM train GROUP BY {_cell})),
 all_means AS (SELECT {_formulas} FROM (SELECT {_sums} FROM train)),
 {_unit_hash("folded", "train", STREAM_FOLD, "*").lstrip()},
-fold_sums AS (
-  SELECT {_cell}, h % 2 AS fold, count(*) AS n, sum(treatment) AS st, sum(visit) AS sy,
-         sum(treatment * visit) AS sty FROM folded GROUP BY {_cell}, h % 2),
-with_all AS (
-  SELECT *, sum(n) OVER c AS all_n, sum(st) OVER c AS all_st, sum(sy) OVER c AS all_sy
-  FROM fold_sums WINDOW c AS (PARTITION BY {_cell})),
-terms AS (
-  SELECT *, {_out_of_fold("sy")} AS my, {_out_of_fold("st")} AS mt FROM with_all),
-products AS (
-  SELECT *, sty - my * st - mt * sy + n * my * mt AS crossed,
-         st - 2 * mt * st + n * mt * mt AS square FROM terms),
-residual AS (
-  SELECT {_cell}, CAST(sum(n) AS BIGINT) AS n,
-         (max(CASE WHEN fold = 0 THEN crossed END) + max(CASE WHEN fold = 1 THEN crossed END))
-         / (max(CASE WHEN fold = 0 THEN square END) + max(CASE WHEN fold = 1 THEN square END)) AS effect
-  FROM products GROUP BY {_cell}),
+{_residual("residual", _cell).lstrip()},
+{_residual("population_residual", "").lstrip()},
 scored AS (
   SELECT unit_id, treatment, visit, conversion, coalesce(c.base, a.base) AS s_base,
-         coalesce(c.two, a.two) AS s_two, coalesce(c.cls, a.cls) AS s_class, effect AS s_res,
+         coalesce(c.two, a.two) AS s_two, coalesce(c.cls, a.cls) AS s_class,
+         coalesce(residual.effect, p.effect) AS s_res,
          history / CAST(1 + recency AS DOUBLE) AS s_cont
-  FROM test LEFT JOIN cell_means c USING ({_cell}) LEFT JOIN residual USING ({_cell}), all_means a)"""
+  FROM test LEFT JOIN cell_means c USING ({_cell}) LEFT JOIN residual USING ({_cell}),
+       all_means a, population_residual p)"""
 
 
 def _long(name: str, source: str, models: dict[str, str]) -> str:

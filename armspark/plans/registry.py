@@ -80,9 +80,7 @@ def scored(spark, folder):
     train, test = _sides(spark, folder)
     formulas = {"s_base": "response", "s_two": "two_model", "s_class": "class_transform"}
     df = learners.cell_scores(train, test, SPEC, "visit", CELL, formulas)
-    residual = effects.cell_residual_effect(train, SPEC, "visit", CELL, seed=SEED)
-    residual = materialize(residual.select(*CELL, F.col("effect").alias("s_res")), "cell_effects")
-    df = df.join(residual, list(CELL), "left")
+    df = effects.cell_effect_scores(train, df, SPEC, "visit", CELL, "s_res", seed=SEED)
     df = df.withColumn("s_cont", F.col("history") / (1.0 + F.col("recency")))
     return materialize(df.select("unit_id", *KEEP, *MODELS.values()), "scored")
 
