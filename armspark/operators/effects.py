@@ -17,6 +17,7 @@ from ..functions.hashing import STREAM_FOLD, STREAM_HONEST, unit_hash
 from ..session import ensure_checkpoint_dir, materialize
 from ..spec import ExperimentSpec, require_columns
 from .encoding import fit_features
+from .learners import fit_together
 
 # Assignment probabilities are kept off 0 and 1, so that no treatment residual vanishes.
 _CLIP = 0.01
@@ -101,12 +102,9 @@ def cell_effect_scores(
     """
     by_cell = cell_residual_effect(train, spec, target, cell, folds, seed)
     by_cell = materialize(by_cell.select(*cell, F.col("effect").alias("__cell")), "cell_effects")
-    overall = cell_residual_effect(train, spec, target, (), folds, seed)
-    return (
-        test.join(by_cell, list(cell), "left")
-        .join(F.broadcast(overall.select(F.col("effect").alias("__all"))))  # one row
-        .select(*test.columns, F.coalesce("__cell", "__all").alias(output))
-    )
+    overall = cell_residual_effect(train, spec, target, (), folds, seed).first()["effect"]
+    filled = F.coalesce("__cell", F.lit(overall).cast("double"))
+    return test.join(by_cell, list(cell), "left").select(*test.columns, filled.alias(output))
 
 
 def cross_fit_residuals(
@@ -135,13 +133,18 @@ def cross_fit_residuals(
     )
     encoded = materialize(encoded, "encoded")
     learner = {"maxIter": rounds, "maxDepth": depth, "seed": seed, "checkpointInterval": 10}
-    parts = []
+    fits = []
     for k in range(folds):
-        others, own = encoded.where(F.col("fold") != k), encoded.where(F.col("fold") == k)
-        outcome = GBTRegressor(labelCol="y", predictionCol="y_hat", **learner).fit(others)
+        others = encoded.where(F.col("fold") != k)
+        outcome = GBTRegressor(labelCol="y", predictionCol="y_hat", **learner)
         arm = GBTClassifier(labelCol="t", predictionCol="t_class", **learner)
-        arm = arm.setProbabilityCol("t_prob").fit(others)
-        parts.append(arm.transform(outcome.transform(own)))
+        arm = arm.setProbabilityCol("t_prob")
+        fits += [lambda m=outcome, d=others: m.fit(d), lambda m=arm, d=others: m.fit(d)]
+    models = fit_together(train.sparkSession, fits)
+    parts = []
+    for k in range(folds):
+        own = encoded.where(F.col("fold") == k)
+        parts.append(models[2 * k + 1].transform(models[2 * k].transform(own)))
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part)

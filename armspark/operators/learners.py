@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -24,6 +26,12 @@ from .encoding import feature_stages
 DEFAULT_ROUNDS = 200
 
 
+def fit_together(session: SparkSession, fits: Sequence[Callable], at_most: int = 4) -> list:
+    """Run independent fits side by side; each is a long chain of short jobs that leaves cores idle."""
+    with ThreadPool(min(at_most, len(fits))) as pool:
+        return pool.map(inheritable_thread_target(session)(lambda fit: fit()), fits)
+
+
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     """(n_negative, n_positive, positive_weight); the weight is NULL without positives."""
     return df.agg(
@@ -95,8 +103,15 @@ def two_model(
     """One weighted model per arm: (treated model, control model)."""
     arm = F.col(spec.treatment)
     return tuple(
-        train_response_model(train.where(arm == value), spec, target, seed, rounds, depth)
-        for value in (1, 0)
+        fit_together(
+            train.sparkSession,
+            [
+                lambda value=value: train_response_model(
+                    train.where(arm == value), spec, target, seed, rounds, depth
+                )
+                for value in (1, 0)
+            ],
+        )
     )
 
 
@@ -166,11 +181,7 @@ def cell_scores(
     by_cell = train.groupBy(*cell).agg(*[c.alias(v) for v, c in sums.items()])
     by_cell = materialize(by_cell, "cells")
     scored = by_cell.select(*cell, *[formulas[f].alias(f"__{o}") for o, f in outputs.items()])
-    overall = by_cell.agg(*[F.sum(v).alias(v) for v in sums]).select(
-        *[formulas[f].alias(f"__all_{o}") for o, f in outputs.items()]
-    )
-    return (
-        test.join(scored, list(cell), "left")
-        .join(F.broadcast(overall))  # one row
-        .select(*test.columns, *[F.coalesce(f"__{o}", f"__all_{o}").alias(o) for o in outputs])
-    )
+    totals = by_cell.agg(*[F.sum(v).alias(v) for v in sums])
+    overall = totals.select(*[formulas[f].alias(o) for o, f in outputs.items()]).first()
+    filled = [F.coalesce(f"__{o}", F.lit(overall[o]).cast("double")).alias(o) for o in outputs]
+    return test.join(scored, list(cell), "left").select(*test.columns, *filled)

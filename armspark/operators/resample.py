@@ -10,13 +10,14 @@ once per model, into the bounded cells of ``ordering``, and a cell computes its
 3. every light cell returns its area under the curve, starting from those offsets. A bin that holds
    a single tied score is one point of the curve, so its area follows from its sums alone.
 
-Memory per task is a block of rows times the replicates, whatever the cell size.
+Both passes stream a cell in Arrow batches, the second one in the order Spark has sorted it, so a
+task holds a block of rows times the replicates, whatever the cell size.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
 import numpy as np
@@ -77,18 +78,19 @@ def _arm_masks(pdf: pd.DataFrame) -> np.ndarray:
 def _cell_sums(n_replicates: int):
     words = replicate_words(n_replicates)
 
-    def sums(cell: pd.DataFrame) -> pd.DataFrame:
-        unit = cell["u"].to_numpy(np.int64).astype(np.uint32)
-        masks = _arm_masks(cell)
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((4, n_replicates), dtype=np.int64)
-        for start in range(0, len(cell), _BLOCK):
-            block = slice(start, start + _BLOCK)
-            # Small whole numbers: float32 products are exact and use fast matrix kernels.
-            weights = poisson_matrix(unit[block], words).astype(np.float32)
-            total += (masks[:, block].astype(np.float32) @ weights).astype(np.int64)
-        first = cell.iloc[0]
-        out = {"m": int(first["m"]), "bin": int(first["bin"]), "sub": int(first["sub"])}
-        return pd.DataFrame({**out, "rep": np.arange(n_replicates), **dict(zip(_SUMS, total))})
+        cell = {}
+        for batch in batches:
+            cell = {c: int(batch[c].iloc[0]) for c in ("m", "bin", "sub")}
+            unit = batch["u"].to_numpy(np.int64).astype(np.uint32)
+            masks = _arm_masks(batch)
+            for start in range(0, len(batch), _BLOCK):
+                block = slice(start, start + _BLOCK)
+                # Small whole numbers: float32 products are exact and use fast matrix kernels.
+                weights = poisson_matrix(unit[block], words).astype(np.float32)
+                total += (masks[:, block].astype(np.float32) @ weights).astype(np.int64)
+        yield pd.DataFrame({**cell, "rep": np.arange(n_replicates), **dict(zip(_SUMS, total))})
 
     return sums
 
@@ -102,30 +104,40 @@ def _height(n, nt, y, yt):
 def _cell_areas(n_replicates: int):
     words = replicate_words(n_replicates)
 
-    def areas(cell: pd.DataFrame, offsets: pd.DataFrame) -> pd.DataFrame:
-        if cell.empty or cell["sub"].iloc[0] != LIGHT:
-            return pd.DataFrame({"m": [], "rep": [], "area": []})
-        m = int(cell["m"].iloc[0])
-        cell = cell.sort_values("score", ascending=False, kind="stable")
-        score = cell["score"].to_numpy()
-        last_of_tie = np.append(score[1:] != score[:-1], True)
-        unit = cell["u"].to_numpy(np.int64).astype(np.uint32)
-        masks = _arm_masks(cell)
-        offsets = offsets.sort_values("rep")
-        carry = offsets[[f"before_{s}" for s in _SUMS]].to_numpy(np.float64).T
-        x, height = carry[0], _height(*carry)
+    def areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Walk a cell in score order. A tie may go on in the next block, so the point of a score
+        is drawn when the first row of the next score, or the end, is seen."""
+        m, score = 0, None
         area = np.zeros(n_replicates)
-        for start in range(0, len(cell), _BLOCK):
-            block = slice(start, start + _BLOCK)
-            weights = poisson_matrix(unit[block], words).astype(np.float64)
-            ends = last_of_tie[block]
-            cum = [c + np.cumsum(k[:, None] * weights, axis=0) for c, k in zip(carry, masks[:, block])]
-            xs = np.vstack([x, cum[0][ends]])
-            heights = np.vstack([height, _height(*[c[ends] for c in cum])])
-            area += (np.diff(xs, axis=0) * (heights[1:] + heights[:-1])).sum(axis=0) / 2.0
-            x, height = xs[-1], heights[-1]
-            carry = [c[-1] for c in cum]
-        return pd.DataFrame({"m": m, "rep": np.arange(n_replicates), "area": area})
+        for batch in batches:
+            if batch["carry"].iloc[0] is not None:  # the first row of a cell brings the offsets
+                m = int(batch["m"].iloc[0])
+                cum = np.asarray(batch["carry"].iloc[0], dtype=np.float64).reshape(4, n_replicates)
+                x, height = cum[0], _height(*cum)
+                batch = batch.iloc[1:]
+            scores = batch["score"].to_numpy(np.float64)
+            unit = batch["u"].to_numpy(np.float64).astype(np.int64).astype(np.uint32)
+            masks = _arm_masks(batch)
+            for start in range(0, len(batch), _BLOCK):
+                block = slice(start, start + _BLOCK)
+                s = scores[block]
+                previous = np.append(s[0] if score is None else score, s[:-1])
+                if (s > previous).any():
+                    raise RuntimeError("rows of a cell must arrive by descending score")
+                weights = poisson_matrix(unit[block], words).astype(np.float64)
+                # Row i of ``before`` holds the sums ahead of row i.
+                before = [
+                    np.vstack([c, c + np.cumsum(k[:, None] * weights, axis=0)])
+                    for c, k in zip(cum, masks[:, block])
+                ]
+                drawn = np.append(s != previous, False)
+                xs = np.vstack([x, before[0][drawn]])
+                heights = np.vstack([height, _height(*[c[drawn] for c in before])])
+                area += (np.diff(xs, axis=0) * (heights[1:] + heights[:-1])).sum(axis=0) / 2.0
+                x, height, score = xs[-1], heights[-1], s[-1]
+                cum = [c[-1] for c in before]
+        area += (cum[0] - x) * (height + _height(*cum)) / 2.0
+        yield pd.DataFrame({"m": m, "rep": np.arange(n_replicates), "area": area})
 
     return areas
 
@@ -154,9 +166,11 @@ def bootstrap_qini(
     )
     # A cell is small in bytes and heavy in work, so the number of tasks is set here; left to
     # itself the adaptive planner would merge many cells into one task.
-    slim = slim.repartition(_tasks(scores), "m", "bin", "sub")
-    cells = slim.groupBy("m", "bin", "sub")
-    sums = cells.applyInPandas(_cell_sums(n_replicates), _SUM_SCHEMA)
+    sums = (
+        slim.repartition(_tasks(scores), "m", "bin", "sub")
+        .groupBy("m", "bin", "sub")
+        .applyInPandas(_cell_sums(n_replicates), _SUM_SCHEMA)
+    )
     bins = sums.groupBy("m", "bin", "rep").agg(
         F.min("sub").alias("first_sub"), *[F.sum(s).alias(s) for s in _SUMS]
     )
@@ -170,11 +184,20 @@ def bootstrap_qini(
         *[F.sum(s).over(model).alias(f"all_{s}") for s in _SUMS],
     )
 
-    light = offsets.where(F.col("first_sub") == LIGHT).select(
-        "m", "bin", F.lit(LIGHT).alias("sub"), "rep", *[f"before_{s}" for s in _SUMS]
+    # One row per light cell with all its offsets; it sorts ahead of the rows of the cell.
+    light = offsets.where(F.col("first_sub") == LIGHT)
+    parts = F.sort_array(F.collect_list(F.struct("rep", *[f"before_{s}" for s in _SUMS])))
+    carry = light.groupBy("m", "bin").agg(parts.alias("o")).select(
+        "m",
+        "bin",
+        F.concat(*[F.col(f"o.before_{s}") for s in _SUMS]).alias("carry"),
     )
-    light_area = cells.cogroup(light.groupBy("m", "bin", "sub")).applyInPandas(
-        _cell_areas(n_replicates), "m int, rep int, area double"
+    rows = slim.where(F.col("sub") == LIGHT).unionByName(carry, allowMissingColumns=True)
+    light_area = (
+        rows.repartition(_tasks(scores), "m", "bin")
+        .sortWithinPartitions("m", "bin", F.col("carry").isNull(), F.col("score").desc())
+        .groupBy("m", "bin")
+        .applyInPandas(_cell_areas(n_replicates), "m int, rep int, area double")
     )
     before = [F.col(f"before_{s}") for s in _SUMS]
     after = [F.col(f"before_{s}") + F.col(s) for s in _SUMS]
