@@ -71,9 +71,9 @@ def poisson_weight(h: Column) -> Column:
     return weight
 
 
-def poisson_matrix(unit_hash: np.ndarray, replicate_words: np.ndarray) -> np.ndarray:
-    """Weights of a block of units (rows) in all replicates (columns)."""
-    h = mix_array(unit_hash[:, None] ^ replicate_words[None, :])
+def poisson_matrix(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Weights of every pair: units as rows and replicates as columns, or the other way round."""
+    h = mix_array(rows[:, None] ^ columns[None, :])
     weight = np.zeros(h.shape, dtype=np.int8)
     for cut in poisson_cuts():
         weight += h >= np.uint32(cut)

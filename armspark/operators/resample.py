@@ -45,7 +45,8 @@ from .ordering import LIGHT, Scores, global_rank, long_scores, model_name, runni
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(hashing)
 
-_BLOCK = 4096
+_BLOCK = 1024
+_AREA_BLOCK = 256
 MAX_MULTINOMIAL = 1 << 24
 _SUMS = ("n", "nt", "y", "yt")
 _SUM_SCHEMA = "m int, bin int, sub int, rep int, n bigint, nt bigint, y bigint, yt bigint"
@@ -95,10 +96,14 @@ def _cell_sums(n_replicates: int):
     return sums
 
 
-def _height(n, nt, y, yt):
+def _height(n, nt, yt, yc):
     nc = n - nt
     with np.errstate(divide="ignore", invalid="ignore"):
-        return yt - np.where(nc != 0, (y - yt) * (nt / nc), 0.0)
+        share = nt / nc
+    if not nc.all():  # only ahead of the first control unit
+        share[nc == 0] = 0.0
+    share *= yc
+    return np.subtract(yt, share, out=share)
 
 
 def _cell_areas(n_replicates: int):
@@ -106,36 +111,48 @@ def _cell_areas(n_replicates: int):
 
     def areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Walk a cell in score order. A tie may go on in the next block, so the point of a score
-        is drawn when the first row of the next score, or the end, is seen."""
+        is drawn when the first row of the next score, or the end, is seen.
+
+        Replicates are the rows of every array here, so the running sums read memory in order.
+        """
         m, score = 0, None
         area = np.zeros(n_replicates)
         for batch in batches:
             if batch["carry"].iloc[0] is not None:  # the first row of a cell brings the offsets
                 m = int(batch["m"].iloc[0])
-                cum = np.asarray(batch["carry"].iloc[0], dtype=np.float64).reshape(4, n_replicates)
-                x, height = cum[0], _height(*cum)
+                n, nt, y, yt = np.asarray(batch["carry"].iloc[0], np.float64).reshape(4, n_replicates)
+                cum = [n, nt, yt, y - yt]
+                x, height = n, _height(*cum)
                 batch = batch.iloc[1:]
             scores = batch["score"].to_numpy(np.float64)
             unit = batch["u"].to_numpy(np.float64).astype(np.int64).astype(np.uint32)
-            masks = _arm_masks(batch)
-            for start in range(0, len(batch), _BLOCK):
-                block = slice(start, start + _BLOCK)
+            t, y = batch["t"].to_numpy(np.float64), batch["y"].to_numpy(np.float64)
+            masks = (None, t, t * y, (1 - t) * y)
+            for start in range(0, len(batch), _AREA_BLOCK):
+                block = slice(start, start + _AREA_BLOCK)
                 s = scores[block]
                 previous = np.append(s[0] if score is None else score, s[:-1])
                 if (s > previous).any():
                     raise RuntimeError("rows of a cell must arrive by descending score")
-                weights = poisson_matrix(unit[block], words).astype(np.float64)
-                # Row i of ``before`` holds the sums ahead of row i.
-                before = [
-                    np.vstack([c, c + np.cumsum(k[:, None] * weights, axis=0)])
-                    for c, k in zip(cum, masks[:, block])
-                ]
-                drawn = np.append(s != previous, False)
-                xs = np.vstack([x, before[0][drawn]])
-                heights = np.vstack([height, _height(*[c[drawn] for c in before])])
-                area += (np.diff(xs, axis=0) * (heights[1:] + heights[:-1])).sum(axis=0) / 2.0
-                x, height, score = xs[-1], heights[-1], s[-1]
-                cum = [c[-1] for c in before]
+                weights = poisson_matrix(words, unit[block]).astype(np.float64)
+                ahead = []  # column i: sums of everything ahead of row i
+                for j, mask in enumerate(masks):
+                    sums = np.empty((n_replicates, len(s) + 1))
+                    sums[:, 0] = cum[j]
+                    sums[:, 1:] = weights if mask is None else weights * mask[block]
+                    ahead.append(np.cumsum(sums, axis=1, out=sums))
+                cum = [c[:, -1].copy() for c in ahead]
+                drawn = np.flatnonzero(s != previous)
+                score = s[-1]
+                if len(drawn) == 0:
+                    continue
+                every = len(drawn) == len(s)  # no ties: the sums themselves, not a copy
+                points = [c[:, :-1] if every else c[:, drawn] for c in ahead]
+                xs = np.concatenate([x[:, None], points[0]], axis=1)
+                heights = np.concatenate([height[:, None], _height(*points)], axis=1)
+                width = xs[:, 1:] - xs[:, :-1]
+                area += np.einsum("ij,ij->i", width, heights[:, 1:] + heights[:, :-1]) / 2.0
+                x, height = xs[:, -1], heights[:, -1]
         area += (cum[0] - x) * (height + _height(*cum)) / 2.0
         yield pd.DataFrame({"m": m, "rep": np.arange(n_replicates), "area": area})
 
@@ -143,9 +160,10 @@ def _cell_areas(n_replicates: int):
 
 
 def _tasks(scores: Scores) -> int:
+    """Several tasks per core even out the cells; more only while there are cells to fill them."""
     parallelism = scores.rows.sparkSession.sparkContext.defaultParallelism
     by_size = scores.n * len(scores.models) // 500_000
-    return int(max(parallelism, min(scores.max_cells, by_size)))
+    return int(max(parallelism, min(scores.max_cells, max(3 * parallelism, by_size))))
 
 
 def bootstrap_qini(

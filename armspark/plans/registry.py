@@ -418,10 +418,12 @@ def bootstrap_multinomial(spark, folder):
 def _intervals(spark, folder) -> DataFrame:
     scores = _scores(spark, folder)
     replicates = resample.bootstrap_qini(scores, "treatment", "visit", REPLICATES, SEED)
-    return resample.with_intervals(
+    intervals = resample.with_intervals(
         curves.qini_coefficient(scores, "treatment", "visit"),
         resample.percentile_interval(replicates, scores),
     )
+    # One row per model; what follows reads it more than once.
+    return materialize(intervals, "intervals")
 
 
 @query

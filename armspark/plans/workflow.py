@@ -115,10 +115,15 @@ def train_effects(
     """Fit the three effect models, store the combined scores; returns the signal checks."""
     train, test = (tables.read_split(spark, split_path, side) for side in ("train", "test"))
     seed, rounds, depth = sizes.seed, sizes.rounds, sizes.depth
-    two = learners.two_model(train, spec, target, seed, rounds, depth)
-    revert = learners.class_transformation(train, spec, target, seed, rounds, depth)
-    forest = effects.train_effect_forest(
-        train, spec, target, sizes.trees, sizes.nuisance_rounds, depth=depth, seed=seed
+    two, revert, forest = learners.fit_together(
+        spark,
+        [
+            lambda: learners.two_model(train, spec, target, seed, rounds, depth),
+            lambda: learners.class_transformation(train, spec, target, seed, rounds, depth),
+            lambda: effects.train_effect_forest(
+                train, spec, target, sizes.trees, sizes.nuisance_rounds, depth=depth, seed=seed
+            ),
+        ],
     )
     forest.save(forest_path)
     scored = learners.score_two_model(two, test, "uplift_two_model")

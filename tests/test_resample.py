@@ -28,6 +28,7 @@ def by_key(df):
 def test_block_bootstrap_equals_explicit_weights(scores, frame, monkeypatch):
     """The per-cell computation against plain joins and windows over the same weights."""
     monkeypatch.setattr(resample, "_BLOCK", 17)
+    monkeypatch.setattr(resample, "_AREA_BLOCK", 13)
     blocks = by_key(resample.bootstrap_qini(scores, "treatment", "visit", REPS, seed=9))
     weights = resample.bootstrap_weights(frame, "unit_id", REPS, seed=9)
     rows = by_key(resample.weighted_qini(scores, weights, "treatment", "visit"))
