@@ -66,14 +66,15 @@ def head_and_tail(
 
     Each side is a per-task top-n merged at the end, never a sort of the table.
     """
-    best = df.orderBy(F.col(score).desc_nulls_last(), F.col(key)).limit(head)
-    worst = df.orderBy(F.col(score).asc_nulls_first(), F.col(key).desc()).limit(tail)
     kept = [key, score, *columns]
+    # NaN counts as missing and ranks last, as everywhere.
+    df = df.select(*kept).withColumn(score, F.nanvl(F.col(score).cast("double"), F.lit(None)))
+    down = [F.col(score).desc_nulls_last(), F.col(key)]
+    up = [F.col(score).asc_nulls_first(), F.col(key).desc()]
+    best, worst = df.orderBy(*down).limit(head), df.orderBy(*up).limit(tail)
     # The windows see ``head`` and ``tail`` rows.
-    first = Window.partitionBy(F.lit("head")).orderBy(F.col(score).desc_nulls_last(), F.col(key))
-    last = Window.partitionBy(F.lit("tail")).orderBy(
-        F.col(score).asc_nulls_first(), F.col(key).desc()
-    )
+    first = Window.partitionBy(F.lit("head")).orderBy(*down)
+    last = Window.partitionBy(F.lit("tail")).orderBy(*up)
     total = df.agg(F.count(F.lit(1)).alias("n"))
     top = best.select(F.lit("head").alias("part"), F.row_number().over(first).cast("bigint").alias("rank"), *kept)
     bottom = worst.select(*kept, F.row_number().over(last).alias("from_end")).join(F.broadcast(total))

@@ -147,10 +147,11 @@ def test_empty_arm_gives_null_and_fails(spark):
     assert row.top_effect is None and row.gap is None and row.passed is False
 
 
-def test_ranking_head_tail(spark, frame):
+@pytest.mark.parametrize("column", ["tied", "gaps"])
+def test_ranking_head_tail(spark, frame, column):
     df = spark.createDataFrame(frame)
-    got = ranking.head_and_tail(df, "tied", "unit_id", ["visit"]).collect()
-    rows = ordered(frame, "tied")["unit_id"].tolist()
+    got = ranking.head_and_tail(df, column, "unit_id", ["visit"]).collect()
+    rows = ordered(frame, column)["unit_id"].tolist()
     assert [r.unit_id for r in sorted(got, key=lambda r: r["rank"])] == rows[:10] + rows[-5:]
 
 
