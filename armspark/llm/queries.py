@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lattice_lm, mixing, secrets, simhash
+from . import chat, decontaminate, lattice_lm, mixing, quality, secrets, simhash
 from .common import read
 
 # Folder of the public vocabulary files on the driver.
@@ -29,6 +29,11 @@ def op1_lattice_lm(spark, folder):
     return lattice_lm.lattice_scores(read(spark, folder, "documents"), f"{TOKENIZERS}/{PIECES}")
 
 
+@query
+def op2_bm25_leaks(spark, folder):
+    return decontaminate.find_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 @query
 def op4_secret_ownership(spark, folder):
     return secrets.secret_spans(read(spark, folder, "documents")).drop("values")
@@ -39,6 +44,11 @@ def op6_fair_queue(spark, folder):
     return mixing.mixture(read(spark, folder, "documents"))
 
 
+@query
+def op7_random_indexing(spark, folder):
+    return quality.quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 @query
 def op8_simhash_ring(spark, folder):
     return simhash.near_duplicates(read(spark, folder, "documents"))
