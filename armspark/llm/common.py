@@ -27,7 +27,7 @@ def whole_text(column: str = "text") -> Column:
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text (NULL: empty). Python's ``bytes.lower`` and ``bytes.split`` touch exactly
     A-Z and the six ASCII spaces of the contract, and need no decoding."""
-    return whole_text(column).cast("binary")
+    return whole_text(column).cast("binary").alias(column)
 
 
 def words_of(text: bytes) -> list[bytes]:

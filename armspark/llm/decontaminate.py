@@ -1,20 +1,23 @@
 """Benchmark decontamination: a BM25 index of test items, queried with every training passage.
 
-Items are cut into segments of at most ``SEGMENT`` words; each segment is a document of the index. Impacts are divided by the
-segment's score against itself, so one threshold in [0, 1] serves all lengths. Posting lists are cut into
-blocks with their largest impact, and block-max WAND finds all segments at or above the threshold: it
-moves to the next segment that the sum of the lists' largest impacts can still lift to the threshold, and skips whole blocks
-whose own maxima cannot. A passage whose words cannot reach the threshold together is dropped beforehand by the same bound.
+Items are cut into segments of at most ``SEGMENT`` words; each segment is a document of the index, and the rarity of a term is its
+document frequency in the training corpus. Impacts are divided by the segment's score against itself, so one threshold in
+[0, 1] serves all lengths. Posting lists are cut into blocks with their largest impact, and block-max WAND finds all segments at
+or above the threshold: it moves to the next segment that the sum of the lists' largest impacts can still lift to the
+threshold, and skips whole blocks whose own maxima cannot. The index has a few tiers by self score, since the largest
+impacts of weak segments would loosen the bounds of strong ones; a passage whose words cannot reach the threshold in a tier is not
+sent there.
 
 A retrieved item counts only if enough shingles of its question and of its answer stand in the document around the passage.
 
 Passages overlap by half, so every segment lies whole in one. The index is dealt into shards of a bounded number of
-words; each shard is a bounded broadcast and a map over the documents, so no text is shuffled.
+words; each shard is a bounded broadcast and two maps over the documents (term counts, search), so no text is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from bisect import bisect_left
 from collections import Counter
 from math import ceil, log
@@ -27,19 +30,39 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import whole_text
 
-SEGMENT = 64
+SEGMENT = 32
 PASSAGE, STRIDE = 2 * SEGMENT, SEGMENT
 K1, B = 1.2, 0.75
-THRESHOLD = 0.5
+THRESHOLD = 0.7
 SHINGLE, QUESTION_OVERLAP, ANSWER_OVERLAP = 3, 0.5, 0.5
-BLOCK = 64
+BLOCK, TIERS = 64, 6
 SHARD_WORDS = 1_000_000
-_WORD = re.compile(r"\w+")
+_SIGNS = string.punctuation + "«»…“”‘’„–—¿¡·•"
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 
 
+def bare(word: str) -> str:
+    """A lower-case word without the signs around it; empty for a run of signs."""
+    return word.strip(_SIGNS)
+
+
 def tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w for w in map(bare, text.lower().split()) if w]
+
+
+class TermIds(dict):
+    """Written word -> term number, ``other`` outside the index, -1 for signs; remembers a bounded number."""
+
+    def __init__(self, terms: dict[str, int]):
+        super().__init__()
+        self.terms, self.other = terms, len(terms)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        plain = bare(word)
+        self[word] = number = self.terms.get(plain, self.other) if plain else -1
+        return number
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -56,36 +79,29 @@ def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
 
 
 class BlockMaxIndex:
-    """Posting lists of one shard: ascending segments, their impacts, and the largest impact per block."""
-
-    def __init__(self, rows: list[Row], total: int, mean_length: float):
-        """rows: (segment, term, tf, length, df); the corpus facts are those of all shards."""
-        self.segments = sorted({r.segment for r in rows})
-        place = {s: i for i, s in enumerate(self.segments)}
-        impact, own = {}, Counter()
-        for r in rows:
-            idf = log(1.0 + (total - r.df + 0.5) / (r.df + 0.5))
-            value = idf * r.tf * (K1 + 1) / (r.tf + K1 * (1 - B + B * r.length / mean_length))
-            impact[r.term, place[r.segment]] = value
-            own[place[r.segment]] += value
-        lists: dict[str, list] = {}
-        for (term, at), value in sorted(impact.items(), key=lambda x: x[0][1]):
-            lists.setdefault(term, []).append((at, value / own[at]))
-        self.terms = {term: i for i, term in enumerate(sorted(lists))}
-        self.places, self.impacts, self.ends, self.block_max = [], [], [], []
-        for term in self.terms:
-            at, values = zip(*lists[term])
-            self.places.append(at)
-            self.impacts.append(values)
-            self.ends.append([at[min(i + BLOCK, len(at)) - 1] for i in range(0, len(at), BLOCK)])
-            self.block_max.append([max(values[i : i + BLOCK]) for i in range(0, len(at), BLOCK)])
+    """Posting lists of one tier by term number: ascending segment places, their impacts, and the largest impact per block."""
+
+    def __init__(self, segments: dict, n_terms: int):
+        """segments: segment -> {term number: impact}, each summing to one."""
+        self.segments = sorted(segments)
+        lists: dict[int, list] = {}
+        for place, segment in enumerate(self.segments):
+            for term, value in segments[segment].items():
+                lists.setdefault(term, []).append((place, value))
+        self.places, self.impacts, self.ends, self.block_max = {}, {}, {}, {}
         #: Largest impact of each term; the last entry stands for words outside the index.
-        self.bound = np.array([max(v) for v in self.impacts] + [0.0])
+        self.bound = np.zeros(n_terms + 1)
+        for term, pairs in lists.items():
+            at, values = zip(*pairs)
+            self.places[term], self.impacts[term] = at, values
+            self.ends[term] = [at[min(i + BLOCK, len(at)) - 1] for i in range(0, len(at), BLOCK)]
+            self.block_max[term] = [max(values[i : i + BLOCK]) for i in range(0, len(at), BLOCK)]
+            self.bound[term] = max(values)
 
     def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """All (segment place, score) at or above the threshold, by block-max WAND."""
         slack = threshold - 1e-9
-        cursor = [[self.places[t][0], t, 0] for t in terms]  # current place, term, position
+        cursor = [[self.places[t][0], t, 0] for t in terms if t in self.places]  # current place, term, position
         found = []
         while cursor:
             cursor.sort()
@@ -133,85 +149,124 @@ class BlockMaxIndex:
 
 
 class Shard:
-    """The index of one shard and what verification needs of its items."""
+    """The tiers of one shard and what verification needs of its items."""
 
-    def __init__(self, index: BlockMaxIndex, items: dict[int, str], owner: dict[int, int]):
-        self.index, self.owner = index, owner
+    def __init__(self, rows: list[Row], df: dict[str, int], total: int, mean_length: float, texts: dict[int, str]):
+        """rows: (key, n, term, tf, length); df, total: documents with the term, and all; texts: item key -> text."""
+        self.terms = {term: i for i, term in enumerate(sorted({r.term for r in rows}))}
+        segments: dict[tuple, dict] = {}
+        for r in rows:
+            rare = df.get(r.term, 0)
+            idf = log(1.0 + (total - rare + 0.5) / (rare + 0.5))
+            value = idf * r.tf * (K1 + 1) / (r.tf + K1 * (1 - B + B * r.length / mean_length))
+            segments.setdefault((r.key, r.n), {})[self.terms[r.term]] = value
+        own = {s: sum(impacts.values()) for s, impacts in segments.items()}
+        order = sorted(own, key=lambda s: (own[s], s))
+        size = ceil(len(order) / TIERS)
+        self.tiers = [
+            BlockMaxIndex({s: {t: v / own[s] for t, v in segments[s].items()} for s in order[i : i + size]}, len(self.terms))
+            for i in range(0, len(order), size)
+        ]
+        self.bounds = np.stack([tier.bound for tier in self.tiers])
         self.checks = {}
-        for item, text in items.items():
+        for key, text in texts.items():
             question, answer = question_and_answer(text)
-            self.checks[item] = (shingles(question), shingles(answer), len(question) + len(answer))
-
-    def leaks(self, text: str, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float, int]]:
-        """(item, score, question share, answer share, word position) of every item leaked into ``text``."""
-        words = tokens(text)
-        if not words:
+            sizes = min(SHINGLE, len(question)), min(SHINGLE, len(answer))
+            self.checks[key] = (shingles(question), shingles(answer), len(question) + len(answer), *sizes)
+
+    def leaks(self, text: str, codes: TermIds, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float, int]]:
+        """(item key, score, question share, answer share, word position) of every item leaked into ``text``."""
+        words = text.lower().split()
+        ids = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+        at = np.flatnonzero(ids >= 0)
+        ids = ids[at]
+        if not len(ids):
             return []
-        get, other = self.index.terms.get, len(self.index.terms)
-        ids = np.fromiter((get(w, other) for w in words), np.int64, len(words))
-        running = np.r_[0.0, np.cumsum(self.index.bound[ids])]
-        starts = np.arange(0, max(1, len(words) - PASSAGE + STRIDE), STRIDE)
-        reach = running[np.minimum(starts + PASSAGE, len(words))] - running[starts]
+        running = np.zeros((len(self.tiers), len(ids) + 1))
+        np.cumsum(self.bounds[:, ids], axis=1, out=running[:, 1:])
+        starts = np.arange(0, max(1, len(ids) - PASSAGE + STRIDE), STRIDE)
+        reach = running[:, np.minimum(starts + PASSAGE, len(ids))] - running[:, starts]
+        slack = threshold - 1e-9
         spots: dict[int, list] = {}
-        for start in starts[reach >= threshold - 1e-9].tolist():
-            terms = np.unique(ids[start : start + PASSAGE])
-            terms = terms[terms < other]
-            if self.index.bound[terms].sum() >= threshold - 1e-9:
-                for place, score in self.index.search(terms.tolist(), threshold):
-                    item = self.owner[self.index.segments[place]]
-                    spots.setdefault(item, []).append((start, score))
+        for place in np.flatnonzero((reach >= slack).any(axis=0)).tolist():
+            start = int(starts[place])
+            found = np.unique(ids[start : start + PASSAGE])
+            reached = self.bounds[:, found].sum(axis=1)  # each word once, as it is scored
+            for tier in np.flatnonzero(reached >= slack).tolist():
+                for segment, score in self.tiers[tier].search(found.tolist(), threshold):
+                    spots.setdefault(self.tiers[tier].segments[segment][0], []).append((start, score))
         out = []
-        for item, hits in sorted(spots.items()):
+        for key, hits in sorted(spots.items()):
             best = None
-            question, answer, length = self.checks[item]
+            question, answer, length, *sizes = self.checks[key]
             for start, score in hits:
-                around = shingles(words[max(0, start - length) : start + PASSAGE + length])
-                q = len(question & around) / len(question) if question else 1.0
-                if len(answer) and len(next(iter(answer))) < SHINGLE:
-                    around = shingles(words[max(0, start - length) : start + PASSAGE + length], len(next(iter(answer))))
-                a = len(answer & around) / len(answer) if answer else 1.0
+                first, last = max(0, start - length), min(len(at), start + PASSAGE + length)
+                around = tokens(" ".join(words[at[first] : at[last - 1] + 1]))
+                q = len(question & shingles(around, sizes[0])) / len(question) if question else 1.0
+                a = len(answer & shingles(around, sizes[1])) / len(answer) if answer else 1.0
                 if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP and (best is None or score > best[0]):
                     best = (score, q, a, start)
             if best:
-                out.append((item, *best))
+                out.append((key, *best))
         return out
 
 
-def index_shards(items: DataFrame, shard_words: int = SHARD_WORDS):
-    """Yield the shards of the index of ``items`` (item_id, text), each with its share of the postings."""
+def _term_counts(docs: DataFrame, terms: list[str]) -> dict[str, int]:
+    """Documents that hold each term: counted per task, added up over tasks; as many rows as terms."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        terms = shared.value
+        codes = TermIds({t: i for i, t in enumerate(terms)})
+        seen = np.zeros(len(terms) + 1, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                words = text.as_py().lower().split()
+                ids = np.unique(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
+                seen[ids[ids >= 0]] += 1
+        found = np.flatnonzero(seen[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(seen[found])], names=["term", "df"])
+
+    counted = docs.select(whole_text().alias("text")).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return {terms[r.term]: r.df for r in counted.collect()}
+
+
+def index_shards(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS):
+    """Yield (shard, item ids by key) for the index of ``items`` (item_id, text) with term counts of ``docs``."""
 
     def cut(batches):
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
         for batch in batches:
             rows = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = tokens(text)
-                pieces = max(1, ceil(len(words) / SEGMENT))
-                size = ceil(len(words) / pieces) if words else 0
-                for n in range(pieces):
-                    part = words[n * size : (n + 1) * size]
-                    rows += [(item, n, term, tf, len(part)) for term, tf in Counter(part).items()]
+                size = ceil(len(words) / max(1, ceil(len(words) / SEGMENT))) or 1
+                for n, start in enumerate(range(0, len(words), size)):
+                    part = words[start : start + size]
+                    rows += [(key, n, term, tf, len(part)) for term, tf in Counter(part).items()]
             columns = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item_id", "n", "term", "tf", "length"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "n", "term", "tf", "length"]
+            )
 
-    texts = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text")).distinct()
+    texts = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text"))
     # Rows that repeat an id with another text are items of their own: the key tells them apart.
-    texts = texts.withColumn("key", F.xxhash64("item_id", "text"))
-    cuts = texts.select("key", "text").mapInArrow(cut, "item_id long, n long, term string, tf long, length long")
-    postings = materialize(cuts.withColumnRenamed("item_id", "key"), "bm25-postings")
-    facts = postings.select("key", "n", "length").distinct().agg(F.count("*").alias("total"), F.sum("length").alias("words")).first()
-    if not facts.total:
+    texts = texts.distinct().withColumn("key", F.xxhash64("item_id", "text"))
+    cuts = texts.select("key", "text").mapInArrow(cut, "key long, n long, term string, tf long, length long")
+    postings = materialize(cuts, "bm25-postings")
+    facts = postings.agg(F.sum("tf").alias("words"), F.countDistinct("key", "n").alias("segments")).first()
+    if not facts.words:
         return
-    shards = max(1, ceil(facts.words / shard_words))
+    shards = ceil(facts.words / shard_words)
     shard = F.pmod("key", F.lit(shards))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    full = materialize(postings.join(df, "term").withColumn("shard", shard), "bm25-index")
+    total = docs.count()
     for k in range(shards):
-        rows = full.where(F.col("shard") == k).withColumn("segment", F.struct("key", "n")).collect()
+        rows = postings.where(shard == k).collect()
         if rows:
             known = texts.where(shard == k).collect()
-            index = BlockMaxIndex(rows, facts.total, facts.words / facts.total)
-            yield Shard(index, {r.key: r.text for r in known}, {s: s.key for s in index.segments}), {r.key: r.item_id for r in known}
+            df = _term_counts(docs, sorted({r.term for r in rows}))
+            mean = facts.words / facts.segments
+            yield Shard(rows, df, total, mean, {r.key: r.text for r in known}), {r.key: r.item_id for r in known}
 
 
 LEAK = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word_position long"
@@ -226,16 +281,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     names = [x.split()[0] for x in LEAK.split(", ")]
     found = None
-    for shard, ids in index_shards(items, **options):
+    for shard, ids in index_shards(docs, items, **options):
         shared = docs.sparkSession.sparkContext.broadcast((shard, ids))
 
         def run(batches, shared=shared):
             shard, ids = shared.value
+            codes = TermIds(shard.terms)
             for batch in batches:
                 out = [
                     (doc.as_py(), ids[hit[0]], *hit[1:])
                     for doc, text in zip(batch.column(0), batch.column(1))
-                    for hit in shard.leaks(text.as_py())
+                    for hit in shard.leaks(text.as_py(), codes)
                 ]
                 columns = list(zip(*out)) or [[]] * len(names)
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
@@ -250,13 +306,14 @@ def drop_leaking(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a leaked item, with their columns as they were."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     kept, at = docs.toDF(*names), docs.columns.index("text")
-    for shard, _ in index_shards(items, **options):
+    for shard, _ in index_shards(docs, items, **options):
         shared = docs.sparkSession.sparkContext.broadcast(shard)
 
         def run(batches, shared=shared):
             shard = shared.value
+            codes = TermIds(shard.terms)
             for batch in batches:
-                clean = [not shard.leaks(text.as_py() or "") for text in batch.column(at)]
+                clean = [not shard.leaks(text.as_py() or "", codes) for text in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         kept = kept.mapInArrow(run, kept.schema)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lattice_lm, mixing, quality, secrets, simhash
+from . import chat, decontaminate, html_extract, lattice_lm, mixing, quality, secrets, simhash, topk
 from .common import read
 
 # Folder of the public vocabulary files on the driver.
@@ -34,6 +34,11 @@ def op2_bm25_leaks(spark, folder):
     return decontaminate.find_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+@query
+def op3_pivot_topk(spark, folder):
+    return topk.nearest_rows(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op4_secret_ownership(spark, folder):
     return secrets.secret_spans(read(spark, folder, "documents")).drop("values")
@@ -54,6 +59,11 @@ def op8_simhash_ring(spark, folder):
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
+@query
+def op9_site_style_tree(spark, folder):
+    return html_extract.extract_pages(read(spark, folder, "pages"))
+
+
 @query
 def op10_chat_parts(spark, folder):
     said = "</s>[INST] ok [/INST]"
