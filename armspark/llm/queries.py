@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, lattice_lm, mixing, quality, secrets, simhash, topk
+from . import chat, decontaminate, html_extract, lattice_lm, mixing, quality, secrets, simhash, surrogates, topk
 from .common import read
 
 # Folder of the public vocabulary files on the driver.
@@ -44,6 +44,11 @@ def op4_secret_ownership(spark, folder):
     return secrets.secret_spans(read(spark, folder, "documents")).drop("values")
 
 
+@query
+def op5_pii_surrogates(spark, folder):
+    return surrogates.replace_entities(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op6_fair_queue(spark, folder):
     return mixing.mixture(read(spark, folder, "documents"))
