@@ -5,10 +5,11 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from armspark.plans.oracles import oracle_queries
 from armspark.plans.registry import QUERIES
 
 TABLES = ("region", "nation", "customer", "orders", "lineitem")
-ORACLES = entry.oracle_sql()
+ORACLES = oracle_queries()
 LEARNED = ("gbt_baseline", "gbt_two_model", "gbt_class_transform", "effect_forest")
 
 
