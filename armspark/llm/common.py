@@ -41,3 +41,11 @@ def word_count(text: Column) -> Column:
 def row_key(df: DataFrame, name: str) -> DataFrame:
     """A key unique per row of one scan: rows whose own ids repeat or are NULL stay apart."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def hash_sample(df: DataFrame, key: Column, size: int) -> DataFrame:
+    """About ``size`` rows by a hash of their key (all, if fewer): one filter, no row is sent anywhere to be ranked."""
+    total = df.count()
+    if total <= size:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * size / total))

@@ -5,8 +5,8 @@ index vectors of its neighbours, in whole numbers, so that partial sums of any t
 vectors. A document is the mean and the spread of its words' unit vectors. A two-layer numpy network gives a logit,
 and a temperature fitted on rows that did not train the network makes it a probability.
 
-Vectors, network and temperature are fitted on at most ``sample`` labelled rows (a documented bound; rows are taken in the
-order of a hash of their id). The vector table has a fixed number of buckets, so it is a bounded broadcast. Scoring is one
+Vectors, network and temperature are fitted on about ``sample`` labelled rows (a documented bound; rows are taken by a
+hash of their id). The vector table has a fixed number of buckets, so it is a bounded broadcast. Scoring is one
 map over the documents: no shuffle, whole texts, and nothing but the text goes in.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import fold, text_bytes
+from .common import fold, hash_sample, text_bytes
 
 SAMPLE = 20_000
 BUCKETS, SHAPES, DIM, WINDOW, NONZERO = 1 << 15, 1 << 10, 64, 2, 6
@@ -209,14 +209,14 @@ def _contexts(rows: DataFrame) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
-    """Vectors and network from at most ``sample`` labelled rows outside the held-out fold."""
+    """Vectors and network from about ``sample`` labelled rows outside the held-out fold."""
     usable = labels.where(
         F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT_FOLD)
     ).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    order = F.xxhash64("doc_id")
-    chosen = materialize(usable.orderBy(order, "doc_id", "quality").limit(sample), "quality-labels")
+    usable = usable.distinct()
+    chosen = materialize(hash_sample(usable, F.struct("doc_id", "quality"), sample), "quality-labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    # Not more than ``sample`` short rows: a bounded broadcast, so that no text is shuffled to find them.
+    # About ``sample`` short rows: a bounded broadcast, so that no text is shuffled to find them.
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
     rows = materialize(rows.repartition(_PARTS, "doc_id"), "quality-sample")
     index = index_vectors().astype(np.int64)
@@ -254,7 +254,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """doc_id, held_out, score, predicted of every row.
 
     NULL or empty text: the score of a text without words. NULL doc_id: fold of the empty text. Repeated rows are scored each;
-    repeated labels train each. Labels that are not 0 or 1, or whose document is missing, are left out; without labels every
+    repeated labels count once. Labels that are not 0 or 1, or whose document is missing, are left out; without labels every
     score is one half. Other columns are ignored.
     """
     vectors, network = fit(docs, labels, sample)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import hash_sample
 
 K, SCALE = 5, 256
 PIVOTS, SAMPLE = 32, 2048
@@ -182,7 +183,8 @@ def nearest_rows(
     for dim in sorted(r.dim for r in valid.select("dim").distinct().collect()):
         rows = valid.where(F.col("dim") == dim)
         top = rows.agg(F.max("power")).first()[0]
-        some = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(sample).select("vec_id", "x").collect()
+        some = hash_sample(rows, F.struct("vec_id", "x"), sample).select("vec_id", "x").collect()
+        some = sorted(some or rows.select("vec_id", "x").limit(sample).collect(), key=lambda r: (r.vec_id, bytes(r.x)))
         some_ids, some_x = np.array([r.vec_id for r in some]), _stack([r.x for r in some])
         some_lift = np.sqrt(np.maximum(top - (some_x.astype(np.float64) ** 2).sum(1), 0.0))
         picked = far_apart(some_x, some_lift, PIVOTS)
