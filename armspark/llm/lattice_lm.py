@@ -104,10 +104,26 @@ def count_words(docs: DataFrame, held_out: str) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("c_train").alias("c_train"), F.sum("c_all").alias("c_all"))
 
 
+def most_frequent(words: DataFrame, count: str, size: int) -> DataFrame:
+    """At most ``size`` words, the most frequent ones, cut where a class of counts ends.
+
+    A histogram of a few hundred classes gives the cut, so no task sends its own candidates to the driver.
+    """
+    level = F.floor(F.log2(count) * 16)
+    classes = words.where(F.col(count) > 0).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    least, held = None, 0
+    for row in classes:
+        held += row["count"]
+        if held > size:
+            break
+        least = row.level
+    return words.where(F.lit(False)) if least is None else words.where((F.col(count) > 0) & (level >= least))
+
+
 def fit_pieces(words: DataFrame, pieces: list[str]) -> dict[str, float]:
     """Log weights of the pieces. Only expected counts per piece reach the driver: the vocabulary bounds them."""
     weight = rank_weights(pieces)
-    top = words.where("c_train > 0").orderBy(F.desc("c_train"), "word").limit(WARM_WORDS).collect()
+    top = sorted(most_frequent(words, "c_train", WARM_WORDS).collect(), key=lambda r: bytes(r.word))
     for _ in range(WARM_ROUNDS if top else 0):
         expected: dict[str, float] = {}
         index = lattice_index(weight)
@@ -201,7 +217,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str, head: int = HEAD) -> DataFr
 
     weight = fit_pieces(words, load_pieces(vocabulary))
     scored = materialize(word_scores(words, weight, total, discount, spare), "lm-scores")
-    joined = words.select("word", "c_all").join(scored, "word").orderBy(F.desc("c_all"), "word").limit(head)
+    joined = most_frequent(words, "c_all", head).select("word").join(scored, "word")
     frequent = {bytes(r.word): (r.c_train, r.log_piece, r.log_word) for r in joined.collect()}
     shared = spark.sparkContext.broadcast(frequent)
     floor = total + 0.5 * (kinds + 1)
