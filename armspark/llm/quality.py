@@ -134,7 +134,7 @@ def train_network(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
         return Network(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), 0.0)
     rng = np.random.default_rng(seed)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = (x - centre) / scale
+    z = ((x - centre) / scale).astype(np.float32)
     p = [rng.normal(0, np.sqrt(2 / width), (width, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN), np.zeros(1)]
     mean, square, step = [np.zeros_like(v) for v in p], [np.zeros_like(v) for v in p], 0
     for _ in range(EPOCHS):
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     vectors = unit_vectors(_contexts(rows), index)
     found = _with_vectors(rows, vectors).collect()
     found.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.x)))
-    x = np.array([np.frombuffer(bytes(r.x), np.float32) for r in found], np.float64).reshape(-1, FEATURES)
+    x = np.array([np.frombuffer(bytes(r.x), np.float32) for r in found], np.float32).reshape(-1, FEATURES)
     y = np.array([r.quality for r in found], np.float64)
     apart = np.array([zlib.crc32(b"t%d" % r.doc_id) % CALIBRATION_PART == 0 for r in found], bool)
     return vectors, calibrate(train_network(x[~apart], y[~apart]), x[apart], y[apart])
