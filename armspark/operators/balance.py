@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chi2 import chi2_upper_tail
@@ -90,13 +90,12 @@ def contingency(df: DataFrame, spec: ExperimentSpec, features: Sequence[str]) ->
 
 def arm_shares(df: DataFrame, spec: ExperimentSpec, features: Sequence[str]) -> DataFrame:
     """Share of each value within each arm."""
-    by_feature = Window.partitionBy("feature")
-    totals = contingency(df, spec, features).select(
-        "*",
-        F.sum("n_control").over(by_feature).alias("all_control"),
-        F.sum("n_treated").over(by_feature).alias("all_treated"),
+    table = contingency(df, spec, features)
+    # Summed per task first: a feature with many values is not one task's window.
+    sums = table.groupBy("feature").agg(
+        F.sum("n_control").alias("all_control"), F.sum("n_treated").alias("all_treated")
     )
-    return totals.select(
+    return table.join(sums, "feature").select(
         "feature",
         "value",
         ratio(F.col("n_control"), F.col("all_control")).alias("control_share"),

@@ -71,10 +71,12 @@ def missing_report(df: DataFrame) -> DataFrame:
 
 
 def treatment_split(df: DataFrame, spec: ExperimentSpec) -> DataFrame:
-    """(treatment, count, pct); the total comes from the same two-row aggregate."""
+    """(treatment, count, pct) of all rows; a NULL arm counts in the total but on neither side."""
     require_columns(df, [spec.treatment])
     wide = df.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(spec.treatment) == 1).alias("n_treated")
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col(spec.treatment) == 0).alias("n_control"),
+        F.count_if(F.col(spec.treatment) == 1).alias("n_treated"),
     )
     rows = [
         {
@@ -82,7 +84,7 @@ def treatment_split(df: DataFrame, spec: ExperimentSpec) -> DataFrame:
             "count": count,
             "pct": F.round(ratio(count, F.col("n")) * 100.0, 2),
         }
-        for value, count in ((0, F.col("n") - F.col("n_treated")), (1, F.col("n_treated")))
+        for value, count in ((0, F.col("n_control")), (1, F.col("n_treated")))
     ]
     return rows_from_columns(wide, rows).where("count > 0")
 

@@ -331,6 +331,7 @@ def pairwise_overlap(intervals: DataFrame, models: Sequence[str]) -> DataFrame:
     firsts = ordered.select("all", F.explode("all").alias("a"))
     pairs = firsts.select("a", F.explode("all").alias("b")).where(F.col("a.at") < F.col("b.at"))
     overlap = (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi"))
+    # The two verdict texts.
     return pairs.select(
         F.col("a.model").alias("model_a"),
         F.col("b.model").alias("model_b"),

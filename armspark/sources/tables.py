@@ -27,7 +27,10 @@ def _typed(name: str, kind: T.DataType):
     if isinstance(kind, T.StringType):
         return F.when(~F.col(name).isin(*MISSING_TOKENS), F.col(name)).alias(name)
     if isinstance(kind, T.IntegerType):
-        return text.cast("double").cast("int").alias(name)
+        number = text.cast("double")
+        refused = F.raise_error(F.concat(F.lit(f"{name} is not a whole number: "), text)).cast("int")
+        whole = F.when(number == F.floor(number), number.cast("int")).otherwise(refused)
+        return F.when(number.isNotNull(), whole).alias(name)
     return text.cast(kind).alias(name)
 
 

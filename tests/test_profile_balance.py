@@ -132,3 +132,8 @@ def test_split_balance_reference(units, spec):
     # an empty arm compares as ok
     lonely = balance.split_balance(table.where("treatment = 1"), spec, reference, ["visit"]).collect()
     assert {r.control for r in lonely if r.metric == "visit_rate"} == {None}
+
+
+def test_null_arm_is_on_neither_side(spark, spec):
+    df = spark.createDataFrame([(0,), (1,), (None,)], f"{spec.treatment} int")
+    assert sorted((r["treatment"], r["count"]) for r in profile.treatment_split(df, spec).collect()) == [(0, 1), (1, 1)]

@@ -117,3 +117,14 @@ def test_leakage_guard():
 def test_binarized_csv_matches_arms(spark, tmp_path, spec):
     df = binarize_treatment(tables.read_experiment_csv(spark, contract_csv(tmp_path / "r.csv")), spec)
     assert df.where("treatment = 1").count() == 25
+
+
+def test_csv_refuses_fractions_in_whole_number_columns(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from armspark.sources.tables import _typed
+
+    raw = spark.createDataFrame([("3",), ("4.0",), (None,), ("NaN",)], "recency string")
+    assert [r[0] for r in raw.select(_typed("recency", T.IntegerType())).collect()] == [3, 4, None, None]
+    with pytest.raises(Exception, match="not a whole number"):
+        spark.createDataFrame([("1.9",)], "recency string").select(_typed("recency", T.IntegerType())).collect()
