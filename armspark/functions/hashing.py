@@ -54,6 +54,13 @@ def unit_hash(key: str | Column, seed: int, stream: int) -> Column:
     return F.coalesce(leading, F.lit(0).cast("bigint"))
 
 
+def wide_hash(key: str | Column, seed: int, stream: int) -> Column:
+    """A uniform bigint in [0, 2^60), for numbers that 32 bits are too coarse for."""
+    column = F.col(key) if isinstance(key, str) else key
+    text = F.concat_ws(":", F.lit(unit_prefix(seed, stream)), column.cast("string"))
+    return F.coalesce(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def poisson_cuts() -> tuple[int, ...]:
     """Cumulative Poisson(1) probabilities on the 32-bit scale; above the last one the tail is < 2^-32."""
     cuts, total = [], 0.0

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, stable_sum
+from ..session import materialize
 from .ordering import Scores, model_name, running_totals
 
 
@@ -42,7 +43,10 @@ def qini_curve(scores: Scores, treatment: str, outcome: str) -> DataFrame:
 
     ``random_y`` is the height of the straight line to the curve's end at the same x.
     """
-    totals = running_totals(scores, arm_values(treatment, outcome))
+    return _curve_points(scores, running_totals(scores, arm_values(treatment, outcome)))
+
+
+def _curve_points(scores: Scores, totals: DataFrame) -> DataFrame:
     end = qini_height(*_cum("all_"))
     share = F.col("cum_n").cast("double") / F.col("all_n")
     points = totals.select(
@@ -89,7 +93,19 @@ def slice_area() -> Column:
 
 def qini_coefficient(scores: Scores, treatment: str, outcome: str) -> DataFrame:
     """(model, n, curve_area, curve_end, qini_coefficient)."""
-    totals = running_totals(scores, arm_values(treatment, outcome))
+    return _coefficients(scores, running_totals(scores, arm_values(treatment, outcome)))
+
+
+def qini_metrics(scores: Scores, treatment: str, outcome: str) -> tuple[DataFrame, DataFrame]:
+    """(curve, coefficients) as ``qini_curve`` and ``qini_coefficient`` give them, from one ordered pass.
+
+    The running totals, one row per model and distinct score, are stored and read by both.
+    """
+    totals = materialize(running_totals(scores, arm_values(treatment, outcome)), "qini-totals")
+    return _curve_points(scores, totals), _coefficients(scores, totals)
+
+
+def _coefficients(scores: Scores, totals: DataFrame) -> DataFrame:
     areas = totals.groupBy("m").agg(
         stable_sum(slice_area()).alias("area"),
         *[F.first(f"all_{v}").alias(f"all_{v}") for v in ("n", "nt", "y", "yt")],

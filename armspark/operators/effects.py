@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
@@ -17,12 +19,12 @@ from ..functions.hashing import STREAM_FOLD, STREAM_HONEST, unit_hash
 from ..session import ensure_checkpoint_dir, materialize
 from ..spec import ExperimentSpec, require_columns
 from .encoding import fit_features
-from .learners import fit_together
+from .learners import MAX_BINS, fit_together
 
-# Assignment probabilities are kept off 0 and 1, so that no treatment residual vanishes.
-_CLIP = 0.01
-# Size bound of the honest leaf table, which every scoring task holds.
-MAX_LEAVES = 200_000
+# Assignment probabilities are kept this far off 0 and 1, so that no treatment residual vanishes.
+CLIP = 0.01
+# Groups of trees with an honest half each; one bit of the unit hash decides per group.
+HONEST_GROUPS = 4
 
 
 def with_fold(df: DataFrame, spec: ExperimentSpec, folds: int, seed: int, out: str = "fold") -> DataFrame:
@@ -115,10 +117,13 @@ def cross_fit_residuals(
     rounds: int = 100,
     depth: int = 3,
     seed: int = 42,
+    max_bins: int = MAX_BINS,
+    clip: float = CLIP,
 ) -> tuple[DataFrame, PipelineModel]:
     """(unit, features, yr, tr, fold): residuals from models fitted on the other folds.
 
-    Returns the stored residual table and the fitted feature stages.
+    Returns the stored residual table and the fitted feature stages. Assignment probabilities are kept
+    within ``clip`` and 1 - ``clip``.
     """
     require_columns(train, (spec.key, spec.treatment, target, *spec.features))
     spec.check_leakage()
@@ -132,7 +137,7 @@ def cross_fit_residuals(
         F.col(target).cast("double").alias("y"),
     )
     encoded = materialize(encoded, "encoded")
-    learner = {"maxIter": rounds, "maxDepth": depth, "seed": seed, "checkpointInterval": 10}
+    learner = {"maxIter": rounds, "maxDepth": depth, "seed": seed, "maxBins": max_bins, "checkpointInterval": 10}
     fits = []
     for k in range(folds):
         others = encoded.where(F.col("fold") != k)
@@ -148,7 +153,7 @@ def cross_fit_residuals(
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part)
-    t_hat = F.least(F.greatest(positive_probability("t_prob"), F.lit(_CLIP)), F.lit(1.0 - _CLIP))
+    t_hat = F.least(F.greatest(positive_probability("t_prob"), F.lit(clip)), F.lit(1.0 - clip))
     residuals = together.select(
         spec.key,
         "fold",
@@ -159,59 +164,72 @@ def cross_fit_residuals(
     return materialize(residuals, "residuals"), encoder
 
 
+def leaf_offsets(forests: Sequence[RandomForestRegressionModel]) -> np.ndarray:
+    """Where the leaves of each tree start in one numbering of all leaves, and their total at the end."""
+    leaves = [(tree.numNodes + 1) // 2 for forest in forests for tree in forest.trees]
+    return np.concatenate([[0], np.cumsum(leaves)]).astype(np.int64)
+
+
+def _leaves(forest: RandomForestRegressionModel, df: DataFrame, output: str) -> DataFrame:
+    return forest.transform(df).select(*df.columns, vector_to_array(F.col("leaf")).alias(output))
+
+
 @dataclass(frozen=True)
 class EffectForest:
-    """Fitted forest: feature stages, tree structure, honest leaf sums, population effect."""
+    """Fitted forests: feature stages, tree structure by group, honest leaf means, population effect."""
 
     spec: ExperimentSpec
     encoder: PipelineModel
-    forest: RandomForestRegressionModel
+    forests: tuple[RandomForestRegressionModel, ...]
     leaves: DataFrame
     population_effect: float
 
     def score(self, df: DataFrame, output: str) -> DataFrame:
-        """Effect per row: honest sums of the row's leaves, added over the trees, then divided.
+        """Effect per row: honest means of the row's leaves, added over the trees, then divided.
 
-        The leaf sums, at most ``MAX_LEAVES`` (checked when fitting), enter the plan as two constant
-        arrays indexed by tree and leaf, so no row is multiplied by the number of trees and none
-        is joined. A leaf without honest rows adds nothing; without any the population effect stands.
+        The leaf table has a row per leaf of the trees, which Spark itself keeps on the driver and sends to
+        every task to walk them; it goes the same way, so no row is multiplied by the number of trees
+        and none is joined. A leaf without honest rows adds nothing; without any the population effect stands.
         """
-        located = self.forest.transform(self.encoder.transform(df)).select(
-            *df.columns, vector_to_array(F.col("leaf")).alias("__leaf")
-        )
-        width = 2 ** self.forest.getMaxDepth()
-        slots = self.forest.getNumTrees * width
-        filled = {r["slot"]: (r["cross"], r["square"]) for r in self.leaves.collect()}
-
-        def constant(position: int) -> Column:
-            numbers = (repr(filled[i][position]) if i in filled else "0.0" for i in range(slots))
-            return F.split(F.lit(",".join(numbers)), ",").cast("array<double>")
-
-        def total(values: Column) -> Column:
-            at = F.transform("__leaf", lambda leaf, tree: values[(tree * width + leaf).cast("int")])
-            return F.aggregate(at, F.lit(0.0), lambda acc, v: acc + v)
-
-        effect = ratio(total(constant(0)), total(constant(1)))
-        return located.select(
-            *df.columns, F.coalesce(effect, F.lit(self.population_effect)).alias(output)
-        )
+        starts = leaf_offsets(self.forests)
+        means = np.zeros((2, int(starts[-1])))
+        for row in self.leaves.collect():
+            means[:, row["slot"]] = row["cross"], row["square"]
+        shared = df.sparkSession.sparkContext.broadcast((starts[:-1], means, self.population_effect))
+
+        @F.pandas_udf("double")
+        def effect(leaves: pd.Series) -> pd.Series:
+            if leaves.empty:
+                return pd.Series([], dtype="float64")
+            first, values, otherwise = shared.value
+            at = np.stack(leaves.to_numpy()).astype(np.int64) + first
+            cross, square = values[0][at].sum(axis=1), values[1][at].sum(axis=1)
+            return pd.Series(np.where(square > 0, cross / np.where(square > 0, square, 1.0), otherwise))
+
+        located = self.encoder.transform(df).select(*df.columns, "features")
+        for i, forest in enumerate(self.forests):
+            located = _leaves(forest, located, f"__leaf{i}")
+        every = F.concat(*[F.col(f"__leaf{i}") for i in range(len(self.forests))])
+        return located.select(*df.columns, effect(every).alias(output))
 
     def save(self, path: str) -> None:
         self.encoder.write().overwrite().save(f"{path}/encoder")
-        self.forest.write().overwrite().save(f"{path}/forest")
-        self.leaves.withColumn("population_effect", F.lit(self.population_effect)).repartition(
-            1
-        ).write.mode("overwrite").parquet(f"{path}/leaves")
+        for i, forest in enumerate(self.forests):
+            forest.write().overwrite().save(f"{path}/forest-{i}")
+        self.leaves.withColumns(
+            {"population_effect": F.lit(self.population_effect), "groups": F.lit(len(self.forests))}
+        ).repartition(1).write.mode("overwrite").parquet(f"{path}/leaves")
 
     @staticmethod
     def load(spark: SparkSession, path: str, spec: ExperimentSpec) -> EffectForest:
         stored = spark.read.parquet(f"{path}/leaves")
+        facts = stored.first()
         return EffectForest(
             spec,
             PipelineModel.load(f"{path}/encoder"),
-            RandomForestRegressionModel.load(f"{path}/forest"),
-            stored.drop("population_effect"),
-            stored.first()["population_effect"],
+            tuple(RandomForestRegressionModel.load(f"{path}/forest-{i}") for i in range(facts["groups"])),
+            stored.drop("population_effect", "groups"),
+            facts["population_effect"],
         )
 
 
@@ -224,49 +242,58 @@ def train_effect_forest(
     folds: int = 2,
     depth: int = 5,
     seed: int = 42,
+    max_bins: int = MAX_BINS,
+    feature_share: str = "onethird",
+    honest_groups: int = HONEST_GROUPS,
+    clip: float = CLIP,
 ) -> EffectForest:
     """Honest forest on effect differences.
 
-    Half A grows the trees on the residual quotient yr/tr weighted by tr^2, so splits chase
-    differences in effect; half B alone fills the leaves. Both halves come from the unit key.
+    In each group of trees one half of the units grows the trees on the residual quotient yr/tr weighted by tr^2, so
+    splits chase differences in effect; the other half alone fills the leaves. A bit of the unit's hash
+    per group makes the halves, so every unit grows some trees and fills others.
     """
-    if trees * 2**depth > MAX_LEAVES:
-        raise ValueError(f"trees x 2^depth must stay within {MAX_LEAVES} leaves")
-    residuals, encoder = cross_fit_residuals(train, spec, target, folds, nuisance_rounds, seed=seed)
-    half = unit_hash(spec.key, seed, STREAM_HONEST) % 2
-    grow = residuals.where(half == 0).select(
-        "features",
-        (F.col("yr") / F.col("tr")).alias("__target"),
-        (F.col("tr") * F.col("tr")).alias("__weight"),
-    )
-    forest = RandomForestRegressor(
-        labelCol="__target",
-        weightCol="__weight",
-        leafCol="leaf",
-        numTrees=trees,
-        maxDepth=depth,
-        seed=seed,
-        featureSubsetStrategy="onethird",
-    ).fit(grow)
-    width = 2**depth
-    located = forest.transform(residuals.where(half == 1)).select(
-        "yr", "tr", F.posexplode(vector_to_array(F.col("leaf"))).alias("tree", "leaf")
-    )
-    leaves = (
-        located.groupBy((F.col("tree") * width + F.col("leaf")).cast("bigint").alias("slot"))
-        .agg(
-            F.sum(F.col("yr") * F.col("tr")).alias("cross"),
-            F.sum(F.col("tr") * F.col("tr")).alias("square"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        # Each tree counts the same in a leaf of any size: averages, not totals.
-        .select(
-            "slot",
-            (F.col("cross") / F.col("n")).alias("cross"),
-            (F.col("square") / F.col("n")).alias("square"),
-        )
+    groups = min(honest_groups, trees)
+    if not 1 <= groups <= 32:
+        raise ValueError("between 1 and 32 honest groups")
+    residuals, encoder = cross_fit_residuals(
+        train, spec, target, folds, nuisance_rounds, seed=seed, max_bins=max_bins, clip=clip
     )
     overall = residual_effect(residuals, "yr", "tr").first()["effect"]
     if overall is None:
         raise ValueError("treatment does not vary: no effect to estimate")
-    return EffectForest(spec, encoder, forest, materialize(leaves, "leaves"), overall)
+    fills = [F.shiftrightunsigned(unit_hash(spec.key, seed, STREAM_HONEST), g) % 2 == 1 for g in range(groups)]
+
+    def fit(g: int) -> RandomForestRegressionModel:
+        grow = residuals.where(~fills[g]).select(
+            "features",
+            (F.col("yr") / F.col("tr")).alias("__target"),
+            (F.col("tr") * F.col("tr")).alias("__weight"),
+        )
+        return RandomForestRegressor(
+            labelCol="__target",
+            weightCol="__weight",
+            leafCol="leaf",
+            numTrees=trees // groups + (g < trees % groups),
+            maxDepth=depth,
+            maxBins=max_bins,
+            seed=seed + g,
+            featureSubsetStrategy=feature_share,
+        ).fit(grow)
+
+    forests = tuple(fit_together(train.sparkSession, [lambda g=g: fit(g) for g in range(groups)]))
+    starts = leaf_offsets(forests)
+    parts, tree = [], 0
+    for g, forest in enumerate(forests):
+        first = F.array(*[F.lit(int(s)) for s in starts[tree : tree + forest.getNumTrees]])
+        tree += forest.getNumTrees
+        slots = F.transform(F.col("__leaf"), lambda leaf, i, first=first: leaf.cast("bigint") + first[i])
+        located = _leaves(forest, residuals.where(fills[g]).select("features", "yr", "tr"), "__leaf")
+        parts.append(located.select("yr", "tr", F.explode(slots).alias("slot")))
+    located = parts[0]
+    for part in parts[1:]:
+        located = located.unionByName(part)
+    yr, tr = F.col("yr"), F.col("tr")
+    # Each tree counts the same in a leaf of any size: averages, not totals.
+    leaves = located.groupBy("slot").agg(F.avg(yr * tr).alias("cross"), F.avg(tr * tr).alias("square"))
+    return EffectForest(spec, encoder, forests, materialize(leaves, "leaves"), overall)

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import sanitize_names
 from ..spec import ExperimentSpec, require_columns
 
-# Beyond this many 0/1 columns a table is no longer a sensible shape; use ``feature_stages``.
-MAX_WIDTH = 2000
-
 
 @dataclass(frozen=True)
 class OneHotEncoding:
@@ -44,8 +41,8 @@ def flags_named(columns, names):
 def fit_one_hot(df: DataFrame, spec: ExperimentSpec, sanitize: bool = True) -> OneHotEncoding:
     """Learn the sorted category list of each categorical column in one pass.
 
-    The distinct pairs are bounded by the width of the result. A wider encoding is refused here
-    and belongs in ``feature_stages``, which keeps it as one sparse vector.
+    The driver receives the distinct pairs because each becomes a column of the result. A feature with
+    more values than a table should have columns belongs in ``feature_stages``: one sparse vector.
     """
     spec.check_leakage()
     require_columns(df, spec.features)
@@ -56,10 +53,7 @@ def fit_one_hot(df: DataFrame, spec: ExperimentSpec, sanitize: bool = True) -> O
             for n in spec.categorical
         ]
         distinct = df.select(F.inline(F.array(*pairs))).where("value is not null").distinct()
-        found = distinct.limit(MAX_WIDTH + 1).collect()
-        if len(found) > MAX_WIDTH:
-            raise ValueError(f"more than {MAX_WIDTH} categories; encode as a vector (feature_stages)")
-        for row in found:
+        for row in distinct.collect():
             values[row["feature"]].append(row["value"])
     categories = tuple((name, tuple(sorted(values[name]))) for name in spec.categorical)
     raw = [*spec.numeric, *(f"{name}_{v}" for name, vs in categories for v in vs)]

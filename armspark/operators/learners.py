@@ -24,6 +24,8 @@ from .encoding import feature_stages
 
 # Rounds of boosting used when the caller names none.
 DEFAULT_ROUNDS = 200
+# Intervals per feature that a split can fall between.
+MAX_BINS = 255
 
 
 def fit_together(session: SparkSession, fits: Sequence[Callable], at_most: int = 4) -> list:
@@ -50,15 +52,16 @@ def positive_weight(df: DataFrame, label: str) -> float:
     return row["positive_weight"]
 
 
-def _boosted(spec: ExperimentSpec, label: str, rounds: int, seed: int, depth: int, weight=None):
+def _boosted(
+    spec: ExperimentSpec, label: str, rounds: int, seed: int, depth: int, max_bins: int, weight: str | None = None
+):
     learner = GBTClassifier(
         labelCol=label,
         featuresCol="features",
         maxIter=rounds,
         maxDepth=depth,
         seed=seed,
-        # Category codes and counts have few distinct values; 32 bins split them exactly.
-        maxBins=32,
+        maxBins=max_bins,
         # Every few rounds the residual table is checkpointed, or its lineage would grow per round.
         checkpointInterval=10,
     )
@@ -75,6 +78,7 @@ def train_response_model(
     rounds: int = DEFAULT_ROUNDS,
     depth: int = 5,
     weighted: bool = True,
+    max_bins: int = MAX_BINS,
 ) -> PipelineModel:
     """Boosted trees for P(target), positives weighted up to balance; the arm is not a feature.
 
@@ -88,7 +92,7 @@ def train_response_model(
     if weighted:
         value = positive_weight(data, "__label")
         data, weight = data.withColumn("__weight", class_weight("__label", value)), "__weight"
-    return _boosted(spec, "__label", rounds, seed, depth, weight).fit(data)
+    return _boosted(spec, "__label", rounds, seed, depth, max_bins, weight).fit(data)
 
 
 def predict_probability(model: PipelineModel, df: DataFrame, output: str) -> DataFrame:
@@ -98,7 +102,13 @@ def predict_probability(model: PipelineModel, df: DataFrame, output: str) -> Dat
 
 
 def two_model(
-    train: DataFrame, spec: ExperimentSpec, target: str, seed: int = 42, rounds: int = DEFAULT_ROUNDS, depth: int = 5
+    train: DataFrame,
+    spec: ExperimentSpec,
+    target: str,
+    seed: int = 42,
+    rounds: int = DEFAULT_ROUNDS,
+    depth: int = 5,
+    max_bins: int = MAX_BINS,
 ) -> tuple[PipelineModel, PipelineModel]:
     """One weighted model per arm: (treated model, control model)."""
     arm = F.col(spec.treatment)
@@ -107,7 +117,7 @@ def two_model(
             train.sparkSession,
             [
                 lambda value=value: train_response_model(
-                    train.where(arm == value), spec, target, seed, rounds, depth
+                    train.where(arm == value), spec, target, seed, rounds, depth, max_bins=max_bins
                 )
                 for value in (1, 0)
             ],
@@ -123,11 +133,17 @@ def score_two_model(models: tuple[PipelineModel, PipelineModel], df: DataFrame,
 
 
 def class_transformation(
-    train: DataFrame, spec: ExperimentSpec, target: str, seed: int = 42, rounds: int = DEFAULT_ROUNDS, depth: int = 5
+    train: DataFrame,
+    spec: ExperimentSpec,
+    target: str,
+    seed: int = 42,
+    rounds: int = DEFAULT_ROUNDS,
+    depth: int = 5,
+    max_bins: int = MAX_BINS,
 ) -> PipelineModel:
     """One unweighted model of the revert label, with no correction for unequal arms."""
     labelled = train.withColumn("__revert", revert_label(spec.treatment, target))
-    return train_response_model(labelled, spec, "__revert", seed, rounds, depth, weighted=False)
+    return train_response_model(labelled, spec, "__revert", seed, rounds, depth, weighted=False, max_bins=max_bins)
 
 
 def score_class_transformation(model: PipelineModel, df: DataFrame, output: str) -> DataFrame:

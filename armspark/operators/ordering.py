@@ -8,8 +8,8 @@ per model. Instead every row gets a *cell* that is a pure function of its own va
 * ``sub``: inside such an isolated interval, which interval of the unit key; -1 elsewhere.
 
 Reading cells in (bin descending, sub ascending) order is reading rows in (score descending, key
-ascending) order, cut into pieces of bounded size even if a third of all rows tie. Interval edges
-come from an approximate quantile sketch: their error moves work between tasks, never a result.
+ascending) order, cut into pieces of bounded size even if a third of all rows tie. The number of
+intervals follows from the number of rows. Interval edges come from an approximate quantile sketch: their error moves work between tasks, never a result.
 
 Cell totals are combined before the shuffle and are a small table (models x cells). Whoever needs
 positions adds the total of the preceding cells to a window *inside* the cell.
@@ -26,13 +26,15 @@ import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spec import require_columns
+from .checks import counted_faults, require_binary, require_unit_keys
 
 ROWS_PER_BIN = 2_000_000
 MIN_BINS = 8
-MAX_BINS = 4096
-MAX_SUB_BINS = 256
+# Cell tables up to this many rows are sent to every task.
+SENT_CELLS = 100_000
 
 LIGHT = -1
 
@@ -41,7 +43,8 @@ LIGHT = -1
 class Scores:
     """Long score rows (m, score, bin, sub, key, ...); ``m`` is the position in ``models``.
 
-    ``n`` is the number of units, the same for every model. ``max_cells`` bounds the cell tables.
+    ``n`` is the number of units, the same for every model. ``max_cells`` bounds the cell tables; ``tied``
+    says whether any score fills an interval alone.
     """
 
     rows: DataFrame
@@ -49,6 +52,7 @@ class Scores:
     key: str
     n: int
     max_cells: int
+    tied: bool
 
 
 def _edges(quantiles: Sequence[float]) -> tuple[list[float], list[int]]:
@@ -72,17 +76,27 @@ def long_scores(
     keep: Sequence[str],
     rows_per_bin: int = ROWS_PER_BIN,
     min_bins: int = MIN_BINS,
+    keyed: bool = False,
+    binary: Sequence[str] | None = None,
 ) -> Scores:
     """One row per (unit, model) with its cell. ``df`` should be a stored table: it is read here
     once for the edges and again by every operator on the result.
 
-    NULL and NaN scores rank last, as minus infinity. The driver sees at most
-    (models + 1) x MAX_BINS edges, whatever the number of rows.
+    NULL and NaN scores rank last, as minus infinity. The driver sees (models + 1) edges per
+    ``rows_per_bin`` rows. Keys may be numbers or texts. A repeated or NULL key is an error; ``keyed`` says
+    that this has been checked before. The columns ``binary`` (all of ``keep``, if not given) must be 0 or 1.
     """
     models = tuple(score_columns)
     require_columns(df, (key, *keep, *score_columns.values()))
+    flags = tuple(keep if binary is None else binary)
+    if not keyed:
+        require_unit_keys(df, key)
+    facts = df.agg(F.count(F.lit(1)).alias("n"), *counted_faults(flags)).first()
+    require_binary({c: facts[f"fault_{i}"] for i, c in enumerate(flags)})
+    n = facts["n"]
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)
     clean = df.select(
-        F.col(key).cast("bigint").alias(key),
+        (F.col(key).cast("bigint") if whole else F.col(key)).alias(key),
         *keep,
         *[
             F.coalesce(
@@ -91,15 +105,13 @@ def long_scores(
             for i, c in enumerate(score_columns.values())
         ],
     )
-    n = df.count()
-    n_bins = int(min(MAX_BINS, max(min_bins, -(-n // rows_per_bin))))
-    n_sub = int(min(MAX_SUB_BINS, max(1, -(-n // rows_per_bin))))
+    clean = clean.withColumn("__k", _key_number(clean, key))
+    n_sub = max(1, -(-n // rows_per_bin))
+    n_bins = max(min_bins, n_sub)
     scores = [f"__s{i}" for i in range(len(models))]
     levels = [j / n_bins for j in range(1, n_bins)]
     quantiles = (
-        clean.withColumn("__k", F.col(key).cast("double")).approxQuantile(
-            [*scores, "__k"], levels, 1.0 / (4 * n_bins)
-        )
+        clean.approxQuantile([*scores, "__k"], levels, 1.0 / (4 * n_bins))
         if n
         else [[] for _ in range(len(models) + 1)]
     )
@@ -107,7 +119,7 @@ def long_scores(
     step = max(1, n_bins // n_sub)
     key_edges = [-np.inf, *sorted(set(quantiles[-1][step - 1 :: step] if n_sub > 1 else [])), np.inf]
     binned = _bucketize(
-        clean.withColumn("__k", F.col(key).cast("double")),
+        clean,
         {**{f"__b{i}": (c, e) for i, (c, e) in enumerate(zip(scores, splits))}, "__sub": ("__k", key_edges)},
     )
     sub = F.col("__sub")
@@ -125,7 +137,15 @@ def long_scores(
         )
     rows = binned.select(key, *keep, F.inline(F.array(*structs)))
     max_cells = sum(len(s) + len(h) * (len(key_edges) - 1) for s, h in zip(splits, isolated))
-    return Scores(rows, models, key, n, max_cells)
+    return Scores(rows, models, key, n, max_cells, any(isolated))
+
+
+def _key_number(df: DataFrame, key: str) -> Column:
+    """A double that never falls as the key rises: the number, or the first six bytes of a text."""
+    if not isinstance(df.schema[key].dataType, T.StringType):
+        return F.col(key).cast("double")
+    leading = F.rpad(F.hex(F.substring(F.col(key).cast("binary"), 1, 6)), 12, "0")
+    return F.conv(leading, 16, 10).cast("double")
 
 
 def _bucketize(df: DataFrame, wanted: Mapping[str, tuple[str, list[float]]]) -> DataFrame:
@@ -172,20 +192,29 @@ def running_totals(
 ) -> DataFrame:
     """One row per (model, distinct score): own sums and ``cum_*`` totals down to that score.
 
-    Ties collapse before the first shuffle. The offset table has one row per (model, bin), at
-    most ``max_cells``, and joins on the keys the window has already partitioned by.
+    Rows of ordinary bins are dealt once by (model, bin), which serves the sums per score and the
+    window alike. A bin that one score fills alone needs no window: its sums are combined before
+    their shuffle, so it never meets in one task. The offset table has one row per (model, bin), at most
+    ``max_cells``; it is sent to the tasks while that is few.
     """
     keys = ["m", *extra, "bin"]
-    groups = scores.rows.groupBy(*keys, "score").agg(*[c.alias(v) for v, c in values.items()])
+    sums = [c.alias(v) for v, c in values.items()]
+    light = F.col("sub") == LIGHT
+    groups = scores.rows.where(light).repartition(*keys).groupBy(*keys, "score").agg(*sums)
     inside = (
         Window.partitionBy(*keys)
         .orderBy(F.col("score").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = groups.select("*", *[F.sum(v).over(inside).alias(f"in_{v}") for v in values])
+    if scores.tied:
+        alone = scores.rows.where(~light).groupBy(*keys, "score").agg(*sums)
+        local = local.unionByName(alone.select("*", *[F.col(v).alias(f"in_{v}") for v in values]))
     offsets = cell_totals(scores, values, by_sub=False, extra=extra).select(
         *keys, *[f"before_{v}" for v in values], *[f"all_{v}" for v in values]
     )
+    if not extra and scores.max_cells <= SENT_CELLS:
+        offsets = F.broadcast(offsets)
     return local.join(offsets, keys).select(
         *keys,
         "score",

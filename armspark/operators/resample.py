@@ -36,6 +36,7 @@ from ..functions.hashing import (
     poisson_weight,
     replicate_words,
     unit_hash,
+    wide_hash,
 )
 from ..session import materialize
 from .curves import qini_from_area, qini_height, slice_area
@@ -47,7 +48,6 @@ cloudpickle.register_pickle_by_value(hashing)
 
 _BLOCK = 1024
 _AREA_BLOCK = 256
-MAX_MULTINOMIAL = 1 << 24
 _SUMS = ("n", "nt", "y", "yt")
 _SUM_SCHEMA = "m int, bin int, sub int, rep int, n bigint, nt bigint, y bigint, yt bigint"
 
@@ -232,16 +232,14 @@ def bootstrap_qini(
 def multinomial_weights(df: DataFrame, key: str, n_replicates: int, seed: int = 42) -> DataFrame:
     """(unit, rep, weight): exactly n draws with replacement per replicate.
 
-    The literal resample, for tables small enough that units x replicates rows are affordable; the
-    Poisson weights above need no draws table and have no such limit.
+    The literal resample: its cost is units x replicates draws, all made and combined in the tasks
+    that count them. The Poisson weights above need no draws table.
     """
     n = df.count()
-    if n > MAX_MULTINOMIAL:
-        raise ValueError(f"{n} units exceed {MAX_MULTINOMIAL}; use the Poisson bootstrap")
     spark = df.sparkSession
     draws = spark.range(n * n_replicates).select(
         F.expr(f"cast(id div {max(n, 1)} as int)").alias("rep"),
-        F.shiftright(unit_hash("id", seed, STREAM_DRAW) * F.lit(n), 32).alias("position"),
+        (wide_hash("id", seed, STREAM_DRAW) % F.lit(max(n, 1))).alias("position"),
     )
     drawn = draws.groupBy("rep", "position").agg(F.count(F.lit(1)).cast("int").alias("weight"))
     # A constant score ranks the units by key alone: a dense position without a global sort.

@@ -21,10 +21,12 @@ def with_random_score(df: DataFrame, key: str, seed: int, out: str = "random_sco
     return df.withColumn(out, -unit_hash(key, seed, STREAM_RANDOM_PICK).cast("double"))
 
 
-def random_selection(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
+def random_selection(
+    df: DataFrame, key: str, fraction: float, seed: int = 42, keyed: bool = False
+) -> DataFrame:
     """Exactly ceil(n * fraction) rows without replacement; the same rows for the same seed."""
     scored = with_random_score(df.select(key), key, seed)
-    scores = long_scores(scored, {RANDOM: "random_score"}, key, [])
+    scores = long_scores(scored, {RANDOM: "random_score"}, key, [], keyed=keyed)
     return flag_top(scores, fraction).where("in_top").select(key)
 
 

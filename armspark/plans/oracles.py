@@ -271,7 +271,7 @@ def _multinomial_draws(count: int) -> str:
 population AS (SELECT count(*) AS size FROM scored),
 numbers AS (SELECT unnest(range((SELECT size * {count} FROM population))) AS id),
 positions AS (
-  SELECT id // size AS rep, (CAST('0x' || substr({text}, 1, 8) AS BIGINT) * size) >> 32 AS position
+  SELECT id // size AS rep, CAST('0x' || substr({text}, 1, 15) AS BIGINT) % size AS position
   FROM numbers, population),
 places AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS position FROM scored),
 draws AS (

@@ -88,7 +88,7 @@ def scored(spark, folder):
 @stored
 def _scores(spark, folder) -> Scores:
     """The score rows with their bins, as one analysis builds them once for all its metrics."""
-    return long_scores(scored(spark, folder), MODELS, "unit_id", KEEP)
+    return long_scores(scored(spark, folder), MODELS, "unit_id", KEEP, keyed=True)
 
 
 # --- scans, arms, profile ---------------------------------------------------------------------
@@ -415,6 +415,7 @@ def bootstrap_multinomial(spark, folder):
     return _rounded(named, "qini")
 
 
+@stored
 def _intervals(spark, folder) -> DataFrame:
     scores = _scores(spark, folder)
     replicates = resample.bootstrap_qini(scores, "treatment", "visit", REPLICATES, SEED)

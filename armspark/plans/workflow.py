@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import binarize_treatment
 from ..operators import balance, curves, effects, learners, profile, ranking, resample, split, targeting
+from ..operators.checks import require_unit_keys
 from ..operators.ordering import long_scores
 from ..session import materialize
 from ..sources import sinks, tables
@@ -22,14 +23,6 @@ MODEL_COLUMNS = {
     "Causal Forest": "uplift_causal_forest",
 }
 REFERENCE_MODEL = "Causal Forest"
-# Rates of the full published experiment, an optional reference for split checks.
-PUBLISHED_RATES = {
-    ("visit", 0): 0.1062,
-    ("visit", 1): 0.1670,
-    ("conversion", 0): 0.0057,
-    ("conversion", 1): 0.0107,
-}
-PUBLISHED_CONTROL_SHARE = 0.3329
 
 
 @dataclass(frozen=True)
@@ -49,6 +42,7 @@ def prepare(spark: SparkSession, csv: str, out: str, spec: ExperimentSpec = Expe
     names = spark.read.option("header", True).csv(csv).columns
     if spec.key in names:
         raw = tables.read_experiment_csv(spark, csv, key=spec.key)
+        require_unit_keys(raw, spec.key)
     else:
         raw = tables.assign_unit_ids(tables.read_experiment_csv(spark, csv), spec.key)
     sinks.write_raw(raw, out)
@@ -95,7 +89,7 @@ def train_baseline(
         spec.key,
     )
     stored = tables.read_scores(spark, ranking_path, (spec.key, "predicted_prob"))
-    scores = long_scores(stored, {"baseline": "predicted_prob"}, spec.key, [f"actual_{target}"])
+    scores = long_scores(stored, {"baseline": "predicted_prob"}, spec.key, [f"actual_{target}"], keyed=True)
     return (
         curves.classifier_report(scores, f"actual_{target}"),
         ranking.signal_check(scores, f"actual_{target}"),
@@ -146,7 +140,9 @@ def train_effects(
     sinks.write_scores(combined, combined_path, spec.key)
     stored = tables.read_scores(spark, combined_path)
     effect_models = {m: c for m, c in MODEL_COLUMNS.items() if c.startswith("uplift_")}
-    scores = long_scores(stored, effect_models, spec.key, ["actual_treatment", f"actual_{target}"])
+    scores = long_scores(
+        stored, effect_models, spec.key, ["actual_treatment", f"actual_{target}"], keyed=True
+    )
     return ranking.signal_check_effect(scores, "actual_treatment", f"actual_{target}")
 
 
@@ -165,10 +161,11 @@ def evaluate(
     stored = tables.read_scores(spark, combined_path, tuple(models.values()))
     t, y = "actual_treatment", f"actual_{target}"
     scores = long_scores(stored, models, key, [t, y])
-    curves.qini_curve(scores, t, y).write.mode("overwrite").parquet(f"{out}/qini_curves")
+    curve, coefficients = curves.qini_metrics(scores, t, y)
+    curve.write.mode("overwrite").parquet(f"{out}/qini_curves")
     replicates = resample.bootstrap_qini(scores, t, y, sizes.replicates, sizes.seed)
     intervals = resample.with_intervals(
-        curves.qini_coefficient(scores, t, y), resample.percentile_interval(replicates, scores)
+        coefficients, resample.percentile_interval(replicates, scores)
     )
     intervals = materialize(intervals, "intervals")
     uplift = materialize(ranking.uplift_at_k(scores, t, y, ks), "uplift")

@@ -39,14 +39,12 @@ def test_one_hot_errors(spark, units, spec):
         encoding.fit_one_hot(units, ExperimentSpec(numeric=("treatment",)))
 
 
-def test_wide_encoding_goes_to_the_vector(spark, monkeypatch):
-    monkeypatch.setattr(encoding, "MAX_WIDTH", 20)
-    df = spark.range(50).select(F.col("id").cast("string").alias("c"), F.lit(1.0).alias("x"))
+def test_wide_encoding(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("c"), F.lit(1.0).alias("x"))
     spec = ExperimentSpec(numeric=("x",), categorical=("c",))
-    with pytest.raises(ValueError, match="vector"):
-        encoding.fit_one_hot(df, spec)
+    assert len(encoding.fit_one_hot(df, spec).names) == 3001
     vector = encoding.fit_features(df, spec).transform(df).first()["features"]
-    assert vector.size == 51
+    assert vector.size == 3001
 
 
 def test_vector_agrees_with_columns(units, spec):
@@ -78,16 +76,34 @@ def test_split_with_many_bins_equals_one_bin(units, spec, monkeypatch):
     assert few == many
 
 
-def test_allocation():
-    assert split.allocate({"a": 10, "b": 10}, 0.2) == {"a": 2, "b": 2}
-    got = split.allocate({"a": 7, "b": 5, "c": 3}, 0.3)
+def test_allocation(spark):
+    def allocate(sizes, share):
+        df = spark.createDataFrame(sorted(sizes.items()), "stratum string, size bigint")
+        return {r.stratum: r["take"] for r in split.allocate(df, share).collect()}
+
+    assert allocate({"a": 10, "b": 10}, 0.2) == {"a": 2, "b": 2}
+    got = allocate({"a": 7, "b": 5, "c": 3}, 0.3)
     assert sum(got.values()) == math.ceil(15 * 0.3) and got == {"a": 2, "b": 2, "c": 1}
+    many = allocate({f"{i:05d}": 10 + i % 7 for i in range(12_000)}, 0.25)
+    assert sum(many.values()) == math.ceil(sum(10 + i % 7 for i in range(12_000)) * 0.25)
+    huge = allocate({"a": 3 * 10**17, "b": 10**17 + 1}, 0.5)
+    assert sum(huge.values()) == 2 * 10**17 and huge["a"] == 15 * 10**16
     with pytest.raises(ValueError, match="single row"):
-        split.allocate({"a": 1, "b": 10}, 0.2)
+        allocate({"a": 1, "b": 10}, 0.2)
     with pytest.raises(ValueError, match="strata"):
-        split.allocate({"a": 2, "b": 2, "c": 2}, 0.2)
+        allocate({"a": 2, "b": 2, "c": 2}, 0.2)
     with pytest.raises(ValueError, match="between"):
-        split.allocate({"a": 5}, 1.0)
+        allocate({"a": 5}, 1.0)
+
+
+def test_split_refuses_repeated_keys_and_other_values(units, spec):
+    twice = units.withColumn("unit_id", F.col("unit_id") % 7)
+    with pytest.raises(ValueError, match="unique"):
+        split.stratified_split(twice, spec)
+    with pytest.raises(ValueError, match="conversion"):
+        split.stratified_split(units.withColumn("conversion", F.col("conversion") * 5), spec)
+    with pytest.raises(ValueError, match="treatment"):
+        split.stratified_split(units.withColumn("treatment", F.lit(None).cast("int")), spec)
 
 
 def test_split_of_nothing(units, spec):

@@ -145,12 +145,16 @@ def test_forest(spark, planted, tmp_path):
     assert key(again) == pytest.approx(first)
     forest.save(str(tmp_path / "forest"))
     assert key(effects.EffectForest.load(spark, str(tmp_path / "forest"), SPEC)) == first
-    # brute force over the honest leaf sums of a few rows
-    located = forest.forest.transform(forest.encoder.transform(test)).limit(20).collect()
+    # brute force over the honest leaf means of a few rows
+    starts = effects.leaf_offsets(forest.forests)
     leaves = {r.slot: r for r in forest.leaves.collect()}
-    for r in located:
-        hit = [leaves[s] for i, leaf in enumerate(r.leaf) if (s := i * 8 + int(leaf)) in leaves]
+    encoded = forest.encoder.transform(test).select("unit_id", "features").limit(20).collect()
+    trees = [tree for part in forest.forests for tree in part.trees]
+    assert len(trees) == 6 and len(forest.forests) == 4
+    for r in encoded:
+        slots = [int(starts[i]) + int(tree.predictLeaf(r.features)) for i, tree in enumerate(trees)]
+        hit = [leaves[s] for s in slots if s in leaves]
         want = sum(h.cross for h in hit) / sum(h.square for h in hit)
         assert first[r.unit_id] == pytest.approx(want)
-    with pytest.raises(ValueError, match="leaves"):
-        effects.train_effect_forest(train, SPEC, "visit", trees=10_000, depth=12)
+    with pytest.raises(ValueError, match="honest groups"):
+        effects.train_effect_forest(train, SPEC, "visit", honest_groups=0, **sizes)

@@ -196,3 +196,28 @@ def test_budgets(spark, frame):
     assert targeting.all_beat_random(table).first()[0] == all(r.beats_random for r in beat.collect())
     with pytest.raises(Exception, match="random selection"):
         targeting.beat_random(table.where("strategy <> 'Random Selection' or budget = 0.1")).collect()
+
+
+def test_repeated_keys_and_other_values_are_errors(spark):
+    df = spark.range(1000).selectExpr("id % 7 as unit_id", "cast(id as double) as s", "1 as t", "0 as y")
+    with pytest.raises(ValueError, match="unique"):
+        ordering.long_scores(df, {"A": "s"}, "unit_id", [])
+    with pytest.raises(ValueError, match="unique"):
+        targeting.random_selection(df, "unit_id", 0.1)
+    unique = df.withColumn("unit_id", F.col("s").cast("long"))
+    for value in (2, None, 5.5):
+        wrong = unique.withColumn("y", F.when(F.col("unit_id") == 3, F.lit(value)).otherwise(F.col("y")))
+        with pytest.raises(ValueError, match="'y': 1"):
+            ordering.long_scores(wrong, {"A": "s"}, "unit_id", ["t", "y"])
+    assert ordering.long_scores(unique, {"A": "s"}, "unit_id", ["t", "y"]).n == 1000
+
+
+@pytest.mark.parametrize("rows_per_bin", [10_000, 25, 3])
+def test_text_keys(spark, rows_per_bin):
+    df = spark.range(400).selectExpr("concat('kä', id * 37 % 400, '-x') as unit_id", "id % 3 / 2.0 as s")
+    scores = ordering.long_scores(df, {"A": "s"}, "unit_id", [], rows_per_bin=rows_per_bin)
+    want = sorted(((r.unit_id, r.s) for r in df.collect()), key=lambda r: (-r[1], r[0].encode()))
+    got = {r.unit_id: r["rank"] for r in ordering.global_rank(scores).collect()}
+    assert got == {unit: i + 1 for i, (unit, _) in enumerate(want)}
+    top = {r.unit_id for r in ordering.flag_top(scores, 0.1).where("in_top").collect()}
+    assert top == {unit for unit, _ in want[:40]}

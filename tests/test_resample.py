@@ -67,12 +67,6 @@ def test_multinomial_draws(frame):
     assert 0.55 < (weights.groupby("rep").size() / 500).mean() < 0.71
 
 
-def test_multinomial_size_guard(frame, monkeypatch):
-    monkeypatch.setattr(resample, "MAX_MULTINOMIAL", 100)
-    with pytest.raises(ValueError, match="Poisson"):
-        resample.multinomial_weights(frame, "unit_id", 2)
-
-
 def test_interval(spark, frame):
     scores = long_scores(frame, SCORE_COLUMNS, "unit_id", KEEP)
     reps = resample.bootstrap_qini(scores, "treatment", "visit", 40, seed=5)
