@@ -287,7 +287,7 @@ def train_effect_forest(
     for g, forest in enumerate(forests):
         first = F.array(*[F.lit(int(s)) for s in starts[tree : tree + forest.getNumTrees]])
         tree += forest.getNumTrees
-        slots = F.transform(F.col("__leaf"), lambda leaf, i, first=first: leaf.cast("bigint") + first[i])
+        slots = F.zip_with("__leaf", first, lambda leaf, start: leaf.cast("bigint") + start)
         located = _leaves(forest, residuals.where(fills[g]).select("features", "yr", "tr"), "__leaf")
         parts.append(located.select("yr", "tr", F.explode(slots).alias("slot")))
     located = parts[0]

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from ..sources.tables import key_presence
 from ..spec import require_columns
 from .curves import arm_values
 from .ordering import Scores, global_rank, top_fraction_sums
@@ -24,13 +23,18 @@ def combine_scores(
     """
     require_columns(scores, [key])
     require_columns(baseline, [key, probability])
-    usable = baseline.where(F.col(probability).isNotNull())
-    # One shuffle of the bare keys finds repeated and missing ones together.
+    # One scan a side and one shuffle of the bare keys find repeated and missing ones together.
+    left = scores.select(key, F.lit(1).alias("__own"), F.lit(0).alias("__base"), F.lit(0).alias("__usable"))
+    usable = F.col(probability).isNotNull().cast("int")
+    right = baseline.select(key, F.lit(0).alias("__own"), F.lit(1).alias("__base"), usable.alias("__usable"))
+    sides = ("__own", "__base", "__usable")
     found = (
-        key_presence((scores, baseline, usable), key)
+        left.unionByName(right)
+        .groupBy(key)
+        .agg(*[F.sum(c).alias(c) for c in sides])
         .agg(
-            F.count_if((F.col("n_0") > 1) | (F.col("n_1") > 1)).alias("repeated"),
-            F.count_if((F.col("n_0") > 0) & (F.col("n_2") == 0)).alias("missing"),
+            F.count_if((F.col("__own") > 1) | (F.col("__base") > 1)).alias("repeated"),
+            F.count_if((F.col("__own") > 0) & (F.col("__usable") == 0)).alias("missing"),
         )
         .first()
     )

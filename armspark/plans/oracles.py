@@ -27,6 +27,7 @@ from .registry import (
     WEIGHT_REPLICATES,
 )
 from ..sources.star import STAR_SPEC as SPEC
+from ..spec import RAW_SCHEMA
 
 
 def _mix(h: str) -> str:
@@ -397,6 +398,24 @@ _WITH_INTERVALS = _WITH_CURVE + "," + _INTERVALS
 _WITH_BUDGET = _WITH_SCORES + "," + _RANDOM + "," + _BUDGET
 
 
+def _stump(name: str, label: str, where: str = "true", weighted: bool = True) -> str:
+    """CTEs ending in ``name`` (f, v, p): the flag that splits best, its sides, their probabilities.
+
+    The first boosted tree fits 2y - 1 with weights; the split with the most variance between its sides wins.
+    """
+    weight = "count(*) FILTER (y = 0) / CAST(count(*) FILTER (y = 1) AS DOUBLE)" if weighted else "1.0::DOUBLE"
+    return f"""
+{name}_rows AS (SELECT mens, womens, newbie, {label} AS y FROM train WHERE {where}),
+{name}_weight AS (SELECT {weight} AS pw FROM {name}_rows {"" if weighted else "LIMIT 1"}),
+{name}_long AS (
+  SELECT unnest([1, 2, 3]) AS f, unnest([mens, womens, newbie]) AS v, y,
+         CASE WHEN y = 1 THEN pw ELSE 1.0::DOUBLE END AS w FROM {name}_rows, {name}_weight),
+{name}_sides AS (SELECT f, v, sum(w) AS w, sum(w * (2 * y - 1)) AS s FROM {name}_long GROUP BY f, v),
+{name}_best AS (
+  SELECT f FROM {name}_sides GROUP BY f HAVING count(*) = 2 ORDER BY sum(s * s / w) DESC, f LIMIT 1),
+{name} AS (SELECT f, v, 1 / (1 + exp(-2 * s / w)) AS p FROM {name}_sides JOIN {name}_best USING (f))"""
+
+
 def _sql(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()}\n{select.strip()}"
 
@@ -620,6 +639,7 @@ SELECT *, top_rate - rest_rate AS gap, CASE WHEN overall_rate > 0 THEN top_rate
         ),
         "signal_check_effect": _sql(_WITH_LONG + "," + _CHECK_EFFECT, "SELECT * FROM effect_check"),
         "uplift_at_k": _sql(_WITH_LONG + "," + _UPLIFT, "SELECT * FROM uplift"),
+        "result_round_trip": _sql(_WITH_LONG + "," + _UPLIFT, "SELECT * FROM uplift"),
         "best_model": _sql(
             _WITH_LONG + "," + _CHECK_EFFECT,
             f"""SELECT row_number() OVER w AS rank, model, gap AS value, row_number() OVER w = 1 AS is_best
@@ -655,6 +675,42 @@ UNION ALL SELECT DISTINCT model, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM
             """SELECT model, n, round(curve_area, 5) AS curve_area, round(curve_end, 5) AS curve_end,
        round(qini_coefficient, 5) AS qini_coefficient FROM coefficients""",
         ),
+        "compute_qini_metrics": _sql(
+            _WITH_CURVE,
+            """SELECT model, n, round(curve_area, 5) AS curve_area, round(curve_end, 5) AS curve_end,
+       round(qini_coefficient, 5) AS qini_coefficient, n_points, round(peak, 5) AS peak
+FROM coefficients JOIN (SELECT model, count(*) + 1 AS n_points, greatest(max(y1), 0) AS peak
+                        FROM heights GROUP BY model) USING (model)""",
+        ),
+        "csv_round_trip": _sql(_BASE, f"SELECT unit_id, {', '.join(RAW_SCHEMA.fieldNames())} FROM raw_exp"),
+        "parquet_round_trip": _sql(_BASE, f"SELECT unit_id, {', '.join(RAW_SCHEMA.fieldNames())} FROM raw_exp"),
+        "split_round_trip": _sql(_WITH_SPLIT, "SELECT unit_id, treatment, visit, split FROM test"),
+        "scores_round_trip": _sql(
+            _WITH_SCORES,
+            "SELECT unit_id, treatment, visit, conversion, "
+            + ", ".join(f"round({c}, 6) AS {c}" for c in MODELS.values())
+            + " FROM scored",
+        ),
+        "threshold_labels": _sql(
+            _WITH_LONG, f"SELECT unit_id, model, CAST(score >= {THRESHOLD}::DOUBLE AS INTEGER) AS label FROM long"
+        ),
+        "stump_response": _sql(
+            _WITH_SPLIT + "," + _stump("stump", "visit"),
+            "SELECT unit_id, round(p, 6) AS score FROM test JOIN stump ON v = [mens, womens, newbie][f]",
+        ),
+        "stump_two_model": _sql(
+            _WITH_SPLIT + "," + _stump("one", "visit", "treatment = 1") + "," + _stump("nil", "visit", "treatment = 0"),
+            """SELECT unit_id, round(one.p - nil.p, 6) AS score FROM test
+JOIN one ON one.v = [mens, womens, newbie][one.f] JOIN nil ON nil.v = [mens, womens, newbie][nil.f]""",
+        ),
+        "stump_class_transform": _sql(
+            _WITH_SPLIT + "," + _stump("stump", "CAST(treatment = visit AS INTEGER)", weighted=False),
+            "SELECT unit_id, round(2 * p - 1, 6) AS score FROM test JOIN stump ON v = [mens, womens, newbie][f]",
+        ),
+        "fold_assignment": _sql(
+            _WITH_SPLIT + "," + _unit_hash("folded", "train", STREAM_FOLD, "*").lstrip(),
+            "SELECT unit_id, CAST(h % 2 AS INTEGER) AS fold FROM folded",
+        ),
         "roc_auc": _sql(
             _WITH_CURVE,
             """SELECT model, 'visit' AS label,

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import binarize_treatment
+from ..functions.columns import binarize_treatment, threshold_label
 from ..operators import balance, curves, effects, encoding, learners, profile, ranking, resample, split
 from ..operators import targeting as target
 from ..operators.ordering import Scores, flag_top, long_scores, named_rows
-from ..session import materialize
+from ..session import materialize, scratch_folder
+from ..sources import sinks, tables
 from ..sources.star import STAR_SPEC as SPEC
 from ..sources.star import experiment_table, experiment_units
 from ..sources.tables import assemble
@@ -32,11 +35,14 @@ MODELS = {
     "Continuous": "s_cont",
 }
 KEEP = ("treatment", "visit", "conversion")
-# Learner sizes for the registered queries; the library defaults are larger.
-ROUNDS, DEPTH, TREES = 8, 3, 20
+# Learner sizes of the registered queries: those of a full analysis.
+ROUNDS, NUISANCE_ROUNDS, DEPTH, TREES = 200, 100, 5, 200
+# The smallest boosted model: one split on one of three flags, which SQL can follow.
+STUMP_SPEC = replace(SPEC, numeric=("mens", "womens", "newbie"), categorical=())
+STUMP = {"rounds": 1, "depth": 1}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple, DataFrame] = {}
 
 
 def query(fn):
@@ -45,11 +51,11 @@ def query(fn):
 
 
 def stored(fn):
-    """Stage tables are written once per application and input folder, then scanned by all queries."""
+    """Stage tables are written once per application and state of the input files, then scanned by all queries."""
 
     @wraps(fn)
     def once(spark: SparkSession, folder: str) -> DataFrame:
-        at = (spark.sparkContext.applicationId, folder, fn.__name__)
+        at = (spark.sparkContext.applicationId, folder, fn.__name__, *_file_states(spark, folder))
         if at not in _stored:
             _stored[at] = fn(spark, folder)
         return _stored[at]
@@ -57,6 +63,17 @@ def stored(fn):
     return once
 
 
+def _file_states(spark: SparkSession, folder: str) -> tuple:
+    """Name, size and time of the input files, so that changed inputs are not answered from old stage tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def _fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @stored
 def experiment(spark, folder):
     return materialize(binarize_treatment(experiment_table(spark, folder), SPEC), "experiment")
@@ -91,6 +108,12 @@ def _scores(spark, folder) -> Scores:
     return long_scores(scored(spark, folder), MODELS, "unit_id", KEEP, keyed=True)
 
 
+def stage_tables(spark: SparkSession, folder: str) -> None:
+    """Write all tables that queries share."""
+    _scores(spark, folder)
+    _intervals(spark, folder)
+
+
 # --- scans, arms, profile ---------------------------------------------------------------------
 
 
@@ -362,6 +385,14 @@ def qini_coefficient(spark, folder):
     return _rounded(table, "curve_area", "curve_end", "qini_coefficient", digits=5)
 
 
+@query
+def compute_qini_metrics(spark, folder):
+    curve, coefficients = curves.qini_metrics(_scores(spark, folder), "treatment", "visit")
+    points = curve.groupBy("model").agg(F.count(F.lit(1)).alias("n_points"), F.max("y").alias("peak"))
+    table = coefficients.drop("m").join(points, "model")
+    return _rounded(table, "curve_area", "curve_end", "qini_coefficient", "peak", digits=5)
+
+
 @query
 def roc_auc(spark, folder):
     return _rounded(curves.roc_auc(_scores(spark, folder), ("visit", "conversion")), "auc")
@@ -449,7 +480,83 @@ def verdict_facts(spark, folder):
     return _rounded(facts, "best_qini", "best_lower", "best_upper")
 
 
-# --- tree learners (no SQL counterpart) -------------------------------------------------------
+# --- scans and sinks: written as the workflow writes them, read back as it reads them -------------
+
+
+@query
+def csv_round_trip(spark, folder):
+    path = _fresh_path(spark, "raw-csv")
+    sinks.write_raw(experiment(spark, folder), path, fmt="csv")
+    return tables.read_experiment_csv(spark, path, key="unit_id")
+
+
+@query
+def parquet_round_trip(spark, folder):
+    path = _fresh_path(spark, "raw")
+    sinks.write_raw(experiment(spark, folder), path)
+    return tables.read_experiment_parquet(spark, path, key="unit_id")
+
+
+@query
+def split_round_trip(spark, folder):
+    path = _fresh_path(spark, "split")
+    sinks.write_split(split_table(spark, folder), path)
+    return tables.read_split(spark, path, "test").select("unit_id", "treatment", "visit", "split")
+
+
+@query
+def scores_round_trip(spark, folder):
+    path = _fresh_path(spark, "scores")
+    sinks.write_scores(scored(spark, folder), path)
+    stored_scores = tables.read_scores(spark, path, tuple(MODELS.values()))
+    return _rounded(stored_scores, *MODELS.values())
+
+
+@query
+def result_round_trip(spark, folder):
+    path = _fresh_path(spark, "result")
+    result = ranking.uplift_at_k(_scores(spark, folder), "treatment", "visit", KS)
+    sinks.write_result(result, path)
+    return spark.read.option("header", True).schema(result.schema).csv(path)
+
+
+@query
+def threshold_labels(spark, folder):
+    rows = named_rows(_scores(spark, folder))
+    return rows.select("unit_id", "model", threshold_label("score", THRESHOLD).alias("label"))
+
+
+# --- tree learners: the smallest ones, checked by SQL, then full ones (no SQL counterpart) ---------
+
+
+@query
+def stump_response(spark, folder):
+    """Fitted, stored, loaded again, scored."""
+    train, test = _sides(spark, folder)
+    path = _fresh_path(spark, "model")
+    sinks.save_model(learners.train_response_model(train, STUMP_SPEC, "visit", SEED, **STUMP), path)
+    scored_test = learners.predict_probability(sinks.load_model(spark, path), test, "score")
+    return _rounded(scored_test.select("unit_id", "score"), "score")
+
+
+@query
+def stump_two_model(spark, folder):
+    train, test = _sides(spark, folder)
+    models = learners.two_model(train, STUMP_SPEC, "visit", SEED, **STUMP)
+    return _rounded(learners.score_two_model(models, test, "score").select("unit_id", "score"), "score")
+
+
+@query
+def stump_class_transform(spark, folder):
+    train, test = _sides(spark, folder)
+    model = learners.class_transformation(train, STUMP_SPEC, "visit", SEED, **STUMP)
+    scored_test = learners.score_class_transformation(model, test, "score")
+    return _rounded(scored_test.select("unit_id", "score"), "score")
+
+
+@query
+def fold_assignment(spark, folder):
+    return effects.with_fold(_sides(spark, folder)[0], SPEC, 2, SEED).select("unit_id", "fold")
 
 
 @query
@@ -477,6 +584,6 @@ def gbt_class_transform(spark, folder):
 def effect_forest(spark, folder):
     train, test = _sides(spark, folder)
     forest = effects.train_effect_forest(
-        train, SPEC, "visit", trees=TREES, nuisance_rounds=ROUNDS, depth=4, seed=SEED
+        train, SPEC, "visit", trees=TREES, nuisance_rounds=NUISANCE_ROUNDS, depth=DEPTH, seed=SEED
     )
     return forest.score(test, "score").select("unit_id", *KEEP, "score")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,16 +86,15 @@ def assign_unit_ids(df: DataFrame, key: str = "unit_id") -> DataFrame:
     written = materialize(df.withColumn("__raw_id", F.monotonically_increasing_id()), "keyed")
     task = F.shiftrightunsigned("__raw_id", 33).alias("__task")
     position = F.col("__raw_id").bitwiseAND(F.lit((1 << 33) - 1))
-    # One row per input task: (task, rows in it).
-    counts = {r[0]: r[1] for r in written.groupBy(task).count().collect()}
-    starts, total = [], 0
-    for number in sorted(counts):
-        starts.append((number, total))
-        total += counts[number]
-    offsets = written.sparkSession.createDataFrame(starts, "__task bigint, __start bigint")
+    # One row per scan task; stored, so the join with the rows is planned on its true size.
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written.groupBy(task).count().select(
+        "__task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start")
+    )
+    offsets = materialize(starts, "offsets")
     return (
         written.withColumn("__task", F.shiftrightunsigned("__raw_id", 33))
-        .join(F.broadcast(offsets), "__task")
+        .join(offsets, "__task")
         .select((F.col("__start") + position).alias(key), *df.columns)
     )
 

@@ -6,6 +6,7 @@ from conftest import SMALL
 
 import __spark_entry__ as entry
 from armspark.plans.oracles import oracle_queries
+from armspark.plans import registry
 from armspark.plans.registry import QUERIES
 
 TABLES = ("region", "nation", "customer", "orders", "lineitem")
@@ -40,9 +41,12 @@ def test_against_duckdb(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", LEARNED)
-def test_learned_scores(spark, name):
+def test_learned_scores(spark, name, monkeypatch):
+    """Complete and in range; the sizes are cut for the test alone."""
+    for size, value in {"ROUNDS": 2, "NUISANCE_ROUNDS": 2, "DEPTH": 2, "TREES": 6}.items():
+        monkeypatch.setattr(registry, size, value)
     rows = QUERIES[name](spark, SMALL).collect()
-    assert len(rows) == 300 and all(r.score == r.score for r in rows)
+    assert len({r.unit_id for r in rows}) == len(rows) == 300 and all(-9 < r.score < 9 for r in rows)
 
 
 def test_entry(spark):
@@ -61,6 +65,23 @@ def test_no_single_partition_exchange(spark, name):
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan
 
 
+def test_rows_are_dealt_once_for_running_totals(spark):
+    """One exchange for the rows; the others carry a row per cell, and per tied score."""
+    plan = QUERIES["qini_curve"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1
+    assert plan.count("Exchange hashpartitioning(") <= 4 and "SortMergeJoin" not in plan
+
+
+def test_changed_inputs_are_read_again(spark, tmp_path):
+    for table in TABLES:
+        spark.read.parquet(f"{SMALL}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    before = QUERIES["arm_labels"](spark, str(tmp_path)).count()
+    assert QUERIES["arm_labels"](spark, str(tmp_path)).count() == before
+    half = spark.read.parquet(f"{SMALL}/orders.parquet").where("o_orderkey % 2 = 0")
+    half.write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert QUERIES["arm_labels"](spark, str(tmp_path)).count() == half.count() < before
+
+
 def test_scans_are_pruned(spark):
     plan = QUERIES["experiment_view"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "l_shipdate" not in plan and "o_orderpriority" not in plan and "c_name" not in plan
