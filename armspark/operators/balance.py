@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chi2 import chi2_upper_tail
 from ..functions.columns import ratio
+from ..session import materialize
 from ..spec import ExperimentSpec, require_columns
 from .profile import rows_from_columns
 
@@ -198,7 +199,7 @@ def randomization_check(
 
 def reference_rates(df: DataFrame, spec: ExperimentSpec, outcomes: Sequence[str]) -> DataFrame:
     """(metric, control, treatment): what a split is compared with. Default: the whole table."""
-    return _split_metrics(df.withColumn("split", F.lit("all")), spec, outcomes).select(
+    return _rates(_split_sums(df.withColumn("split", F.lit("all")), spec, outcomes), outcomes).select(
         "metric", "control", "treatment"
     )
 
@@ -211,9 +212,10 @@ def reference_table(df: DataFrame, rates: Mapping[tuple[str, int], float], contr
     return df.sparkSession.createDataFrame(rows, "metric string, control double, treatment double")
 
 
-def _split_metrics(df: DataFrame, spec: ExperimentSpec, outcomes: Sequence[str]) -> DataFrame:
+def _split_sums(df: DataFrame, spec: ExperimentSpec, outcomes: Sequence[str]) -> DataFrame:
+    """One row per split: arm sizes, and sums and counts of each outcome by arm."""
     t = F.col(spec.treatment)
-    wide = df.groupBy("split").agg(
+    return df.groupBy("split").agg(
         F.count_if(t == 0).alias("n_control"),
         F.count_if(t == 1).alias("n_treated"),
         *[F.sum(F.when(t == arm, F.col(y))).alias(f"{y}_{arm}") for y in outcomes for arm in (0, 1)],
@@ -223,6 +225,9 @@ def _split_metrics(df: DataFrame, spec: ExperimentSpec, outcomes: Sequence[str])
             for arm in (0, 1)
         ],
     )
+
+
+def _rates(sums: DataFrame, outcomes: Sequence[str]) -> DataFrame:
     n = F.col("n_control") + F.col("n_treated")
     rows = [
         {
@@ -239,7 +244,7 @@ def _split_metrics(df: DataFrame, spec: ExperimentSpec, outcomes: Sequence[str])
                 "treatment": ratio(F.col(f"{y}_1"), F.col(f"{y}_n_1")),
             }
         )
-    return rows_from_columns(wide, rows, keep=("split", "n_control", "n_treated"))
+    return rows_from_columns(sums, rows, keep=("split", "n_control", "n_treated"))
 
 
 def split_balance(
@@ -252,11 +257,14 @@ def split_balance(
     """Per (split, metric): observed and reference rates and a flag beyond ``tolerance``.
 
     A rate that cannot be computed (empty arm) compares as "ok"; the arm sizes are in the output.
+    Without a reference the whole table is one: its sums are those of the splits, so the table is read once.
     The reference has one row per metric, which bounds the broadcast.
     """
     require_columns(df, ("split", spec.treatment, *outcomes))
+    sums = materialize(_split_sums(df, spec, outcomes), "split-sums")
     if reference is None:
-        reference = reference_rates(df, spec, outcomes)
+        whole = sums.agg(*[F.sum(c).alias(c) for c in sums.columns if c != "split"])
+        reference = _rates(whole.withColumn("split", F.lit("all")), outcomes)
     known = reference.select(
         "metric", F.col("control").alias("ref_control"), F.col("treatment").alias("ref_treatment")
     )
@@ -264,7 +272,7 @@ def split_balance(
         F.abs(F.col("treatment") - F.col("ref_treatment")) > tolerance
     )
     return (
-        _split_metrics(df, spec, outcomes)
+        _rates(sums, outcomes)
         .join(F.broadcast(known), "metric")
         .select(
             "split",
