@@ -245,18 +245,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) ->
     classes = materialize(rooted.join(merged, "root").select("fp", "component_id"), "simhash-classes")
     return prints.join(classes, "fp").select("doc_id", hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
-
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, one per component.
-
-    Rows with a NULL id cannot be told apart and stay. Of rows that repeat a kept id one stays.
-    """
-    groups = materialize(near_duplicates(docs, **options).select("doc_id", "component_id"), "simhash-groups")
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    twice = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = materialize(twice, "simhash-twice")
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(once).select(*docs.columns)

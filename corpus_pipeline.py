@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armspark.llm import decontaminate, mixing, quality, simhash, surrogates
+from armspark.llm import decontaminate, mixing, near_copies, quality, surrogates
 from armspark.llm.common import read
 from armspark.session import materialize
 
@@ -20,8 +20,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of SimHash near-duplicates."""
-    return simhash.keep_first(docs)
+    """The first document of each group of near copies: 64-bit links, and 0.8 or more on five-word shingles."""
+    return near_copies.keep_first(docs)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

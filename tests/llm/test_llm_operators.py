@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from armspark.llm import chat, decontaminate, html_extract, lattice, lattice_lm, mixing, quality, secrets, simhash, surrogates, topk
+from armspark.llm import chat, decontaminate, html_extract, lattice, lattice_lm, mixing, near_copies, quality, secrets, simhash, surrogates, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, word string, taken int, c0 int"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -326,9 +326,56 @@ def test_near_duplicates(spark, docs, none):
         if i is not None:
             first[root[prints[n]]] = min(i, first.get(root[prints[n]], i))
     assert got == Counter((i, f"{prints[n]:016x}", first.get(root[prints[n]])) for n, (i, *_) in enumerate(MIXED))
-    kept = simhash.keep_first(docs)
+    kept = near_copies.keep_first(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "5", "6", "7", "None"]
-    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0 and near_copies.keep_first(none).count() == 0
+
+
+def test_tallies():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 63, n).astype("<u8") for n in (1, 255, 256, 700)]
+    for hashes, got in zip(sets, near_copies.tallies(sets)):
+        for bit in (0, 63, 64, 200, 383):
+            ones = int((near_copies._mixed(hashes, bit // 64 + 1) >> np.uint64(bit % 64) & np.uint64(1)).sum())
+            assert got[bit] == 2 * ones - len(hashes)
+
+
+@pytest.mark.parametrize("hot", [near_copies.HOT, 32])
+def test_near_copies(spark, hot):
+    """Groups of edited copies against all pairs: joined are 64-bit components and pairs of 0.8 or more, at least nine in ten of these."""
+    rng = np.random.default_rng(4)
+    rows = list(MIXED)
+    for family in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 160)]
+        for _ in range(60 if family == 0 else 6):
+            words = list(base)
+            for at in rng.choice(len(words), int(rng.integers(0, 6)), replace=False):
+                words[at] = "other"
+            rows.append((100 + len(rows), " ".join(words), "a"))
+    df = table(spark, rows)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(df, hot=hot).collect()}
+    assert set(got) == {r[0] for r in rows}
+    new = rows[len(MIXED) :]
+    sets = [set(near_copies.grams(t.encode().lower().split()).tolist()) for _, t, _ in new]
+    root, linked = {r[0]: r[0] for r in new}, []
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, x), (j, y) in itertools.combinations(zip((r[0] for r in new), sets), 2):
+        if len(x & y) >= 0.8 * len(x | y):
+            linked.append((i, j))
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    assert sum(got[i] == got[j] for i, j in linked) >= 0.9 * len(linked) > 100
+    for r in simhash.near_duplicates(df).collect():
+        if r.doc_id in root:
+            a, b = find(r.doc_id), find(r.component_id)
+            root[max(a, b)] = min(a, b)
+    assert all(find(i) == find(got[i]) for i in root)
+    assert got[1] == 1 and got[2] == got[3] == 2
 
 
 # --- HTML ---------------------------------------------------------------------------------------
