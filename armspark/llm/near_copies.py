@@ -6,9 +6,11 @@ for bits that were close calls: each text is filed under the four values that it
 bucket, the next four and eight segments must stay within their proportional budgets of the radius, and the numbers of shingles within
 the similarity. The full Hamming distance and then the exact similarity of the shingle sets decide.
 
-A group of thousands of texts gives trees, not pairs: per bucket a forest of links at each of three budgets, so that texts are
-joined by the closest links there are. A bucket of more than ``hot`` rows is cut into parts that meet pairwise in tasks of their own:
-memory is bounded and no meeting is left out; the work, not the output, grows with the square of such a bucket.
+A group of thousands of texts gives trees first, not pairs: per bucket a forest of links at each of three budgets, so that texts are
+joined by the closest links there are. Where the exact check rejects a link of a tree, the components it would have joined meet again in
+rounds: each row lists its closest rows of other components, eight times as many from round to round, until no list is cut. Then every
+pair within budgets is in one component or verified. Components that are really apart cost all their pairs within budgets. A bucket of
+more than ``hot`` rows is cut into parts that meet pairwise in tasks of their own: memory is bounded and no meeting is left out.
 
 Chains are a filter with losses: by simulation a pair of similarity 0.80 has one in twenty chances to share none, of 0.83 one in fifty.
 """
@@ -34,6 +36,7 @@ STARTS = RING // STEP
 RADIUS = 75
 HOT, SMALL, COUNTED = 8192, 32, 16
 LEVELS = (0.3, 0.6, 1.0)  # shares of the budgets, closest links first
+LISTED, MORE = 16, 8  # rows of other components that a row lists in the second round, and times as many in each later one
 _BLOCK, _ROWS, _HASHES, _NODES = 255, 256, 200_000, 2048
 _LANES = np.uint64(0x0101010101010101)
 _WINDOW = (np.arange(STARTS)[:, None] * STEP * 8 + np.arange(CHAIN * 8)) % (RING * 8)
@@ -174,36 +177,62 @@ def forest(n: np.ndarray, ahead: np.ndarray, share: float) -> tuple[list, list]:
     return a, b
 
 
-def bucket_pairs(group: np.ndarray, n: np.ndarray, node: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs in whole buckets: rows are sorted by group, then n."""
+def closest(n: np.ndarray, ahead: np.ndarray, root: np.ndarray, most: int) -> tuple[list, list, list]:
+    """Per row up to ``most`` later rows of other roots within budgets, the closest; and whether its list was cut. ``n`` ascends."""
+    a, b, cut = [], [], []
+    if (root == root[0]).all():
+        return a, b, cut
+    ends = np.searchsorted(n, n / SIMILARITY * (1 + 1e-9), side="right")
+    for i, end in enumerate(ends):
+        x = ahead[i + 1 : end] ^ ahead[i]
+        hit = np.flatnonzero(within_budgets(x) & (root[i + 1 : end] != root[i]))
+        over = len(hit) > most
+        if over:
+            hit = hit[np.argsort(np.bitwise_count(x[hit]), kind="stable")[:most]]
+        a += [i] * len(hit)
+        b += (hit + i + 1).tolist()
+        cut += [over] * len(hit)
+    return a, b, cut
+
+
+def bucket_pairs(group: np.ndarray, n: np.ndarray, node: np.ndarray, ahead: np.ndarray, root: np.ndarray, most: int = 0) -> tuple:
+    """Candidate pairs (a, b, open) in whole buckets: rows are sorted by group, then n. Open pairs come from a bucket that may hold others.
+
+    ``most`` is 0 for trees in large buckets, or the length of the lists.
+    """
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     per_row = np.repeat(sizes, sizes)
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    out_a, out_b, out_open = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     rows, offset = np.flatnonzero((per_row > 1) & (per_row <= SMALL)), 1
     while len(rows):
         rows = rows[rows + offset < len(group)]
         other = rows + offset
         alike = (group[other] == group[rows]) & (n[rows] >= SIMILARITY * n[other])
         rows, other = rows[alike], other[alike]  # n ascends: whoever is too far here stays so
-        ok = within_budgets(ahead[rows] ^ ahead[other])
+        ok = within_budgets(ahead[rows] ^ ahead[other]) & (root[rows] != root[other])
         out_a.append(node[rows[ok]])
         out_b.append(node[other[ok]])
+        out_open.append(np.zeros(int(ok.sum()), bool))
         offset += 1
     for s, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
         mine = slice(s, s + size)
-        for share in LEVELS:
-            a, b = forest(n[mine], ahead[mine], share)
-            out_a.append(node[mine][a])
-            out_b.append(node[mine][b])
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
+        if most:
+            found = [closest(n[mine], ahead[mine], root[mine], most)]
+        else:
+            found = [(a, b, [True] * len(a)) for a, b in (forest(n[mine], ahead[mine], share) for share in LEVELS)]
+        for a, b, is_open in found:
+            out_a.append(node[mine][np.array(a, np.int64)])
+            out_b.append(node[mine][np.array(b, np.int64)])
+            out_open.append(np.array(is_open, bool))
+    a, b, is_open = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_open)
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b), is_open.astype(np.int64)], axis=1)[a != b]
     pairs = np.unique(pairs, axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    return pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(bool)
 
 
-def candidate_pairs(keys: DataFrame, hot: int = HOT) -> DataFrame:
-    """(a, b): candidates of all buckets of ``keys``, each pair once."""
+def candidate_pairs(keys: DataFrame, hot: int = HOT, most: int = 0) -> DataFrame:
+    """(a, b, open): candidates of all buckets of ``keys`` (key, n, node, ahead, root), each pair once."""
     # One node in sixteen tells which buckets are crowded; it decides how they are cut, not what is found.
     sampled = keys.where(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0).groupBy("key").count()
     limit = max(1, hot // COUNTED // 2)
@@ -219,7 +248,7 @@ def candidate_pairs(keys: DataFrame, hot: int = HOT) -> DataFrame:
             "tile", F.explode(F.when(F.col("parts").isNull(), F.array(tile)).otherwise(tiles))
         )
         tile = F.col("tile")
-    rows = keys.select(F.shiftleft(F.col("key").cast("long"), 34).bitwiseOR(tile).alias("group"), "n", "node", "ahead")
+    rows = keys.select(F.shiftleft(F.col("key").cast("long"), 34).bitwiseOR(tile).alias("group"), "n", "node", "ahead", "root")
 
     def run(batches):
         held = None
@@ -229,6 +258,7 @@ def candidate_pairs(keys: DataFrame, hot: int = HOT) -> DataFrame:
                 batch.column(1).to_numpy(),
                 batch.column(2).to_numpy(),
                 batch.column(3).to_numpy().view("<u8"),
+                batch.column(4).to_numpy(),
             )
             if held is not None:
                 block = tuple(np.concatenate(x) for x in zip(held, block))
@@ -237,16 +267,16 @@ def candidate_pairs(keys: DataFrame, hot: int = HOT) -> DataFrame:
             cut = int(np.searchsorted(block[0], block[0][-1]))  # the last bucket may go on in the next batch
             held = tuple(x[cut:] for x in block)
             if cut:
-                yield _pair_batch(*bucket_pairs(*(x[:cut] for x in block)))
+                yield _pair_batch(*bucket_pairs(*(x[:cut] for x in block), most))
         if held is not None and len(held[0]):
-            yield _pair_batch(*bucket_pairs(*held))
+            yield _pair_batch(*bucket_pairs(*held, most))
 
     by_group = rows.repartition("group").sortWithinPartitions("group", "n", "node")
-    return by_group.mapInArrow(run, "a long, b long").distinct()
+    return by_group.mapInArrow(run, "a long, b long, open boolean").groupBy("a", "b").agg(F.max("open").alias("open"))
 
 
-def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _pair_batch(a: np.ndarray, b: np.ndarray, is_open: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(is_open)], names=["a", "b", "open"])
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -267,20 +297,68 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFrame:
-    """(a, b): verified links between nodes of ``prints``, the wide prints of ``docs``."""
+    """(a, b): verified links between nodes of ``prints``, the wide prints of ``docs``.
+
+    They join what all pairs within budgets and the radius that are 0.8 or more alike join.
+    """
     nodes = materialize(prints.drop("doc_id").dropDuplicates(["node"]), "copies-nodes")
-    pairs = materialize(candidate_pairs(chain_keys(nodes), hot), "copies-candidates")
     sides = {s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), *[F.col(p).alias(p + s) for p in _P]) for s in "ab"}
     apart = sum((F.bit_count(F.col(p + "a").bitwiseXOR(F.col(p + "b"))) for p in _P), F.lit(0))
-    near = pairs.join(sides["a"], "a").join(sides["b"], "b").where(apart <= RADIUS).select("a", "b", "na", "nb")
-    near = materialize(near, "copies-near")
-    wanted = materialize(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "copies-wanted")
-    ids = materialize(prints.select("doc_id", "node").join(wanted, "node", "left_semi").select("doc_id").distinct(), "copies-ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = materialize(shingle_sets(texts).dropDuplicates(["node"]), "copies-sets")
-    both = near.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return both.where(shared >= SIMILARITY * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    checked = links = sets = None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        nonlocal sets
+        near = pairs.join(sides["a"], "a").join(sides["b"], "b").where(apart <= RADIUS).select("a", "b", "na", "nb")
+        near = materialize(near, "copies-near")
+        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets, "node", "left_anti")
+        wanted = materialize(wanted, "copies-wanted")
+        ids = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        ids = materialize(ids.select("doc_id").distinct(), "copies-ids")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+        new = shingle_sets(texts).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        new = materialize(new, "copies-sets")
+        sets = new if sets is None else sets.unionByName(new)
+        both = near.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
+        shared = F.size(F.array_intersect("ga", "gb"))
+        return materialize(both.where(shared >= SIMILARITY * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "copies-found")
+
+    active, most = nodes.withColumn("root", F.col("node")), 0
+    while True:
+        keys = chain_keys(active)
+        if most:
+            keys = keys.join(active.select("node", "root"), "node")
+        else:
+            keys = keys.withColumn("root", F.col("node"))
+        pairs = candidate_pairs(keys, hot, most)
+        if checked is not None:
+            pairs = pairs.join(checked.withColumn("known", F.lit(True)), ["a", "b"], "left")
+        else:
+            pairs = pairs.withColumn("known", F.lit(False))
+        pairs = materialize(pairs.select("a", "b", "open", F.coalesce("known", F.lit(False)).alias("known")), "copies-candidates")
+        new = pairs.where("NOT known").select("a", "b")
+        found = verified(new)
+        checked = new if checked is None else checked.unionByName(new)
+        links = found if links is None else links.unionByName(found)
+        doubtful = pairs.where("open").select("a", "b")
+        if doubtful.isEmpty():
+            return links
+        roots = materialize(connected(links), "copies-rounds")
+        if not most:
+            # A pair that no tree lists is within one component, or its two components each have a rejected link of that tree.
+            for s in "ab":
+                doubtful = doubtful.join(roots.toDF(s, f"r{s}"), s, "left").withColumn(f"r{s}", F.coalesce(f"r{s}", s))
+            doubtful = doubtful.where("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("root")).distinct()
+            doubtful = materialize(doubtful, "copies-doubtful")
+            if doubtful.isEmpty():
+                return links
+            active = active.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            active = active.join(doubtful, "root", "left_semi")
+        else:
+            active = active.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        active = materialize(active, "copies-active")
+        most = most * MORE or LISTED
 
 
 def near_copy_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:

@@ -378,6 +378,29 @@ def test_near_copies(spark, hot):
     assert got[1] == 1 and got[2] == got[3] == 2
 
 
+@pytest.mark.parametrize("most", [1, near_copies.LISTED])
+def test_near_copies_past_a_rejected_tree_link(spark, monkeypatch, most):
+    """Over 32 texts of one bucket that all meet through one short text which is like none of them: pairs of 0.8 or more are still found."""
+    monkeypatch.setattr(near_copies, "LISTED", most)
+
+    def bucket(docs):  # one bucket with equal segments: any two texts are within budgets
+        return docs.select(F.lit(7).alias("key"), "n", "node", F.lit(5).cast("long").alias("ahead"))
+
+    monkeypatch.setattr(near_copies, "chain_keys", bucket)
+    monkeypatch.setattr(near_copies, "RADIUS", 384)
+    rng = np.random.default_rng(5)
+    rows = [(1, " ".join(f"r{x}" for x in range(90)), "a")]
+    for pair in range(25):
+        words = [f"p{pair}x{x}" for x in rng.permutation(100)]
+        rows += [(10 + 2 * pair, " ".join(words), "a"), (11 + 2 * pair, " ".join([*words[:-1], "z"]), "a")]
+    df = table(spark, rows)
+    prints = near_copies.wide_prints(df).cache()
+    ids = {r.node: r.doc_id for r in prints.collect()}
+    for hot in (near_copies.HOT, 32):
+        got = {tuple(sorted((ids[r.a], ids[r.b]))) for r in near_copies.similar_links(df, prints, hot).collect()}
+        assert got == {(10 + 2 * pair, 11 + 2 * pair) for pair in range(25)}
+
+
 # --- HTML ---------------------------------------------------------------------------------------
 
 
