@@ -12,6 +12,8 @@ rounds: each row lists its closest rows of other components, eight times as many
 pair within budgets is in one component or verified. Components that are really apart cost all their pairs within budgets. A bucket of
 more than ``hot`` rows is cut into parts that meet pairwise in tasks of their own: memory is bounded and no meeting is left out.
 
+The 64-bit components of :mod:`simhash` are buckets too: in them the pairs of at most 3 bits are candidates, and verified like the others.
+
 Chains are a filter with losses: by simulation a pair of similarity 0.80 has one in twenty chances to share none, of 0.83 one in fifty.
 """
 
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import text_bytes, words_of
 from .components import connected
-from .simhash import near_duplicates
+from .simhash import RADIUS as FEW
+from .simhash import fingerprint, ring_links
 
 SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
 LONGS = 6
@@ -83,39 +86,41 @@ def tallies(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def wide_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, p0 .. p5, narrow) of every row with an id and words; node is a hash of the words."""
+    """(doc_id, node, n, fp, p0 .. p5, narrow) of every row; node is a hash of the words, n is 0 without words, fp is the 64-bit print."""
 
     def run(batches):
         for batch in batches:
-            ids, nodes, sets, held = [], [], [], 0
+            ids, nodes, counts, prints, sets, held = [], [], [], [], [], 0
 
             def packed():
                 margin = tallies(sets)
                 bits = np.packbits(margin > 0, axis=1, bitorder="little").view("<i8")
                 narrow = np.argsort(np.abs(margin)[:, _WINDOW], axis=2, kind="stable")[:, :, :NARROW].astype(np.uint8)
-                columns = [pa.array(ids, pa.int64()), pa.array(np.array(nodes, "<u8").view("<i8")), pa.array([len(x) for x in sets], pa.int32())]
+                columns = [pa.array(ids, pa.int64()), pa.array(np.array(nodes, "<u8").view("<i8")), pa.array(counts, pa.int32())]
+                columns.append(pa.array(np.array(prints, "<u8").view("<i8")))
                 columns += [pa.array(bits[:, i]) for i in range(LONGS)]
                 columns.append(pa.array([row.tobytes() for row in narrow], pa.binary()))
-                for done in (ids, nodes, sets):
+                for done in (ids, nodes, counts, prints, sets):
                     done.clear()
-                return pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", *_P, "narrow"])
+                return pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "fp", *_P, "narrow"])
 
             for doc, text in zip(batch.column(0), batch.column(1)):
                 words = words_of(text.as_py())
                 hashes = grams(words)
-                if len(hashes):
-                    ids.append(doc.as_py())
-                    nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED + 1))
-                    sets.append(hashes)
-                    held += len(hashes)
+                ids.append(doc.as_py())
+                nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED + 1))
+                counts.append(len(hashes))
+                prints.append(fingerprint(words))
+                sets.append(hashes if len(hashes) else np.zeros(1, "<u8"))
+                held += len(hashes)
                 if len(ids) == _ROWS or held > _HASHES:
                     yield packed()
                     held = 0
             if ids:
                 yield packed()
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-    schema = "doc_id long, node long, n int, " + ", ".join(f"{p} long" for p in _P) + ", narrow binary"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
+    schema = "doc_id long, node long, n int, fp long, " + ", ".join(f"{p} long" for p in _P) + ", narrow binary"
     return rows.mapInArrow(run, schema)
 
 
@@ -160,7 +165,12 @@ def within_budgets(x: np.ndarray, share: float = 1.0) -> np.ndarray:
     return half & (np.bitwise_count(x) <= int((CHAIN + AHEAD) * per_segment))
 
 
-def forest(n: np.ndarray, ahead: np.ndarray, share: float) -> tuple[list, list]:
+def meets(x: np.ndarray, short: np.ndarray | bool, share: float = 1.0) -> np.ndarray:
+    """``within_budgets``, or where ``x`` are differences of 64-bit prints (``short``), at most their radius."""
+    return np.where(short, np.bitwise_count(x) <= int(share * FEW), within_budgets(x, share))
+
+
+def forest(n: np.ndarray, ahead: np.ndarray, share: float, short: bool = False) -> tuple[list, list]:
     """Trees of links within ``share`` of the budgets that join whatever such links join. A row meets only rows not yet in a tree."""
     a, b = [], []
     left = np.arange(len(n))
@@ -169,7 +179,7 @@ def forest(n: np.ndarray, ahead: np.ndarray, share: float) -> tuple[list, list]:
         while queue and len(left):
             i = queue.pop()
             low, high = np.minimum(n[left], n[i]), np.maximum(n[left], n[i])
-            hit = within_budgets(ahead[left] ^ ahead[i], share) & (low >= SIMILARITY * high)
+            hit = meets(ahead[left] ^ ahead[i], short, share) & (low >= SIMILARITY * high)
             found, left = left[hit], left[~hit]
             a += [i] * len(found)
             b += found.tolist()
@@ -177,7 +187,7 @@ def forest(n: np.ndarray, ahead: np.ndarray, share: float) -> tuple[list, list]:
     return a, b
 
 
-def closest(n: np.ndarray, ahead: np.ndarray, root: np.ndarray, most: int) -> tuple[list, list, list]:
+def closest(n: np.ndarray, ahead: np.ndarray, root: np.ndarray, most: int, short: bool = False) -> tuple[list, list, list]:
     """Per row up to ``most`` later rows of other roots within budgets, the closest; and whether its list was cut. ``n`` ascends."""
     a, b, cut = [], [], []
     if (root == root[0]).all():
@@ -185,7 +195,7 @@ def closest(n: np.ndarray, ahead: np.ndarray, root: np.ndarray, most: int) -> tu
     ends = np.searchsorted(n, n / SIMILARITY * (1 + 1e-9), side="right")
     for i, end in enumerate(ends):
         x = ahead[i + 1 : end] ^ ahead[i]
-        hit = np.flatnonzero(within_budgets(x) & (root[i + 1 : end] != root[i]))
+        hit = np.flatnonzero(meets(x, short) & (root[i + 1 : end] != root[i]))
         over = len(hit) > most
         if over:
             hit = hit[np.argsort(np.bitwise_count(x[hit]), kind="stable")[:most]]
@@ -196,43 +206,47 @@ def closest(n: np.ndarray, ahead: np.ndarray, root: np.ndarray, most: int) -> tu
 
 
 def bucket_pairs(group: np.ndarray, n: np.ndarray, node: np.ndarray, ahead: np.ndarray, root: np.ndarray, most: int = 0) -> tuple:
-    """Candidate pairs (a, b, open) in whole buckets: rows are sorted by group, then n. Open pairs come from a bucket that may hold others.
+    """Candidate pairs (a, b, open, short) in whole buckets: rows are sorted by group, then n. Open pairs come from a bucket that may hold
+    others, short ones from a group with an odd number, where ``ahead`` is the 64-bit print.
 
     ``most`` is 0 for trees in large buckets, or the length of the lists.
     """
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     per_row = np.repeat(sizes, sizes)
-    out_a, out_b, out_open = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    out_a, out_b, out_open, out_short = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, bool)]
+    short = (group & 1).astype(bool)
     rows, offset = np.flatnonzero((per_row > 1) & (per_row <= SMALL)), 1
     while len(rows):
         rows = rows[rows + offset < len(group)]
         other = rows + offset
         alike = (group[other] == group[rows]) & (n[rows] >= SIMILARITY * n[other])
         rows, other = rows[alike], other[alike]  # n ascends: whoever is too far here stays so
-        ok = within_budgets(ahead[rows] ^ ahead[other]) & (root[rows] != root[other])
+        ok = meets(ahead[rows] ^ ahead[other], short[rows]) & (root[rows] != root[other])
         out_a.append(node[rows[ok]])
         out_b.append(node[other[ok]])
         out_open.append(np.zeros(int(ok.sum()), bool))
+        out_short.append(short[rows[ok]])
         offset += 1
     for s, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
         mine = slice(s, s + size)
         if most:
-            found = [closest(n[mine], ahead[mine], root[mine], most)]
+            found = [closest(n[mine], ahead[mine], root[mine], most, short[s])]
         else:
-            found = [(a, b, [True] * len(a)) for a, b in (forest(n[mine], ahead[mine], share) for share in LEVELS)]
+            found = [(a, b, [True] * len(a)) for a, b in (forest(n[mine], ahead[mine], share, short[s]) for share in LEVELS)]
         for a, b, is_open in found:
             out_a.append(node[mine][np.array(a, np.int64)])
             out_b.append(node[mine][np.array(b, np.int64)])
             out_open.append(np.array(is_open, bool))
-    a, b, is_open = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_open)
-    pairs = np.stack([np.minimum(a, b), np.maximum(a, b), is_open.astype(np.int64)], axis=1)[a != b]
+            out_short.append(np.full(len(a), short[s]))
+    a, b, marks = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_open) + 2 * np.concatenate(out_short)
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b), marks], axis=1)[a != b]
     pairs = np.unique(pairs, axis=0)
-    return pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(bool)
+    return pairs[:, 0], pairs[:, 1], (pairs[:, 2] & 1).astype(bool), (pairs[:, 2] & 2).astype(bool)
 
 
 def candidate_pairs(keys: DataFrame, hot: int = HOT, most: int = 0) -> DataFrame:
-    """(a, b, open): candidates of all buckets of ``keys`` (key, n, node, ahead, root), each pair once."""
+    """(a, b, open, short): candidates of all buckets of ``keys`` (key, n, node, ahead, root), each pair once. Odd keys hold 64-bit prints."""
     # One node in sixteen tells which buckets are crowded; it decides how they are cut, not what is found.
     sampled = keys.where(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0).groupBy("key").count()
     limit = max(1, hot // COUNTED // 2)
@@ -248,7 +262,10 @@ def candidate_pairs(keys: DataFrame, hot: int = HOT, most: int = 0) -> DataFrame
             "tile", F.explode(F.when(F.col("parts").isNull(), F.array(tile)).otherwise(tiles))
         )
         tile = F.col("tile")
-    rows = keys.select(F.shiftleft(F.col("key").cast("long"), 34).bitwiseOR(tile).alias("group"), "n", "node", "ahead", "root")
+    # Buckets whose hashes agree meet as one: that adds candidates and loses none.
+    odd = F.col("key").bitwiseAND(F.lit(1))
+    group = F.shiftleft(F.xxhash64("key", tile), 1).bitwiseOR(odd)
+    rows = keys.select(group.alias("group"), "n", "node", "ahead", "root")
 
     def run(batches):
         held = None
@@ -272,11 +289,13 @@ def candidate_pairs(keys: DataFrame, hot: int = HOT, most: int = 0) -> DataFrame
             yield _pair_batch(*bucket_pairs(*held, most))
 
     by_group = rows.repartition("group").sortWithinPartitions("group", "n", "node")
-    return by_group.mapInArrow(run, "a long, b long, open boolean").groupBy("a", "b").agg(F.max("open").alias("open"))
+    return by_group.mapInArrow(run, "a long, b long, open boolean, short boolean").groupBy("a", "b").agg(
+        F.max("open").alias("open"), F.max("short").alias("short")
+    )
 
 
-def _pair_batch(a: np.ndarray, b: np.ndarray, is_open: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(is_open)], names=["a", "b", "open"])
+def _pair_batch(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "open", "short"])
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -299,16 +318,22 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFrame:
     """(a, b): verified links between nodes of ``prints``, the wide prints of ``docs``.
 
-    They join what all pairs within budgets and the radius that are 0.8 or more alike join.
+    They join what all pairs within budgets and the radius, or within 3 bits of the 64-bit prints, that are 0.8 or more alike join.
     """
-    nodes = materialize(prints.drop("doc_id").dropDuplicates(["node"]), "copies-nodes")
+    nodes = prints.where("doc_id IS NOT NULL AND n > 0").drop("doc_id").dropDuplicates(["node"])
+    nodes = materialize(nodes, "copies-nodes")
+    # Texts within 3 bits of each other are in one 64-bit component: these are buckets in which all such pairs meet.
+    rings = materialize(connected(ring_links(materialize(nodes.select("fp").distinct(), "copies-fps"))), "copies-rings")
+    rings = nodes.select("node", "fp").join(rings.withColumnRenamed("node", "fp"), "fp", "left")
+    ring = F.shiftleft(F.coalesce("root", "fp"), 1).bitwiseOR(F.lit(1))
+    rings = materialize(rings.select("node", ring.alias("ring")), "copies-rings")
     sides = {s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), *[F.col(p).alias(p + s) for p in _P]) for s in "ab"}
     apart = sum((F.bit_count(F.col(p + "a").bitwiseXOR(F.col(p + "b"))) for p in _P), F.lit(0))
     checked = links = sets = None
 
     def verified(pairs: DataFrame) -> DataFrame:
         nonlocal sets
-        near = pairs.join(sides["a"], "a").join(sides["b"], "b").where(apart <= RADIUS).select("a", "b", "na", "nb")
+        near = pairs.join(sides["a"], "a").join(sides["b"], "b").where(F.col("short") | (apart <= RADIUS)).select("a", "b", "na", "nb")
         near = materialize(near, "copies-near")
         wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if sets is not None:
@@ -326,18 +351,19 @@ def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFra
 
     active, most = nodes.withColumn("root", F.col("node")), 0
     while True:
-        keys = chain_keys(active)
+        keys = chain_keys(active).withColumn("key", F.col("key").cast("long") * 2)
+        keys = keys.unionByName(active.join(rings, "node").select(F.col("ring").alias("key"), "n", "node", F.col("fp").alias("ahead")))
         if most:
             keys = keys.join(active.select("node", "root"), "node")
         else:
             keys = keys.withColumn("root", F.col("node"))
         pairs = candidate_pairs(keys, hot, most)
         if checked is not None:
-            pairs = pairs.join(checked.withColumn("known", F.lit(True)), ["a", "b"], "left")
+            pairs = pairs.join(checked.withColumn("known", F.lit(True)), ["a", "b", "short"], "left")
         else:
             pairs = pairs.withColumn("known", F.lit(False))
-        pairs = materialize(pairs.select("a", "b", "open", F.coalesce("known", F.lit(False)).alias("known")), "copies-candidates")
-        new = pairs.where("NOT known").select("a", "b")
+        pairs = materialize(pairs.select("a", "b", "open", "short", F.coalesce("known", F.lit(False)).alias("known")), "copies-candidates")
+        new = pairs.where("NOT known").select("a", "b", "short")
         found = verified(new)
         checked = new if checked is None else checked.unionByName(new)
         links = found if links is None else links.unionByName(found)
@@ -362,23 +388,19 @@ def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFra
 
 
 def near_copy_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, component_id of every row: the 64-bit components of ``simhash``, joined by links of 0.8 and more.
+    """doc_id, component_id of every row: equal words, joined by links of 0.8 and more.
 
-    NULL or empty texts and rows with a NULL id have the component of their 64-bit fingerprint alone. Repeated rows are rows of their
-    own. An empty table gives an empty result. Other columns are ignored.
+    NULL and empty texts are one group. Rows with a NULL id join the group of their words, whose id is the smallest that is not NULL.
+    Repeated rows are rows of their own. An empty table gives an empty result. Other columns are ignored.
     """
-    groups = materialize(near_duplicates(docs).select("doc_id", "component_id"), "copies-groups")
     prints = materialize(wide_prints(docs), "copies-prints")
-    links = materialize(similar_links(docs, prints, hot), "copies-links")
-    # A node's rows have one text, so one 64-bit component; rows that repeat an id may have others, which the id joins.
-    held = prints.select("doc_id", "node").join(groups.distinct(), "doc_id").select("node", "component_id").distinct()
-    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = materialize(held.join(wanted, "node", "left_semi"), "copies-held")
-    edges = (
-        links.join(held.toDF("a", "ca"), "a").join(held.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    )
-    roots = materialize(connected(edges), "copies-roots").withColumnRenamed("node", "component_id")
-    return groups.join(roots, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    links = similar_links(docs, prints, hot)
+    roots = materialize(connected(links), "copies-roots")
+    rooted = prints.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left")
+    rooted = materialize(rooted.select("node", "first", F.coalesce("root", "node").alias("root")), "copies-rooted")
+    merged = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "copies-merged")
+    groups = rooted.join(merged, "root").select("node", "component_id")
+    return prints.select("doc_id", "node").join(groups, "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

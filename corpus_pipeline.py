@@ -20,7 +20,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: 64-bit links, and 0.8 or more on five-word shingles."""
+    """The first document of each group of near copies: 0.8 or more on five-word shingles."""
     return near_copies.keep_first(docs)
 
 

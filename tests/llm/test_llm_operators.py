@@ -401,6 +401,17 @@ def test_near_copies_past_a_rejected_tree_link(spark, monkeypatch, most):
         assert got == {(10 + 2 * pair, 11 + 2 * pair) for pair in range(25)}
 
 
+def test_near_copies_check_64_bit_links(spark):
+    """Texts that repeat one line and otherwise differ have nearly the same 64-bit print and stay; an edited copy goes."""
+    line = " ".join(f"licence{x}" for x in range(11))
+    rows = [(i, " ".join([line] * 50 + [f"own{i}x{x}" for x in range(60)]), "a") for i in range(1, 41)]
+    words = [f"w{x}" for x in range(300)]
+    rows += [(50, " ".join(words), "a"), (51, " ".join([*words[:-1], "z"]), "a"), (52, "", "a"), (53, None, "a"), (54, " ".join(words).upper(), "a")]
+    df = table(spark, rows)
+    assert len({r.component_id for r in simhash.near_duplicates(df).collect()}) < 40
+    assert sorted(r.doc_id for r in near_copies.keep_first(df).collect()) == [*range(1, 41), 50, 52]
+
+
 # --- HTML ---------------------------------------------------------------------------------------
 
 
