@@ -3,13 +3,14 @@
 The pages of a host are merged by the path of each element (tag, class and id, digits as one sign). For each path the tree
 keeps how many pages have it, the distinct presentations (the sequence of child elements) and the distinct contents (the text
 below it). Presentation importance is the entropy of the presentations over the pages; a content that many pages
-repeat has a high entropy over pages and so a low importance. With l presentations their weights are 1 - g^l and g^l. Branches
-below the threshold are removed from each page of the host, then what the markup itself names as a menu, header,
-footer, side bar, notice, advert, form or comment. Paragraphs, headings and the article itself are never removed for being repeated: many
+repeat has a high entropy over pages and so a low importance. With l presentations their weights are 1 - g^l and g^l. A path is low
+if both its importance and that of its contents alone are below the threshold: the entropy of a few layouts falls as the host grows,
+texts of their own do not. A branch of a page is removed if its path and all paths below it are low and no article is in it, then what the
+markup itself names as a menu, header, footer, side bar, notice, advert, form or comment. Paragraphs, headings and the article itself are never removed for being repeated: many
 sites carry one article twice.
 
 Importance is summed over (host, path, value) first, so a host with a third of all pages is combined before the shuffle. Pages meet only
-the short list of removed paths of their host; Spark broadcasts that by its measured size or splits the host's pages.
+the short list of low paths of their host; Spark broadcasts that by its measured size or splits the host's pages.
 """
 
 from __future__ import annotations
@@ -138,12 +139,23 @@ def features(root: Node) -> list[tuple[int, str, int, int]]:
     return [(path, tag, s.intdigest() & half, c.intdigest() & half) for path, (tag, s, c) in found.items()]
 
 
-def _is_noise(node: Node, removed: frozenset, in_article: bool) -> bool:
+def _all_low(node: Node, low: frozenset) -> bool:
+    """Whether the paths of a branch are all low, and it holds no article or main element."""
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        if node.tag in _BLOCK and (node.path not in low or node.tag in ("article", "main")):
+            return False
+        stack.extend(p for p in node.parts if isinstance(p, Node))
+    return True
+
+
+def _is_noise(node: Node, low: frozenset, in_article: bool) -> bool:
     if node.tag in _NOISE_TAG or (node.tag == "header" and not in_article):
         return True
     if node.names and node.tag not in ("html", "body", "main") and _NOISE_NAME.search(node.names):
         return True
-    return node.path in removed and node.tag in _PRUNABLE
+    return node.tag in _PRUNABLE and node.path in low and _all_low(node, low)
 
 
 def _holds_article(root: Node) -> set[int]:
@@ -160,7 +172,7 @@ def _holds_article(root: Node) -> set[int]:
     return found
 
 
-def main_text(root: Node, removed: frozenset = frozenset()) -> str:
+def main_text(root: Node, low: frozenset = frozenset()) -> str:
     """Text of the kept branches: one line per block."""
     articles = _holds_article(root)
     blocks: list[str] = []
@@ -182,7 +194,7 @@ def main_text(root: Node, removed: frozenset = frozenset()) -> str:
                 line.append(unescape(item))
         else:
             begins = id(item) in articles
-            if item is not root and not begins and _is_noise(item, removed, inside and bool(articles)):
+            if item is not root and not begins and _is_noise(item, low, inside and bool(articles)):
                 if item.tag in _BLOCK:
                     close()
                 continue
@@ -203,7 +215,7 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, tag, pages, presentations, contents, importance) of every element path of every host."""
+    """(host, path, tag, pages, presentations, contents, content_importance, importance) of every element path of every host."""
 
     def run(batches):
         kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -235,15 +247,18 @@ def style_tree(pages: DataFrame) -> DataFrame:
     by_shown = (m - F.col("shown_log") / F.col("pages")) / m
     by_content = 1.0 - F.col("content_log") / (m * F.col("contents"))
     constant = F.pow(F.lit(GAMMA), F.col("presentations").cast("double"))
-    importance = F.when(F.col("pages") < 2, F.lit(1.0)).otherwise((1.0 - constant) * by_shown + constant * by_content)
-    return sums.select("host", "path", "tag", "pages", "presentations", "contents", importance.alias("importance"))
+    once = F.when(F.col("pages") < 2, F.lit(1.0))
+    importance = once.otherwise((1.0 - constant) * by_shown + constant * by_content)
+    by_content = once.otherwise(by_content).alias("content_importance")
+    return sums.select("host", "path", "tag", "pages", "presentations", "contents", by_content, importance.alias("importance"))
 
 
-def removed_paths(tree: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
+def low_paths(tree: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, low): paths of repeated contents, those of paragraphs and headings too, as they decide on the branches around them."""
     low = tree.where(
-        (F.col("importance") < threshold) & (F.col("pages") >= min_pages) & F.col("tag").isin(*sorted(_PRUNABLE))
+        (F.col("importance") < threshold) & (F.col("content_importance") < threshold) & (F.col("pages") >= min_pages)
     )
-    return low.groupBy("host").agg(F.collect_set("path").alias("removed"))
+    return low.groupBy("host").agg(F.collect_set("path").alias("low"))
 
 
 def extract_pages(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -252,19 +267,19 @@ def extract_pages(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int
     NULL or empty html: empty text. NULL url: the host without a name. Repeated pages are pages of their own. Hosts with fewer than
     ``min_pages`` pages are pruned by their markup alone. An empty table gives an empty result. Other columns are ignored.
     """
-    rules = materialize(removed_paths(style_tree(pages), threshold, min_pages), "site-rules")
+    rules = materialize(low_paths(style_tree(pages), threshold, min_pages), "site-rules")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(rules, "host", "left")
 
     def run(batches):
         for batch in batches:
             texts = []
-            for html, removed in zip(batch.column(2), batch.column(3)):
-                texts.append(main_text(parse(html.as_py() or ""), frozenset(removed.as_py() or ())))
+            for html, low in zip(batch.column(2), batch.column(3)):
+                texts.append(main_text(parse(html.as_py() or ""), frozenset(low.as_py() or ())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return rows.select(F.col("page_id").cast("long"), "url", "html", "removed").mapInArrow(
+    return rows.select(F.col("page_id").cast("long"), "url", "html", "low").mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )

@@ -442,6 +442,27 @@ def test_style_tree_removes_repeated_branches(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_style_tree_keeps_articles_at_any_size(spark):
+    """A host of 20 layouts and texts of their own gives equal texts with 100 and with 20,000 pages; its menu goes in both."""
+
+    tags = "".join(f"<p class=l%2$s>text %1$s part {k} of its own</p>" for k in range(2))
+    body = page(f"<div class=xm>Read our other pages</div><div class=xa>{tags}</div>")
+    got = {}
+    for size in (100, 20_000):
+        df = spark.range(size).select(F.col("id").alias("page_id"), F.lit("http://h.org/").alias("url"), F.format_string(body, "id", F.chr(97 + F.col("id") % 20)).alias("html"))
+        got[size] = {r.page_id: r.text for r in html_extract.extract_pages(df).where("page_id < 100").collect()}
+    assert got[100] == got[20_000] == {i: f"text {i} part 0 of its own\ntext {i} part 1 of its own" for i in range(100)}
+
+
+def test_style_tree_keeps_mirrored_articles(spark):
+    """Two articles twice each in one layout; and an article in a wrapper that all pages share."""
+    mirror = [(i, f"http://m.org/{i}", page(f"<div class=xa><p>article {i % 2}</p></div>")) for i in range(4)]
+    inside = [(10 + i, f"http://n.org/{i}", page("<div class=xa><div class=xm>menu</div><article><p>one for all</p></article></div>")) for i in range(8)]
+    df = spark.createDataFrame(mirror + inside, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
+    assert out == {i: f"article {i % 2}" for i in range(4)} | {10 + i: "one for all" for i in range(8)}
+
+
 # --- chat ---------------------------------------------------------------------------------------
 
 
