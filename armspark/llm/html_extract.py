@@ -38,10 +38,14 @@ _KEEPS_OPEN = frozenset("ul ol dl table div section article main body html td th
 _NOISE_TAG = frozenset(
     "head nav footer aside form script style noscript iframe svg template button select input textarea object dialog menu".split()
 )
+# A name decides as a whole token or its leading part ("nav", "cookie-notice"), or behind a word of place ("main-nav"), not as any part
+# ("has-sidebar") and not before a word of state ("comments-open").
 _NOISE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|menu|nav\w*|breadcrumbs?|sidebar|side|widget|footer|"
+    r"(?:^|\s)(?:(?:site|page|main|top|bottom|primary|secondary|global|post|entry|article)[_-]+)?"
+    r"(?:ad|ads|adv|advert[a-z0-9]*|banner|sponsor[a-z0-9]*|promo[a-z0-9]*|menu|nav[a-z0-9]*|breadcrumbs?|sidebar|side|widget|footer|"
     r"site-header|page-header|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|"
-    r"signup|login|share|sharing|social|related|recommend\w*|comments?|replies|respond|disqus|pagination|pager|skip|hidden)(?=$|[\s_-])",
+    r"signup|login|share|sharing|social|related|recommend[a-z0-9]*|comments?|replies|respond|disqus|pagination|pager|skip|hidden)(?=$|[\s_-])"
+    r"(?![_-]+(?:open|opened|close|closed|on|off|active|inactive|visible|shown|hidden|enabled|disabled|collapsed|expanded)(?:$|\s))",
     re.I,
 )
 _PRUNABLE = frozenset("div section aside nav header footer form ul ol dl table figure details span center".split())
@@ -158,23 +162,34 @@ def _is_noise(node: Node, low: frozenset, in_article: bool) -> bool:
     return node.tag in _PRUNABLE and node.path in low and _all_low(node, low)
 
 
-def _holds_article(root: Node) -> set[int]:
-    """Ids of the outermost article or main elements that no noise surrounds."""
-    found, stack = set(), [root]
+def _articles(root: Node) -> tuple[set[int], set[int]]:
+    """Ids of the outermost article or main elements that no noise surrounds, and of the elements around them.
+
+    Names count as noise only while there is another article: the only one of a page is found whatever it and its wrappers are called.
+    """
+    found, stack = [], [(root, False)]
     while stack:
-        node = stack.pop()
+        node, named = stack.pop()
         for part in node.parts:
-            if isinstance(part, Node):
-                if part.tag in ("article", "main") and not (part.names and _NOISE_NAME.search(part.names)):
-                    found.add(id(part))
-                elif part.tag not in _NOISE_TAG:
-                    stack.append(part)
-    return found
+            if isinstance(part, Node) and part.tag not in _NOISE_TAG:
+                noise = named or bool(part.tag not in ("html", "body", "main") and part.names and _NOISE_NAME.search(part.names))
+                if part.tag in ("article", "main"):
+                    found.append((part, noise))
+                else:
+                    stack.append((part, noise))
+    chosen = [node for node, noise in found if not noise or len(found) == 1]
+    around: set[int] = set()
+    for node in chosen:
+        up = node.parent
+        while up is not None and id(up) not in around:
+            around.add(id(up))
+            up = up.parent
+    return {id(node) for node in chosen}, around
 
 
 def main_text(root: Node, low: frozenset = frozenset()) -> str:
     """Text of the kept branches: one line per block."""
-    articles = _holds_article(root)
+    articles, around = _articles(root)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -194,7 +209,7 @@ def main_text(root: Node, low: frozenset = frozenset()) -> str:
                 line.append(unescape(item))
         else:
             begins = id(item) in articles
-            if item is not root and not begins and _is_noise(item, low, inside and bool(articles)):
+            if item is not root and not begins and id(item) not in around and _is_noise(item, low, inside and bool(articles)):
                 if item.tag in _BLOCK:
                     close()
                 continue

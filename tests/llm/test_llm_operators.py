@@ -432,6 +432,21 @@ def test_main_text():
         html_extract.main_text(html_extract.parse(page(body)[:cut]))  # never fails
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "nav-open", "post comments-open", "with_comments", "post--no-share"])
+def test_noise_names_in_passing(name):
+    text = lambda body: html_extract.main_text(html_extract.parse(page(body)))
+    assert text(f"<div class='{name}'><p>text</p><div class='main-nav'>menu</div><div class='comments list'>first!</div></div>") == "text"
+    assert text(f"<div>top</div><article class='{name}'><p>text</p></article>") == "text"
+
+
+def test_only_article_is_never_noise():
+    text = lambda body: html_extract.main_text(html_extract.parse(page(body)))
+    for outer, own in itertools.product(("x", "sidebar", "widget modal"), ("x", "related", "comment")):
+        assert text(f"<div>top</div><div class='{outer}'><div class=menu>m</div><article class='{own}'><p>text</p></article></div>") == "text"
+    assert text("<div class=related><article>card</article></div><article class=related>card</article><article>text</article>") == "text"
+    assert text("<p>text</p><div class=related><article>card</article><article>card</article></div>") == "text"
+
+
 def test_style_tree_removes_repeated_branches(spark):
     rows = [(i, f"http://h.org/{i}", page(f"<div class=xa>Read our other pages</div><div class=xb><p>text {i} of its own</p></div>"), "c") for i in range(12)]
     rows += [(90, None, None, "c"), (91, "http://other.org", "", "c"), (92, "http://other.org", page("<div class=xa>Read</div>"), "c")]
