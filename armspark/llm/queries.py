@@ -8,7 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, lattice_lm, mixing, quality, secrets, simhash, surrogates, topk
+from . import (
+    chat,
+    decontaminate,
+    html_extract,
+    lattice_lm,
+    mixing,
+    quality,
+    secrets,
+    simhash,
+    surrogates,
+    topk,
+    turn_repair,
+    whitening,
+)
 from .common import read
 
 # Folder of the public vocabulary files on the driver.
@@ -82,5 +95,16 @@ def op10_chat_parts(spark, folder):
     return chat.read_back(chat.format_turns(chat.with_parts(turns)))
 
 
+@query
+def op11_survivor_viterbi(spark, folder):
+    turns = turn_repair.damaged(read(spark, folder, "conversations"))
+    return turn_repair.audits(turn_repair.repair_turns(turns, F.col("gone")))
+
+
+@query
+def op13_block_whitening(spark, folder):
+    return whitening.whitened(read(spark, folder, "embeddings"))
+
+
 LLM_ORACLES["op6_fair_queue"] = mixing.ORACLE
 LLM_ORACLES["op10_chat_parts"] = chat.ORACLE
