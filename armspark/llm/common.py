@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # The contract's white space, and the letters that lower-casing touches.
 SPACE = r"\x20\x09-\x0D"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -49,3 +51,19 @@ def hash_sample(df: DataFrame, key: Column, size: int) -> DataFrame:
     if total <= size:
         return df
     return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * size / total))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out: int, sample: int, name: str) -> DataFrame:
+    """(label, text) of about ``sample`` labelled rows outside a fold, stored.
+
+    The ids of the labels are sampled first, so that a bounded broadcast finds their rows and no text is shuffled for it. Then the
+    distinct rows are sampled once more: an id that many rows repeat brings no more than the bound
+    either, and copies of a text weigh once.
+    """
+    usable = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != held_out)).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("long").alias("label")
+    )
+    chosen = materialize(hash_sample(usable.distinct(), F.struct("doc_id", "label"), sample), f"{name}-labels")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    found = materialize(texts.join(F.broadcast(chosen), "doc_id").select("label", "text").distinct(), f"{name}-found")
+    return hash_sample(found, F.struct("label", "text"), sample)

@@ -19,6 +19,7 @@ from . import (
     simhash,
     surrogates,
     topk,
+    toxicity,
     turn_repair,
     whitening,
 )
@@ -101,6 +102,11 @@ def op11_survivor_viterbi(spark, folder):
     return turn_repair.audits(turn_repair.repair_turns(turns, F.col("gone")))
 
 
+@query
+def op12_channel_toxicity(spark, folder):
+    return toxicity.toxicity_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 @query
 def op13_block_whitening(spark, folder):
     return whitening.whitened(read(spark, folder, "embeddings"))
