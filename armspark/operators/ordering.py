@@ -9,7 +9,10 @@ per model. Instead every row gets a *cell* that is a pure function of its own va
 
 Reading cells in (bin descending, sub ascending) order is reading rows in (score descending, key
 ascending) order, cut into pieces of bounded size even if a third of all rows tie. The number of
-intervals follows from the number of rows. Interval edges come from an approximate quantile sketch: their error moves work between tasks, never a result.
+intervals follows from the number of rows. Score edges come from an approximate quantile sketch, key edges from
+whole keys sampled inside each isolated score and compared as what they are, numbers or texts. Then the rows of each cell are
+counted, and a cell with more than twice its share is split again, until none is left. Where an edge lies moves work
+between tasks, never a result.
 
 Cell totals are combined before the shuffle and are a small table (models x cells). Whoever needs
 positions adds the total of the preceding cells to a window *inside* the cell.
@@ -17,6 +20,8 @@ positions adds the total of the preceding cells to a window *inside* the cell.
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
 from collections import Counter
 from collections.abc import Mapping, Sequence
@@ -36,6 +41,10 @@ MIN_BINS = 8
 # Cell tables up to this many rows are sent to every task.
 SENT_CELLS = 100_000
 
+# A cell may hold this many times ``rows_per_bin``; sampled keys per ``rows_per_bin`` rows of a cell that is split.
+LARGEST_CELL = 2
+SAMPLED_KEYS = 64
+
 LIGHT = -1
 
 
@@ -55,15 +64,18 @@ class Scores:
     tied: bool
 
 
-def _edges(quantiles: Sequence[float]) -> tuple[list[float], list[int]]:
+def _marks(quantiles: Sequence[float]) -> dict[float, bool]:
+    """Score values that become edges, and whether they are so frequent that they fill an interval alone."""
+    return {float(v): times > 1 for v, times in Counter(quantiles).items() if v != np.inf}
+
+
+def _edges(marks: Mapping[float, bool]) -> tuple[list[float], list[int]]:
     """Strictly increasing edges, and which intervals hold exactly one (heavy) value."""
     edges, isolated = [-np.inf], []
-    for value, times in sorted(Counter(quantiles).items()):
-        if value == np.inf:
-            continue
+    for value, heavy in sorted(marks.items()):
         if value > edges[-1]:
-            edges.append(float(value))
-        if times > 1:
+            edges.append(value)
+        if heavy:
             isolated.append(len(edges) - 1)
             edges.append(float(np.nextafter(value, np.inf)))
     return [*edges, np.inf], isolated
@@ -105,47 +117,124 @@ def long_scores(
             for i, c in enumerate(score_columns.values())
         ],
     )
-    clean = clean.withColumn("__k", _key_number(clean, key))
-    n_sub = max(1, -(-n // rows_per_bin))
-    n_bins = max(min_bins, n_sub)
     scores = [f"__s{i}" for i in range(len(models))]
+    n_bins = max(min_bins, -(-n // rows_per_bin))
     levels = [j / n_bins for j in range(1, n_bins)]
-    quantiles = (
-        clean.approxQuantile([*scores, "__k"], levels, 1.0 / (4 * n_bins))
-        if n
-        else [[] for _ in range(len(models) + 1)]
-    )
-    splits, isolated = zip(*[_edges(q) for q in quantiles[:-1]])
-    step = max(1, n_bins // n_sub)
-    key_edges = [-np.inf, *sorted(set(quantiles[-1][step - 1 :: step] if n_sub > 1 else [])), np.inf]
-    binned = _bucketize(
-        clean,
-        {**{f"__b{i}": (c, e) for i, (c, e) in enumerate(zip(scores, splits))}, "__sub": ("__k", key_edges)},
-    )
-    sub = F.col("__sub")
-    structs = []
-    for i, _ in enumerate(models):
-        bin_ = F.col(f"__b{i}")
-        heavy = bin_.isin(isolated[i]) if isolated[i] else F.lit(False)
-        structs.append(
-            F.struct(
-                F.lit(i).alias("m"),
-                F.col(f"__s{i}").alias("score"),
-                bin_.alias("bin"),
-                F.when(heavy, sub).otherwise(LIGHT).alias("sub"),
+    quantiles = clean.approxQuantile(scores, levels, 1.0 / (4 * n_bins)) if n else [[] for _ in models]
+    cells = _Cells(clean, key, tuple(keep), [_marks(q) for q in quantiles], [[] for _ in models])
+    if n > LARGEST_CELL * rows_per_bin:
+        _even_scores(cells, rows_per_bin)
+        _even_keys(cells, rows_per_bin)
+    layout = [_edges(m) for m in cells.marks]
+    max_cells = sum(len(e) for e, _ in layout) + sum(len(k) for k in cells.keys)
+    return Scores(cells.rows(), models, key, n, max_cells, any(heavy for _, heavy in layout))
+
+
+@dataclass
+class _Cells:
+    """Where cells begin: per model its score marks, and sorted (bin, key, key as text) inside isolated scores."""
+
+    clean: DataFrame
+    key: str
+    keep: tuple[str, ...]
+    marks: list[dict[float, bool]]
+    keys: list[list[tuple[int, object, str]]]
+
+    def rows(self) -> DataFrame:
+        """Long rows with their cell."""
+        layout = [_edges(m) for m in self.marks]
+        kind = self.clean.schema[self.key].dataType.simpleString()
+        binned = _bucketize(self.clean, {f"__b{i}": (f"__s{i}", edges) for i, (edges, _) in enumerate(layout)})
+        structs = []
+        for i, (_, isolated) in enumerate(layout):
+            bin_ = F.col(f"__b{i}")
+            heavy = bin_.isin(isolated) if isolated else F.lit(False)
+            probe = F.struct(bin_.alias("b"), F.col(self.key).alias("k"))
+            structs.append(
+                F.struct(
+                    F.lit(i).alias("m"),
+                    F.col(f"__s{i}").alias("score"),
+                    bin_.alias("bin"),
+                    F.when(heavy, _edges_up_to(self.keys[i], kind, probe)).otherwise(LIGHT).alias("sub"),
+                )
             )
+        return binned.select(self.key, *self.keep, F.inline(F.array(*structs)))
+
+
+def _edges_up_to(edges: Sequence[tuple[int, object, str]], kind: str, probe: Column) -> Column:
+    """How many of the sorted (bin, key) edges are not above ``probe``: a binary search in one constant array."""
+    if not edges:
+        return F.lit(0)
+    text = json.dumps([{"b": b, "k": k} for b, _, k in edges])
+    table = F.from_json(F.lit(text), "array<struct<b:int,k:string>>").cast(f"array<struct<b:int,k:{kind}>>")
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        below = F.struct((middle + 1).alias("lo"), span["hi"].alias("hi"))
+        above = F.struct(span["lo"].alias("lo"), middle.alias("hi"))
+        return F.when(span["lo"] >= span["hi"], span).when(F.get(table, middle) <= probe, below).otherwise(above)
+
+    steps = F.sequence(F.lit(1), F.lit(len(edges).bit_length()))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi"))
+    return F.aggregate(steps, start, halve, lambda span: span["lo"])
+
+
+def _even_scores(cells: _Cells, rows_per_bin: int) -> None:
+    """Split score intervals that hold more than twice their share, until only single scores do.
+
+    One row per interval reaches the driver, as many as there are edges.
+    """
+    while True:
+        found = (
+            cells.rows()
+            .where(F.col("sub") == LIGHT)
+            .groupBy("m", "bin")
+            .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", [j / 16 for j in range(17)], 1000).alias("p"))
+            .where(F.col("n") > LARGEST_CELL * rows_per_bin)
+            .collect()
         )
-    rows = binned.select(key, *keep, F.inline(F.array(*structs)))
-    max_cells = sum(len(s) + len(h) * (len(key_edges) - 1) for s, h in zip(splits, isolated))
-    return Scores(rows, models, key, n, max_cells, any(isolated))
+        before = [dict(m) for m in cells.marks]
+        for row in found:
+            marks = cells.marks[row.m]
+            for value, times in Counter(row.p).items():
+                if value != np.inf and (times > 1 or value > row.p[0]):
+                    marks[value] = marks.get(value, False) or times > 1
+        if cells.marks == before:
+            return
 
 
-def _key_number(df: DataFrame, key: str) -> Column:
-    """A double that never falls as the key rises: the number, or the first six bytes of a text."""
-    if not isinstance(df.schema[key].dataType, T.StringType):
-        return F.col(key).cast("double")
-    leading = F.rpad(F.hex(F.substring(F.col(key).cast("binary"), 1, 6)), 12, "0")
-    return F.conv(leading, 16, 10).cast("double")
+def _even_keys(cells: _Cells, rows_per_bin: int) -> None:
+    """Split cells of one score along the unit key, until none holds more than twice its share.
+
+    Each round counts the cells, takes a sample of keys in those that are too large (``SAMPLED_KEYS`` per share, by a hash of the key) and puts
+    edges at equal steps of the sorted sample. One key per share reaches the driver.
+    """
+    share, key = SAMPLED_KEYS / rows_per_bin, cells.key
+    for turn in itertools.count():
+        rows = cells.rows().where(F.col("sub") != LIGHT)
+        sizes = rows.groupBy("m", "bin", "sub").agg(F.count(F.lit(1)).alias("n"))
+        large = sizes.where(F.col("n") > LARGEST_CELL * rows_per_bin).collect()
+        if not large:
+            return
+        # One row per cell that is too large, never more than there are shares of rows.
+        wanted = F.broadcast(rows.sparkSession.createDataFrame(large, sizes.schema))
+        chance = F.pmod(F.xxhash64(F.lit(turn), F.col("m"), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
+        sample = rows.join(wanted, ["m", "bin", "sub"]).where(chance < min(1.0, share))
+        cell = Window.partitionBy("m", "bin", "sub")
+        at, pieces = F.row_number().over(cell.orderBy(key)), F.ceil(F.col("n") / rows_per_bin)
+        step = lambda place: F.floor(place * pieces / F.count(F.lit(1)).over(cell))
+        chosen = sample.select("m", "bin", key, step(at).alias("now"), step(at - 1).alias("before"), at.alias("at"))
+        edges = chosen.where((F.col("now") > F.col("before")) & (F.col("at") > 1))
+        found = edges.select("m", "bin", F.col(key).alias("k"), F.col(key).cast("string").alias("text")).collect()
+        before = sum(len(k) for k in cells.keys)
+        for row in found:
+            cells.keys[row.m].append((row.bin, row.k, row.text))
+        # Code points and UTF-8 bytes sort alike, so the driver's order is Spark's.
+        cells.keys = [sorted(set(k)) for k in cells.keys]
+        if sum(len(k) for k in cells.keys) == before:
+            if share >= 1.0:
+                return  # only repeated keys: nothing is left to split
+            share *= 8
 
 
 def _bucketize(df: DataFrame, wanted: Mapping[str, tuple[str, list[float]]]) -> DataFrame:
