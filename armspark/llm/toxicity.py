@@ -281,7 +281,7 @@ def presence(rows: DataFrame, costs: list[float], words: list[str]) -> tuple[np.
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["label", "bits"])
 
     found = sorted((bytes(r.bits), r.label) for r in rows.select("label", "text").mapInArrow(run, "label long, bits binary").collect())
-    bits = np.array([np.frombuffer(b, np.uint8) for b, _ in found], np.uint8).reshape(len(found), -1)
+    bits = np.array([np.frombuffer(b, np.uint8) for b, _ in found], np.uint8).reshape(len(found), -(-len(words) // 8))
     return bits, np.array([label for _, label in found], np.float64)
 
 
