@@ -21,15 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import fold, hash_sample, text_bytes
+from .common import fold, labelled_sample, text_bytes
 
 SAMPLE = 20_000
 BUCKETS, SHAPES, DIM, WINDOW, NONZERO = 1 << 15, 1 << 10, 64, 2, 6
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 2e-3, 1e-4
 HELD_OUT_FOLD, CALIBRATION_PART = 0, 8
 THRESHOLD = 0.3
-_BLOCK, _CHUNK, _PARTS = 1024, 50_000, 32
+_ROWS, _CHUNK, _SHORT = 4096, 50_000, 64
 _RUNS = re.compile(rb"[A-Z]+|[0-9]+|[a-z\x80-\xff]+|(?s:(.)\1*)")
 
 
@@ -40,17 +39,18 @@ def shape_of(word: bytes) -> bytes:
         first = m[0][:1]
         return b"U" if first.isupper() else b"9" if first.isdigit() else first if m[1] else b"a"
 
-    return _RUNS.sub(sign, word[:64])
+    return _RUNS.sub(sign, word)
 
 
 class Codes(dict):
-    """Word -> bucket * SHAPES + shape, remembered up to a bounded number of words."""
+    """Word -> bucket * SHAPES + shape, remembered up to a bounded number of short words."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
         code = zlib.crc32(word.lower()) % BUCKETS * SHAPES + zlib.crc32(shape_of(word)) % SHAPES
-        self[word] = code
+        if len(word) <= _SHORT:
+            self[word] = code
         return code
 
 
@@ -82,12 +82,6 @@ def add_contexts(code: np.ndarray, index: np.ndarray, into: np.ndarray) -> None:
         into[ids[order][first]] += np.add.reduceat(near[order], first, axis=0)
 
 
-def unit_vectors(context: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Unit context vectors; where nothing was seen, the index vector."""
-    rows = np.where(np.any(context != 0, axis=1)[:, None], context, index).astype(np.float32)
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)
-
-
 FEATURES = 4 * DIM + 1
 
 
@@ -167,75 +161,75 @@ def calibrate(network: Network, x: np.ndarray, y: np.ndarray) -> Network:
     return network
 
 
-def _with_vectors(rows: DataFrame, vectors: np.ndarray) -> DataFrame:
+def _features(rows: DataFrame, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and calibration flags of the sampled rows (label, text), in an order that no partitioning changes."""
     shared = rows.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches):
         codes, table = Codes(), shared.value
         for batch in batches:
-            x = [pooled(codes_of(t.as_py(), codes), table).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["doc_id", "quality", "x"])
-
-    return rows.mapInArrow(run, "doc_id long, quality int, x binary")
-
-
-def _contexts(rows: DataFrame) -> np.ndarray:
-    """Summed context vectors: per task one table, cut into blocks that are added up in parallel."""
-
+            texts = batch.column(1).to_pylist()
+            x = [pooled(codes_of(t, codes), table).tobytes() for t in texts]
+            keys = [zlib.crc32(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), pa.array(x, pa.binary())], names=["k", "label", "x"])
+
+    texts = rows.select("label", text_bytes())
+    found = texts.mapInArrow(run, "k long, label long, x binary").orderBy("k", "label", "x").toArrow()
+    shared.destroy()
+    x = np.empty((found.num_rows, FEATURES), np.float32)
+    at = 0
+    for chunk in found.column("x").chunks:
+        for value in chunk:
+            x[at] = np.frombuffer(value.as_buffer(), np.float32)
+            at += 1
+    keys = found.column("k").to_numpy().astype(np.int64)
+    # Another mix of the hash than the order: an eighth of the texts.
+    return x, found.column("label").to_numpy().astype(np.float64), (keys // 7919) % CALIBRATION_PART == 0
+
+
+def _contexts(rows: DataFrame, index: np.ndarray) -> np.ndarray:
+    """Unit context vectors. A task sends the vectors it has touched; they are whole numbers, added up per row in Spark."""
     def run(batches):
         codes, index = Codes(), index_vectors()
         context = np.zeros_like(index)
         for batch in batches:
-            for text in batch.column(2):
+            for text in batch.column(0):
                 code = codes_of(text.as_py(), codes)
                 for at in range(0, len(code), _CHUNK):
                     add_contexts(code[at : at + _CHUNK], index, context)
-        blocks = range(0, len(context), _BLOCK)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(blocks), pa.int64()), pa.array([context[b : b + _BLOCK].tobytes() for b in blocks], pa.binary())],
-            names=["block", "part"],
-        )
-
-    def add(table):
-        total = sum(np.frombuffer(part.as_py(), np.int32).astype(np.int64) for part in table.column("part"))
-        return pa.table({"block": table.column("block")[:1], "part": pa.array([total.tobytes()], pa.binary())})
-
-    summed = rows.mapInArrow(run, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary")
-    out = np.zeros((BUCKETS + SHAPES, DIM), np.int64)
-    for row in summed.collect():
-        part = np.frombuffer(bytes(row.part), np.int64).reshape(-1, DIM)
-        out[row.block : row.block + len(part)] = part
-    return out
+        touched = np.flatnonzero(context.any(axis=1))
+        for at in range(0, len(touched), _ROWS):
+            ids = touched[at : at + _ROWS]
+            numbers = pa.array(context[ids].ravel().astype(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(numbers) + 1, DIM), pa.int32()), numbers)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["row", "part"])
+
+    parts = rows.select(text_bytes()).mapInArrow(run, "row long, part array<long>")
+    sums = parts.groupBy("row").agg(*[F.sum(F.col("part")[i]).alias(f"d{i}") for i in range(DIM)]).toArrow()
+    vectors = index.astype(np.float32)
+    ids = sums.column("row").to_numpy()
+    for i in range(DIM):
+        vectors[ids, i] = sums.column(f"d{i}").to_numpy()
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
+    return vectors
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
     """Vectors and network from about ``sample`` labelled rows outside the held-out fold."""
-    usable = labels.where(
-        F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT_FOLD)
-    ).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    usable = usable.distinct()
-    chosen = materialize(hash_sample(usable, F.struct("doc_id", "quality"), sample), "quality-labels")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    # About ``sample`` short rows: a bounded broadcast, so that no text is shuffled to find them.
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    rows = materialize(rows.repartition(_PARTS, "doc_id"), "quality-sample")
-    index = index_vectors().astype(np.int64)
-    vectors = unit_vectors(_contexts(rows), index)
-    found = _with_vectors(rows, vectors).collect()
-    found.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.x)))
-    x = np.array([np.frombuffer(bytes(r.x), np.float32) for r in found], np.float32).reshape(-1, FEATURES)
-    y = np.array([r.quality for r in found], np.float64)
-    apart = np.array([zlib.crc32(b"t%d" % r.doc_id) % CALIBRATION_PART == 0 for r in found], bool)
+    rows = labelled_sample(docs, labels, "quality", HELD_OUT_FOLD, sample, "quality-sample")
+    vectors = _contexts(rows, index_vectors())
+    x, y, apart = _features(rows, vectors)
     return vectors, calibrate(train_network(x[~apart], y[~apart]), x[apart], y[apart])
 
 
 def _scored(rows: DataFrame, vectors: np.ndarray, network: Network, keep: bool) -> DataFrame:
     """rows: text bytes last. keep: the rows at or over the threshold without the bytes; else (doc_id, score)."""
-    shared = rows.sparkSession.sparkContext.broadcast((vectors, network))
+    shared = rows.sparkSession.sparkContext.broadcast((vectors, vars(network)))  # plain values: a broadcast is pickled by reference
     last = len(rows.columns) - 1
 
     def run(batches):
-        codes, (table, net) = Codes(), shared.value
+        codes, (table, fitted) = Codes(), shared.value
+        net = Network(**fitted)
         for batch in batches:
             scores = np.zeros(0)
             if batch.num_rows:

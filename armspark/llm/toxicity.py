@@ -14,20 +14,16 @@ the documents: no shuffle, whole texts, and nothing but the text goes in.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, labelled_sample, whole_text
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 SAMPLE, FEATURES, LEAST_ROWS = 20_000, 2_048, 10
 HELD_OUT_FOLD, THRESHOLD = 0, 0.5
 STEPS, RATE, DECAY = 1000, 0.05, 5e-6

@@ -18,16 +18,12 @@ their shuffle: no task remembers the texts of a conversation.
 from __future__ import annotations
 
 import hashlib
-import sys
 from collections import deque
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # The costs of the edits and of a truncated row that stays.
 REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
 ROLES = {"u": "user", "a": "assistant"}
