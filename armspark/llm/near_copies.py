@@ -22,11 +22,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import text_bytes, words_of
+from .common import text_bytes, whole_text, words_of
 from .components import connected
 from .simhash import RADIUS as FEW
 from .simhash import fingerprint, ring_links
@@ -85,29 +85,37 @@ def tallies(sets: list[np.ndarray]) -> np.ndarray:
     return 2 * ones.reshape(len(sets), -1) - sizes[:, None]
 
 
+def text_key() -> Column:
+    return F.xxhash64(whole_text())
+
+
 def wide_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, fp, p0 .. p5, narrow) of every row; node is a hash of the words, n is 0 without words, fp is the 64-bit print."""
+    """(doc_id, text_key, node, n, fp, p0 .. p5, narrow) of every row.
+
+    text_key is a hash of the text, node one of the words, n is 0 without words, fp is the 64-bit print.
+    """
 
     def run(batches):
         for batch in batches:
-            ids, nodes, counts, prints, sets, held = [], [], [], [], [], 0
+            ids, keys, nodes, counts, prints, sets, held = [], [], [], [], [], [], 0
 
             def packed():
                 margin = tallies(sets)
                 bits = np.packbits(margin > 0, axis=1, bitorder="little").view("<i8")
                 narrow = np.argsort(np.abs(margin)[:, _WINDOW], axis=2, kind="stable")[:, :, :NARROW].astype(np.uint8)
-                columns = [pa.array(ids, pa.int64()), pa.array(np.array(nodes, "<u8").view("<i8")), pa.array(counts, pa.int32())]
+                columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.array(nodes, "<u8").view("<i8")), pa.array(counts, pa.int32())]
                 columns.append(pa.array(np.array(prints, "<u8").view("<i8")))
                 columns += [pa.array(bits[:, i]) for i in range(LONGS)]
                 columns.append(pa.array([row.tobytes() for row in narrow], pa.binary()))
-                for done in (ids, nodes, counts, prints, sets):
+                for done in (ids, keys, nodes, counts, prints, sets):
                     done.clear()
-                return pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "fp", *_P, "narrow"])
+                return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "n", "fp", *_P, "narrow"])
 
-            for doc, text in zip(batch.column(0), batch.column(1)):
+            for doc, text, key in zip(batch.column(0), batch.column(1), batch.column(2)):
                 words = words_of(text.as_py())
                 hashes = grams(words)
                 ids.append(doc.as_py())
+                keys.append(key.as_py())
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED + 1))
                 counts.append(len(hashes))
                 prints.append(fingerprint(words))
@@ -119,8 +127,8 @@ def wide_prints(docs: DataFrame) -> DataFrame:
             if ids:
                 yield packed()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-    schema = "doc_id long, node long, n int, fp long, " + ", ".join(f"{p} long" for p in _P) + ", narrow binary"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(), text_key().alias("text_key"))
+    schema = "doc_id long, text_key long, node long, n int, fp long, " + ", ".join(f"{p} long" for p in _P) + ", narrow binary"
     return rows.mapInArrow(run, schema)
 
 
@@ -387,33 +395,46 @@ def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFra
         most = most * MORE or LISTED
 
 
-def near_copy_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, component_id of every row: equal words, joined by links of 0.8 and more.
-
-    NULL and empty texts are one group. Rows with a NULL id join the group of their words, whose id is the smallest that is not NULL.
-    Repeated rows are rows of their own. An empty table gives an empty result. Other columns are ignored.
-    """
+def _rooted(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, text_key, root, component_id) of every row."""
     prints = materialize(wide_prints(docs), "copies-prints")
     links = similar_links(docs, prints, hot)
     roots = materialize(connected(links), "copies-roots")
     rooted = prints.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left")
     rooted = materialize(rooted.select("node", "first", F.coalesce("root", "node").alias("root")), "copies-rooted")
     merged = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "copies-merged")
-    groups = rooted.join(merged, "root").select("node", "component_id")
-    return prints.select("doc_id", "node").join(groups, "node").select("doc_id", "component_id")
+    groups = rooted.join(merged, "root").select("node", "root", "component_id")
+    return prints.select("doc_id", "text_key", "node").join(groups, "node").select("doc_id", "text_key", "root", "component_id")
+
+
+def near_copy_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, component_id of every row: equal words, joined by links of 0.8 and more.
+
+    NULL and empty texts are one group. Rows with a NULL id join the group of their words, whose id is the smallest that is not NULL.
+    Repeated rows are rows of their own. An empty table gives an empty result. Other columns are ignored.
+    """
+    return _rooted(docs, hot).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are the first of their group of near copies, one per group.
 
-    Rows with a NULL id cannot be told apart and stay. Of rows that repeat a kept id one stays.
+    An id that several texts share counts once for each text: the texts stay or go by their own groups. In a group whose smallest id has several
+    texts, that of the smallest hash stays. Of rows that repeat id and text one stays, the same on every run. Rows with a NULL id cannot be told
+    apart and stay. Other columns pass through, whatever their names.
     """
-    groups = materialize(near_copy_groups(docs, **options), "copies-final")
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    twice = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = materialize(twice, "copies-twice")
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    groups = materialize(_rooted(docs, **options), "copies-final")
+    keyed = groups.where("doc_id IS NOT NULL").groupBy("doc_id", "text_key", "root", "component_id").agg(F.count(F.lit(1)).alias("times"))
+    keyed = materialize(keyed, "copies-keyed")
+    firsts = keyed.where("doc_id = component_id").groupBy("root").agg(F.min("text_key").alias("kept"))
+    judged = keyed.join(firsts, "root").withColumn("stays", (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("kept")))
+    judged = materialize(judged.select("doc_id", "text_key", "stays", "times"), "copies-judged")
+    # Plain names, so that no column of the input can clash.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.struct(*docs.columns).alias("row"))
+    kept = plain.join(judged.where("NOT stays").select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti")
+    twice = judged.where("stays AND times > 1").select("doc_id", "text_key")
+    if not twice.isEmpty():
+        once = kept.join(twice, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.join(twice, ["doc_id", "text_key"], "left_anti").unionByName(once)
+    return kept.select(*[F.col("row").getField(c).alias(n) for c, n in zip(docs.columns, names)]).toDF(*docs.columns)

@@ -16,6 +16,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,6 +65,10 @@ _NAMED = re.compile(
 _CUES = tuple(_TITLE_GENDER) + tuple(_GIVEN_GENDER)
 
 
+# From this attempt on, numbers and IPv4 addresses take a wider form.
+WIDER = 4
+
+
 def luhn_ok(digits: str) -> bool:
     total = sum(int(d) if i % 2 == 0 else (int(d) * 2 - 9 if int(d) > 4 else int(d) * 2) for i, d in enumerate(reversed(digits)))
     return total % 10 == 0
@@ -76,16 +81,12 @@ def script_of(name: str) -> str:
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, norm) of every entity, without overlaps, in text order."""
-    found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
-
-    def free(s, e):
-        return all(e <= a or b <= s for a, b in taken)
+    found: list[tuple[int, int, str, str]] = []  # sorted, so that a new span looks at its two neighbours alone
 
     def add(s, e, kind, norm):
-        if free(s, e):
-            taken.append((s, e))
-            found.append((s, e, kind, norm))
+        at = bisect_left(found, (s,))
+        if (at == len(found) or e <= found[at][0]) and (at == 0 or found[at - 1][1] <= s):
+            found.insert(at, (s, e, kind, norm))
 
     if "@" in text:
         for m in _EMAIL.finditer(text):
@@ -119,7 +120,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         for word in families:
             for m in re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", text):
                 add(m.start(), m.end(), f"family:{script_of(word)}", word.lower())
-    return sorted(found)
+    return found
 
 
 def _stream(key: str, *parts: object):
@@ -132,7 +133,11 @@ def _stream(key: str, *parts: object):
 
 
 def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
-    """A normalised replacement of the same kind; another one for each attempt."""
+    """A normalised replacement of the same kind; another one for each attempt.
+
+    The space of values grows with the attempt, so that draws end whatever the number of entities: addresses and names get more letters, numbers
+    more digits at their end, and IPv4 addresses become addresses of the IPv6 block reserved for documentation.
+    """
     draw = _stream(key, kind, norm, attempt)
 
     def letter(c: str) -> str:
@@ -147,13 +152,15 @@ def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
         local, _, domain = norm.rpartition("@")
         labels = domain.split(".")[:-1]
         # ".example" is reserved: no address under it can be real.
-        return "".join(map(letter, local)) + "@" + ".".join("".join(map(letter, x)) for x in labels) + ".example"
+        return "".join(map(letter, local + "x" * (attempt // 2))) + "@" + ".".join("".join(map(letter, x)) for x in labels) + ".example"
     if kind == "ip":
+        if attempt >= WIDER:
+            return "2001:db8:" + ":".join(f"{next(draw):x}" for _ in range(6))
         # 240.0.0.0/4 is reserved: no host has such an address.
         return ".".join([str(240 + next(draw) % 15), *(str(next(draw) % 256) for _ in range(3))])
     if kind in ("card", "account", "phone"):
         keep = max(0, len(norm) - 10) if kind == "phone" else 0
-        digits = norm[:keep] + str(1 + next(draw) % 9) + "".join(str(next(draw) % 10) for _ in norm[keep + 1 :])
+        digits = norm[:keep] + str(1 + next(draw) % 9) + "".join(str(next(draw) % 10) for _ in norm[keep + 1 :] + "x" * (attempt // WIDER))
         if kind == "card":
             digits = next(d for d in (digits[:-1] + str(c) for c in range(10)) if luhn_ok(d))
         return digits
@@ -168,7 +175,8 @@ def rendered(kind: str, original: str, replacement: str) -> str:
     """The replacement in the written form of the original: punctuation of numbers, case of names."""
     if kind in ("card", "account", "phone"):
         digits = iter(replacement)
-        return "".join(next(digits) if c.isascii() and c.isdigit() else c for c in original)
+        written = "".join(next(digits) if c.isascii() and c.isdigit() else c for c in original)
+        return written + "".join(digits)
     if kind == "email":
         return replacement.upper() if original.isupper() else replacement
     if kind == "ip":
