@@ -1,8 +1,10 @@
 """Keyed uniform numbers: a pure function of (seed, stream, unit key, replicate).
 
 ``rand(seed)`` depends on partitioning and on retries, so it can neither be replayed nor checked
-from another engine. Here a unit gets 32 bits of an md5 over (seed, stream, key), which any engine
-with md5 reproduces, and a replicate number is mixed in with plain 32-bit integer arithmetic.
+from another engine. Here a unit gets bits of an md5 over (seed, stream, key), which any engine with md5
+reproduces. For a single number 32 bits will do; a stream of numbers, one per replicate, belongs to 64 bits of the unit, so that no two units
+share a stream at any size. The replicate number is a counter that is mixed in with plain 32-bit integer arithmetic, one half of the unit
+after the other.
 
 The unit number refers to the key once and is never NULL: a filter or an inferred IS NOT NULL that
 Catalyst pushes below it therefore stays one small expression.
@@ -61,32 +63,58 @@ def wide_hash(key: str | Column, seed: int, stream: int) -> Column:
     return F.coalesce(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def poisson_cuts() -> tuple[int, ...]:
-    """Cumulative Poisson(1) probabilities on the 32-bit scale; above the last one the tail is < 2^-32."""
+def stream_id(key: str | Column, seed: int, stream: int) -> Column:
+    """64 uniform bits of the unit key as a bigint: the identity of its stream of numbers."""
+    column = F.col(key) if isinstance(key, str) else key
+    text = F.md5(F.concat_ws(":", F.lit(unit_prefix(seed, stream)), column.cast("string")))
+    high, low = (F.conv(F.substring(text, at, 8), 16, 10).cast("bigint") for at in (1, 9))
+    return F.coalesce(F.shiftleft(high, 32).bitwiseOR(low), F.lit(0).cast("bigint"))
+
+
+def draw_column(unit: Column, word: Column) -> Column:
+    """The number in [0, 2^32) at the place ``word`` of the unit's stream; pass plain columns, the expression repeats them."""
+    first = mix_column(unit.bitwiseAND(F.lit(MASK)).bitwiseXOR(word))
+    return mix_column(first.bitwiseXOR(F.shiftrightunsigned(unit, 32)))
+
+
+def draw_matrix(units: np.ndarray, words: np.ndarray, by_replicate: bool = False) -> np.ndarray:
+    """The same for all pairs: units (int64) as rows and replicates as columns, or the other way round."""
+    units = units.view(np.uint64)
+    low, high = (units & np.uint64(MASK)).astype(np.uint32), (units >> np.uint64(32)).astype(np.uint32)
+    if by_replicate:
+        return mix_array(mix_array(words[:, None] ^ low[None, :]) ^ high[None, :])
+    return mix_array(mix_array(low[:, None] ^ words[None, :]) ^ high[:, None])
+
+
+def poisson_cuts(rate: float = 1.0) -> tuple[int, ...]:
+    """Cumulative Poisson probabilities, ``rate`` at most 1, on the 32-bit scale; above the last one the tail is < 2^-32."""
     cuts, total = [], 0.0
     for i in range(12):
-        total += math.exp(-1.0) / math.factorial(i)
+        total += math.exp(-rate) * rate**i / math.factorial(i)
         cuts.append(int(total * 2**32))
     return tuple(cuts)
 
 
-def poisson_weight(h: Column) -> Column:
-    """Inverse-CDF Poisson(1) draw; pass a plain column, the expression repeats it."""
-    weight = F.lit(len(poisson_cuts()))
-    for value, cut in reversed(list(enumerate(poisson_cuts()))):
+def poisson_weight(h: Column, rate: float = 1.0) -> Column:
+    """Inverse-CDF Poisson draw; pass a plain column, the expression repeats it."""
+    cuts = poisson_cuts(rate)
+    weight = F.lit(len(cuts))
+    for value, cut in reversed(list(enumerate(cuts))):
         weight = F.when(h < F.lit(cut), F.lit(value)).otherwise(weight)
     return weight
 
 
-def poisson_matrix(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Weights of every pair: units as rows and replicates as columns, or the other way round."""
-    h = mix_array(rows[:, None] ^ columns[None, :])
+def poisson_matrix(units: np.ndarray, words: np.ndarray, rate: float = 1.0, by_replicate: bool = False) -> np.ndarray:
+    """Weights of every pair of unit and replicate."""
+    h = draw_matrix(units, words, by_replicate)
     weight = np.zeros(h.shape, dtype=np.int8)
-    for cut in poisson_cuts():
+    for cut in poisson_cuts(rate):
+        if cut > MASK:  # certain: no number lies above it
+            break
         weight += h >= np.uint32(cut)
     return weight
 
 
 def replicate_words(n_replicates: int) -> np.ndarray:
-    """One 32-bit word per replicate; a unit's draw mixes it with the unit number."""
+    """One 32-bit word per replicate; a unit's draw mixes it with the unit's 64 bits."""
     return mix_array(np.arange(n_replicates, dtype=np.uint32))

@@ -12,10 +12,15 @@ once per model, into the bounded cells of ``ordering``, and a cell computes its
 
 Both passes stream a cell in Arrow batches, the second one in the order Spark has sorted it, so a
 task holds a block of rows times the replicates, whatever the cell size.
+
+The multinomial resample (exactly n draws per replicate) goes the same way. Independent Poisson weights with a rate a little below 1 are, given their total,
+a multinomial of that total; the draws that are missing to n are made one by one and added. A replicate lacks
+about ``SPARE_DEVIATIONS`` times the root of n draws, so they are few, and each unit carries its own as a short list.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import replace
@@ -31,11 +36,11 @@ from ..functions.columns import stable_sum
 from ..functions.hashing import (
     STREAM_BOOTSTRAP,
     STREAM_DRAW,
-    mix_column,
+    draw_column,
     poisson_matrix,
     poisson_weight,
     replicate_words,
-    unit_hash,
+    stream_id,
     wide_hash,
 )
 from ..session import materialize
@@ -46,25 +51,25 @@ from .ordering import LIGHT, Scores, global_rank, long_scores, model_name, runni
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(hashing)
 
+# The Poisson total of a replicate lies this many standard deviations below n; it passes n with a chance below 1e-15.
+SPARE_DEVIATIONS = 8.0
+EXTRA = "__extra_draws"
 _BLOCK = 1024
 _AREA_BLOCK = 256
 _SUMS = ("n", "nt", "y", "yt")
 _SUM_SCHEMA = "m int, bin int, sub int, rep int, n bigint, nt bigint, y bigint, yt bigint"
 
 
-def bootstrap_weights(df: DataFrame, key: str, n_replicates: int, seed: int = 42) -> DataFrame:
+def bootstrap_weights(df: DataFrame, key: str, n_replicates: int, seed: int = 42, rate: float = 1.0) -> DataFrame:
     """(unit, rep, weight) for weights above zero: the resamples themselves, as rows."""
     words = [
         F.struct(F.lit(r).alias("rep"), F.lit(int(w)).cast("bigint").alias("word"))
         for r, w in enumerate(replicate_words(n_replicates))
     ]
-    reps = df.select(
-        key, unit_hash(key, seed, STREAM_BOOTSTRAP).alias("u"), F.inline(F.array(*words))
-    )
-    mixed = mix_column(F.col("u").bitwiseXOR(F.col("word")))
+    reps = df.select(key, stream_id(key, seed, STREAM_BOOTSTRAP).alias("u"), F.inline(F.array(*words)))
     return (
-        reps.select(key, "rep", mixed.alias("h"))
-        .select(key, "rep", poisson_weight(F.col("h")).cast("int").alias("weight"))
+        reps.select(key, "rep", draw_column(F.col("u"), F.col("word")).alias("h"))
+        .select(key, "rep", poisson_weight(F.col("h"), rate).cast("int").alias("weight"))
         .where("weight > 0")
     )
 
@@ -76,7 +81,19 @@ def _arm_masks(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack([np.ones_like(t), t, y, t * y])
 
 
-def _cell_sums(n_replicates: int):
+def _add_extra(weights: np.ndarray, extra: pd.Series | None, by_replicate: bool) -> np.ndarray:
+    """Add the single draws that the units of a block carry; ``extra`` holds a list of replicates, or nothing, per unit."""
+    if extra is None:
+        return weights
+    lists = [(i, reps) for i, reps in enumerate(extra) if reps is not None and len(reps)]
+    if lists:
+        units = np.repeat([i for i, _ in lists], [len(r) for _, r in lists])
+        reps = np.concatenate([np.asarray(r, np.int64) for _, r in lists])
+        np.add.at(weights, (reps, units) if by_replicate else (units, reps), 1)
+    return weights
+
+
+def _cell_sums(n_replicates: int, rate: float = 1.0):
     words = replicate_words(n_replicates)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,12 +101,13 @@ def _cell_sums(n_replicates: int):
         cell = {}
         for batch in batches:
             cell = {c: int(batch[c].iloc[0]) for c in ("m", "bin", "sub")}
-            unit = batch["u"].to_numpy(np.int64).astype(np.uint32)
+            unit, extra = batch["u"].to_numpy(np.int64), batch.get("extra")
             masks = _arm_masks(batch)
             for start in range(0, len(batch), _BLOCK):
                 block = slice(start, start + _BLOCK)
                 # Small whole numbers: float32 products are exact and use fast matrix kernels.
-                weights = poisson_matrix(unit[block], words).astype(np.float32)
+                weights = poisson_matrix(unit[block], words, rate)
+                weights = _add_extra(weights, None if extra is None else extra.iloc[block], False).astype(np.float32)
                 total += (masks[:, block].astype(np.float32) @ weights).astype(np.int64)
         yield pd.DataFrame({**cell, "rep": np.arange(n_replicates), **dict(zip(_SUMS, total))})
 
@@ -106,7 +124,7 @@ def _height(n, nt, yt, yc):
     return np.subtract(yt, share, out=share)
 
 
-def _cell_areas(n_replicates: int):
+def _cell_areas(n_replicates: int, rate: float = 1.0):
     words = replicate_words(n_replicates)
 
     def areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,7 +143,7 @@ def _cell_areas(n_replicates: int):
                 x, height = n, _height(*cum)
                 batch = batch.iloc[1:]
             scores = batch["score"].to_numpy(np.float64)
-            unit = batch["u"].to_numpy(np.float64).astype(np.int64).astype(np.uint32)
+            unit, extra = batch["u"].to_numpy(np.int64), batch.get("extra")
             t, y = batch["t"].to_numpy(np.float64), batch["y"].to_numpy(np.float64)
             masks = (None, t, t * y, (1 - t) * y)
             for start in range(0, len(batch), _AREA_BLOCK):
@@ -134,7 +152,8 @@ def _cell_areas(n_replicates: int):
                 previous = np.append(s[0] if score is None else score, s[:-1])
                 if (s > previous).any():
                     raise RuntimeError("rows of a cell must arrive by descending score")
-                weights = poisson_matrix(words, unit[block]).astype(np.float64)
+                weights = poisson_matrix(unit[block], words, rate, by_replicate=True)
+                weights = _add_extra(weights, None if extra is None else extra.iloc[block], True).astype(np.float64)
                 ahead = []  # column i: sums of everything ahead of row i
                 for j, mask in enumerate(masks):
                     sums = np.empty((n_replicates, len(s) + 1))
@@ -167,27 +186,29 @@ def _tasks(scores: Scores) -> int:
 
 
 def bootstrap_qini(
-    scores: Scores, treatment: str, outcome: str, n_replicates: int = 500, seed: int = 42
+    scores: Scores, treatment: str, outcome: str, n_replicates: int = 500, seed: int = 42, rate: float = 1.0
 ) -> DataFrame:
     """(m, rep, n, qini): the coefficient of every model in every replicate; exact.
 
-    NULL where the resample lacks an arm or an outcome class. ``treatment`` and ``outcome`` are 0/1.
+    NULL where the resample lacks an arm or an outcome class. ``treatment`` and ``outcome`` are 0/1. Where ``with_exact_draws`` has prepared the
+    units, pass its rate, and keep the column ``EXTRA`` in ``scores``: the resamples are multinomial then.
     """
     slim = scores.rows.select(
         "m",
         "bin",
         "sub",
         "score",
-        unit_hash(scores.key, seed, STREAM_BOOTSTRAP).alias("u"),
+        stream_id(scores.key, seed, STREAM_BOOTSTRAP).alias("u"),
         F.col(treatment).cast("int").alias("t"),
         F.col(outcome).cast("int").alias("y"),
+        *([F.col(EXTRA).alias("extra")] if EXTRA in scores.rows.columns else []),
     )
     # A cell is small in bytes and heavy in work, so the number of tasks is set here; left to
     # itself the adaptive planner would merge many cells into one task.
     sums = (
         slim.repartition(_tasks(scores), "m", "bin", "sub")
         .groupBy("m", "bin", "sub")
-        .applyInPandas(_cell_sums(n_replicates), _SUM_SCHEMA)
+        .applyInPandas(_cell_sums(n_replicates, rate), _SUM_SCHEMA)
     )
     bins = sums.groupBy("m", "bin", "rep").agg(
         F.min("sub").alias("first_sub"), *[F.sum(s).alias(s) for s in _SUMS]
@@ -210,12 +231,14 @@ def bootstrap_qini(
         "bin",
         F.concat(*[F.col(f"o.before_{s}") for s in _SUMS]).alias("carry"),
     )
+    # The row with the offsets is no unit; its stream is named 0, so that the column stays whole numbers in every batch.
+    carry = carry.withColumn("u", F.lit(0).cast("bigint"))
     rows = slim.where(F.col("sub") == LIGHT).unionByName(carry, allowMissingColumns=True)
     light_area = (
         rows.repartition(_tasks(scores), "m", "bin")
         .sortWithinPartitions("m", "bin", F.col("carry").isNull(), F.col("score").desc())
         .groupBy("m", "bin")
-        .applyInPandas(_cell_areas(n_replicates), "m int, rep int, area double")
+        .applyInPandas(_cell_areas(n_replicates, rate), "m int, rep int, area double")
     )
     before = [F.col(f"before_{s}") for s in _SUMS]
     after = [F.col(f"before_{s}") + F.col(s) for s in _SUMS]
@@ -229,23 +252,72 @@ def bootstrap_qini(
     )
 
 
-def multinomial_weights(df: DataFrame, key: str, n_replicates: int, seed: int = 42) -> DataFrame:
-    """(unit, rep, weight): exactly n draws with replacement per replicate.
+def exact_rate(n: int) -> float:
+    """The Poisson rate of a multinomial resample of ``n`` units; 0 for few units, whose draws are all single ones."""
+    return max(0.0, 1.0 - SPARE_DEVIATIONS / math.sqrt(n)) if n else 0.0
+
+
+def _poisson_totals(df: DataFrame, key: str, n_replicates: int, seed: int, rate: float) -> list[int]:
+    """Sum of the Poisson weights of each replicate: one streamed pass over the keys, one row per task and replicate."""
+    words = replicate_words(n_replicates)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(n_replicates, np.int64)
+        for batch in batches:
+            unit = batch["u"].to_numpy(np.int64)
+            for start in range(0, len(unit), _BLOCK):
+                total += poisson_matrix(unit[start : start + _BLOCK], words, rate).sum(axis=0, dtype=np.int64)
+        yield pd.DataFrame({"rep": np.arange(n_replicates), "n": total})
+
+    streams = df.select(stream_id(key, seed, STREAM_BOOTSTRAP).alias("u"))
+    found = streams.mapInPandas(sums, "rep int, n bigint").groupBy("rep").agg(F.sum("n").alias("n")).collect()
+    return [n for _, n in sorted((r.rep, r.n) for r in found)] or [0] * n_replicates
 
-    The literal resample: its cost is units x replicates draws, all made and combined in the tasks
-    that count them. The Poisson weights above need no draws table.
+
+def single_draws(df: DataFrame, key: str, n_replicates: int, seed: int = 42) -> tuple[DataFrame, float]:
+    """((unit, rep) rows, rate): the draws that Poisson weights of that rate lack to exactly n per replicate.
+
+    About ``SPARE_DEVIATIONS`` times the root of n per replicate, made in the tasks that route them. The units are numbered
+    by their keys without a global sort.
     """
     n = df.count()
+    rate = exact_rate(n)
+    missing = [n - total for total in _poisson_totals(df, key, n_replicates, seed, rate)]
+    if min(missing, default=0) < 0:
+        raise RuntimeError("more Poisson draws than units: choose another seed")
     spark = df.sparkSession
-    draws = spark.range(n * n_replicates).select(
-        F.expr(f"cast(id div {max(n, 1)} as int)").alias("rep"),
-        (wide_hash("id", seed, STREAM_DRAW) % F.lit(max(n, 1))).alias("position"),
-    )
-    drawn = draws.groupBy("rep", "position").agg(F.count(F.lit(1)).cast("int").alias("weight"))
+    wanted = spark.createDataFrame(list(enumerate(missing)), "rep int, missing bigint").where("missing > 0")
+    # As many rows per replicate as there are blocks of draws, so that one replicate is made by many tasks.
+    block = 1 << 16
+    starts = wanted.select("rep", "missing", F.explode(F.sequence(F.lit(0), F.col("missing") - 1, F.lit(block))).alias("at"))
+    ends = F.least(F.col("at") + block, F.col("missing")) - 1
+    draws = starts.repartition("rep", "at").select("rep", F.explode(F.sequence("at", ends)).alias("draw"))
+    place = wide_hash(F.concat_ws(":", "rep", "draw"), seed, STREAM_DRAW) % F.lit(max(n, 1))
     # A constant score ranks the units by key alone: a dense position without a global sort.
     flat = long_scores(df.select(key).withColumn("flat", F.lit(0.0)), {"": "flat"}, key, [])
-    place = global_rank(flat).select(key, (F.col("rank") - 1).alias("position"))
-    return drawn.join(place, "position").select(key, "rep", "weight")
+    places = global_rank(flat).select(key, (F.col("rank") - 1).alias("position"))
+    return draws.select("rep", place.alias("position")).join(places, "position").select(key, "rep"), rate
+
+
+def with_exact_draws(df: DataFrame, key: str, n_replicates: int, seed: int = 42) -> tuple[DataFrame, float]:
+    """``df`` with the column ``EXTRA``, the replicates that draw the unit once more, and the rate for ``bootstrap_qini``.
+
+    A unit's list is short: all lists together hold the single draws. The table is stored, as its readers pass over it more than once.
+    """
+    draws, rate = single_draws(df, key, n_replicates, seed)
+    lists = draws.groupBy(key).agg(F.collect_list("rep").alias(EXTRA))
+    return materialize(df.join(lists, key, "left"), "exact_draws"), rate
+
+
+def multinomial_weights(df: DataFrame, key: str, n_replicates: int, seed: int = 42) -> DataFrame:
+    """(unit, rep, weight): exactly n draws with replacement per replicate, as rows.
+
+    Units x replicates rows: the literal table, for small sizes and for checks. ``with_exact_draws`` serves the same draws without it.
+    """
+    draws, rate = single_draws(df, key, n_replicates, seed)
+    single = draws.select(key, "rep", F.lit(1).alias("weight"))
+    both = bootstrap_weights(df, key, n_replicates, seed, rate).unionByName(single)
+    return both.groupBy(key, "rep").agg(F.sum("weight").cast("int").alias("weight"))
 
 
 def weighted_qini(scores: Scores, weights: DataFrame, treatment: str, outcome: str) -> DataFrame:

@@ -5,6 +5,8 @@ Written with plain global windows and sorts: slow at scale, but a check on the d
 
 from __future__ import annotations
 
+import math
+
 from ..functions.hashing import (
     MASK,
     MULTIPLIER,
@@ -16,6 +18,7 @@ from ..functions.hashing import (
     poisson_cuts,
     unit_prefix,
 )
+from ..operators.resample import SPARE_DEVIATIONS
 from .registry import (
     BUDGETS,
     CELL,
@@ -43,15 +46,21 @@ def _unit_hash(name: str, source: str, stream: int, columns: str) -> str:
 {name} AS (SELECT {columns}, CAST('0x' || substr({text}, 1, 8) AS BIGINT) AS h FROM {source})"""
 
 
-def _replicates(name: str, source: str, columns: str, count: int) -> str:
-    """CTEs ending in ``name``: ``columns``, ``rep`` and the Poisson weight ``w``."""
-    cases = " ".join(f"WHEN r1 < {cut} THEN {i}" for i, cut in enumerate(poisson_cuts()))
+def _streams(name: str, source: str, columns: str) -> str:
+    """A CTE: ``columns`` of ``source`` plus both halves of the unit's stream."""
+    text = f"md5('{unit_prefix(SEED, STREAM_BOOTSTRAP)}:' || unit_id)"
+    halves = ", ".join(f"CAST('0x' || substr({text}, {at}, 8) AS BIGINT) AS {h}" for at, h in ((1, "hi"), (9, "lo")))
+    return f"""
+{name} AS (SELECT {columns}, {halves} FROM {source})"""
+
+
+def _drawn(name: str, source: str, columns: str, count: int) -> str:
+    """CTEs ending in ``name``: ``columns``, ``rep`` and a number ``r`` below 2^32 for every unit and replicate."""
     return f"""
 {name}_reps AS (SELECT rep, {_mix("rep")} AS word FROM (SELECT unnest(range({count})) AS rep)),
-{name}_mixed AS (SELECT {columns}, rep, xor(h, word) AS r0 FROM {source}, {name}_reps),
-{name}_drawn AS (SELECT * EXCLUDE (r0), {_mix("r0")} AS r1 FROM {name}_mixed),
-{name} AS (
-  SELECT * EXCLUDE (r1), CASE {cases} ELSE {len(poisson_cuts())} END AS w FROM {name}_drawn)"""
+{name}_mixed AS (SELECT {columns}, rep, hi, xor(lo, word) AS r0 FROM {source}, {name}_reps),
+{name}_half AS (SELECT * EXCLUDE (r0, hi), xor({_mix("r0")}, hi) AS r1 FROM {name}_mixed),
+{name} AS (SELECT * EXCLUDE (r1), {_mix("r1")} AS r FROM {name}_half)"""
 
 
 _UNITS = """
@@ -259,24 +268,38 @@ coefficients AS (
 
 
 def _poisson_draws(count: int) -> str:
+    cases = " ".join(f"WHEN r < {cut} THEN {i}" for i, cut in enumerate(poisson_cuts()))
     return (
-        _unit_hash("booted", "scored", STREAM_BOOTSTRAP, "unit_id").lstrip()
+        _streams("booted", "scored", "unit_id").lstrip()
         + ","
-        + _replicates("draws", "booted", "unit_id", count)
+        + _drawn("numbers", "booted", "unit_id", count)
+        + f""",
+draws AS (SELECT unit_id, rep, CASE {cases} ELSE {len(poisson_cuts())} END AS w FROM numbers)"""
     )
 
 
 def _multinomial_draws(count: int) -> str:
-    text = f"md5('{unit_prefix(SEED, STREAM_DRAW)}:' || id)"
-    return f"""
-population AS (SELECT count(*) AS size FROM scored),
-numbers AS (SELECT unnest(range((SELECT size * {count} FROM population))) AS id),
-positions AS (
-  SELECT id // size AS rep, CAST('0x' || substr({text}, 1, 15) AS BIGINT) % size AS position
-  FROM numbers, population),
+    """Poisson weights of a rate below 1, and the single draws that are missing to exactly as many as there are units."""
+    below = [" + ".join(f"pow(rate, {k}) / {math.factorial(k)}" for k in range(i + 1)) for i in range(12)]
+    cases = " ".join(f"WHEN r < floor(exp(-rate) * ({sums}) * {2**32}) THEN {i}" for i, sums in enumerate(below))
+    text = f"md5('{unit_prefix(SEED, STREAM_DRAW)}:' || rep || ':' || draw)"
+    return (
+        f"""
+population AS (SELECT count(*) AS size, greatest(0.0, 1.0 - {SPARE_DEVIATIONS} / sqrt(count(*))) AS rate FROM scored),"""
+        + _streams("booted", "scored", "unit_id")
+        + ","
+        + _drawn("numbers", "booted", "unit_id", count)
+        + f""",
+below AS (SELECT unit_id, rep, CASE {cases} ELSE 12 END AS w FROM numbers, population),
+missing AS (SELECT rep, any_value(size) - sum(w) AS lacks FROM below, population GROUP BY rep),
+singles AS (SELECT rep, unnest(range(CAST(lacks AS BIGINT))) AS draw FROM missing),
+positions AS (SELECT rep, CAST('0x' || substr({text}, 1, 15) AS BIGINT) % size AS position FROM singles, population),
 places AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS position FROM scored),
 draws AS (
-  SELECT unit_id, rep, count(*) AS w FROM positions JOIN places USING (position) GROUP BY unit_id, rep)"""
+  SELECT unit_id, rep, sum(w) AS w FROM (
+    SELECT unit_id, rep, w FROM below UNION ALL SELECT unit_id, rep, 1 FROM positions JOIN places USING (position))
+  GROUP BY unit_id, rep)"""
+    )
 
 
 def _bootstrap(draws: str) -> str:
@@ -757,11 +780,11 @@ SELECT * FROM thresholded JOIN ordered USING (model)""",
             "SELECT unit_id, CAST(rep AS INTEGER) AS rep, CAST(w AS INTEGER) AS weight FROM draws WHERE w > 0",
         ),
         "bootstrap_replicates": _sql(
-            _WITH_LONG + "," + _bootstrap(_poisson_draws(WEIGHT_REPLICATES)),
+            _WITH_LONG + "," + _bootstrap(_poisson_draws(REPLICATES)),
             "SELECT model, CAST(rep AS INTEGER) AS rep, n, round(qini, 6) AS qini FROM replicates",
         ),
         "bootstrap_multinomial": _sql(
-            _WITH_LONG + "," + _bootstrap(_multinomial_draws(WEIGHT_REPLICATES)),
+            _WITH_LONG + "," + _bootstrap(_multinomial_draws(REPLICATES)),
             "SELECT model, CAST(rep AS INTEGER) AS rep, n, round(qini, 6) AS qini FROM replicates",
         ),
         "bootstrap_qini_ci": _sql(

@@ -430,18 +430,16 @@ def bootstrap_weights(spark, folder):
 @query
 def bootstrap_replicates(spark, folder):
     scores = _scores(spark, folder)
-    table = resample.bootstrap_qini(scores, "treatment", "visit", WEIGHT_REPLICATES, SEED)
+    table = resample.bootstrap_qini(scores, "treatment", "visit", REPLICATES, SEED)
     named = table.withColumn("model", curves.model_name(scores)).drop("m")
     return _rounded(named, "qini")
 
 
 @query
 def bootstrap_multinomial(spark, folder):
-    scores = _scores(spark, folder)
-    weights = resample.multinomial_weights(
-        scored(spark, folder), "unit_id", WEIGHT_REPLICATES, SEED
-    )
-    table = resample.weighted_qini(scores, weights, "treatment", "visit")
+    units, rate = resample.with_exact_draws(scored(spark, folder), "unit_id", REPLICATES, SEED)
+    scores = long_scores(units, MODELS, "unit_id", [*KEEP, resample.EXTRA], keyed=True, binary=KEEP)
+    table = resample.bootstrap_qini(scores, "treatment", "visit", REPLICATES, SEED, rate)
     named = table.withColumn("model", curves.model_name(scores)).drop("m")
     return _rounded(named, "qini")
 

@@ -86,7 +86,7 @@ def test_column_and_array_mixers_agree(spark):
 
 
 def test_poisson_weights_have_mean_and_variance_one():
-    unit = np.random.default_rng(0).integers(0, 2**32, 4000).astype(np.uint32)
+    unit = np.random.default_rng(0).integers(-(2**63), 2**63, 4000)
     w = hashing.poisson_matrix(unit, hashing.replicate_words(200)).astype(float)
     assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
     # Replicates are unrelated.

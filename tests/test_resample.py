@@ -3,6 +3,7 @@ import pytest
 from conftest import SCORE_COLUMNS, scored_frame
 from pyspark.sql import functions as F
 
+from armspark.functions import hashing
 from armspark.operators import resample
 from armspark.operators.curves import qini_coefficient
 from armspark.operators.ordering import long_scores, model_name
@@ -67,6 +68,57 @@ def test_multinomial_draws(frame):
     assert 0.55 < (weights.groupby("rep").size() / 500).mean() < 0.71
 
 
+@pytest.mark.parametrize("rows_per_bin", [1_000_000, 25])
+def test_streamed_multinomial_equals_explicit_weights(frame, monkeypatch, rows_per_bin):
+    monkeypatch.setattr(resample, "_BLOCK", 17)
+    monkeypatch.setattr(resample, "_AREA_BLOCK", 13)
+    units, rate = resample.with_exact_draws(frame, "unit_id", REPS, seed=3)
+    assert 0.5 < rate < 1.0
+    scores = long_scores(
+        units, SCORE_COLUMNS, "unit_id", [*KEEP, resample.EXTRA], rows_per_bin=rows_per_bin, binary=KEEP
+    )
+    table = resample.bootstrap_qini(scores, "treatment", "visit", REPS, 3, rate)
+    blocks = by_key(table)
+    weights = resample.multinomial_weights(frame, "unit_id", REPS, seed=3)
+    plain = long_scores(frame, SCORE_COLUMNS, "unit_id", KEEP)
+    rows = by_key(resample.weighted_qini(plain, weights, "treatment", "visit"))
+    assert blocks.keys() == rows.keys() and len(rows) == REPS * len(SCORE_COLUMNS)
+    for k in rows:
+        assert blocks[k][0] == rows[k][0] == 500 and blocks[k][1] == pytest.approx(rows[k][1])
+    # No task sees units x replicates as rows: the plan explodes nothing but the models.
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == plan.count("Generate inline")
+
+
+@pytest.mark.parametrize("n, replicates", [(1, 5), (3, 400), (40, 300), (900, 200)])
+def test_multinomial_moments(spark, n, replicates):
+    """Exactly n draws; mean 1 and variance 1 - 1/n per unit, also for few units (rate 0)."""
+    df = spark.range(n).select(F.col("id").alias("unit_id"))
+    weights = resample.multinomial_weights(df, "unit_id", replicates, seed=8).toPandas()
+    assert (weights.groupby("rep").weight.sum() == n).all() and weights.rep.nunique() == replicates
+    table = weights.pivot(index="unit_id", columns="rep", values="weight").reindex(range(n)).fillna(0).to_numpy()
+    assert table.mean() == pytest.approx(1.0)
+    assert table.var() == pytest.approx(1 - 1 / n, abs=5 * (2 / (n * replicates)) ** 0.5)
+    units = np.corrcoef(table) if n > 1 else np.ones((1, 1))
+    if n > 1:
+        assert abs(units[np.triu_indices(n, 1)].mean() + 1 / (n - 1)) < 6 / (replicates * n) ** 0.5
+
+
+def test_units_with_equal_halves_of_their_identity_draw_apart(spark):
+    """Streams belong to 64 bits: units that agree in 32 of them share no stream, in numpy and in Spark alike."""
+    low = np.arange(50, dtype=np.int64)
+    units = np.unique(np.concatenate([low, low | (np.int64(1) << 32), low | np.int64(-(2**63)), low << 32]))
+    words = hashing.replicate_words(64)
+    numbers = hashing.draw_matrix(units, words)
+    _, times = np.unique(numbers, return_counts=True)
+    assert (times > 1).sum() <= 4  # chance meetings alone: 12,672 numbers below 2^32
+    assert (hashing.draw_matrix(units, words, by_replicate=True) == numbers.T).all()
+    df = spark.createDataFrame([(int(u), int(w)) for u in units for w in words[:8]], "u long, w long")
+    ours = [r[0] for r in df.select(hashing.draw_column(F.col("u"), F.col("w"))).collect()]
+    assert ours == numbers[:, :8].ravel().tolist()
+    assert abs(np.corrcoef(numbers[:50].ravel(), numbers[50:100].ravel())[0, 1]) < 0.08
+
+
 def test_interval(spark, frame):
     scores = long_scores(frame, SCORE_COLUMNS, "unit_id", KEEP)
     reps = resample.bootstrap_qini(scores, "treatment", "visit", 40, seed=5)
