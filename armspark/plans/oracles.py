@@ -706,6 +706,17 @@ FROM coefficients JOIN (SELECT model, count(*) + 1 AS n_points, greatest(max(y1)
                         FROM heights GROUP BY model) USING (model)""",
         ),
         "csv_round_trip": _sql(_BASE, f"SELECT unit_id, {', '.join(RAW_SCHEMA.fieldNames())} FROM raw_exp"),
+        "csv_dialect": _sql(
+            _BASE,
+            f"""SELECT unit_id, {', '.join(RAW_SCHEMA.fieldNames())} FROM (
+  SELECT * REPLACE (CASE WHEN unit_id % 7 = 0 THEN 'the "' || zip_code || '", or so'
+                         WHEN unit_id % 11 = 0 THEN zip_code || chr(10) || 'second line' ELSE zip_code END AS zip_code)
+  FROM raw_exp WHERE unit_id % 13 <> 0)""",
+        ),
+        "csv_ledger": _sql(
+            _BASE,
+            "SELECT 'surplus fields' AS fault, CAST(count(*) AS BIGINT) AS records FROM raw_exp WHERE unit_id % 13 = 0",
+        ),
         "parquet_round_trip": _sql(_BASE, f"SELECT unit_id, {', '.join(RAW_SCHEMA.fieldNames())} FROM raw_exp"),
         "split_round_trip": _sql(_WITH_SPLIT, "SELECT unit_id, treatment, visit, split FROM test"),
         "scores_round_trip": _sql(

@@ -19,6 +19,7 @@ from ..sources import sinks, tables
 from ..sources.star import STAR_SPEC as SPEC
 from ..sources.star import experiment_table, experiment_units
 from ..sources.tables import assemble
+from ..spec import RAW_SCHEMA
 
 CELL = ("history_segment", "channel")
 SEED = 42
@@ -488,6 +489,34 @@ def csv_round_trip(spark, folder):
     return tables.read_experiment_csv(spark, path, key="unit_id")
 
 
+def _written_dialect(spark, folder) -> str:
+    """Raw files as other programs write them: quotes inside fields, quoted commas and line breaks, some records with a field too many."""
+    path = _fresh_path(spark, "raw-dialect")
+    names = ["unit_id", *RAW_SCHEMA.fieldNames()]
+    df = experiment(spark, folder)
+    spoken = F.concat(F.lit('the "'), F.col("zip_code"), F.lit('", or so'))
+    zip_code = F.when(F.col("unit_id") % 7 == 0, spoken).when(F.col("unit_id") % 11 == 0, F.concat(F.col("zip_code"), F.lit("\nsecond line")))
+    df = df.withColumn("zip_code", zip_code.otherwise(F.col("zip_code")))
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in names]
+    surplus = F.when(F.col("unit_id") % 13 == 0, F.lit(',one,"too, many"')).otherwise("")
+    records = df.select((F.col("unit_id") % 4).alias("part"), F.lit(1).alias("place"), F.concat(F.concat_ws(",", *quoted), surplus).alias("value"))
+    heads = spark.range(4).select(F.col("id").alias("part"), F.lit(0).alias("place"), F.lit(",".join(names)).alias("value"))
+    lines = records.unionByName(heads).repartition("part").sortWithinPartitions("part", "place")
+    lines.select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+@query
+def csv_dialect(spark, folder):
+    return tables.read_experiment_csv(spark, _written_dialect(spark, folder), key="unit_id", skip_bad=True)
+
+
+@query
+def csv_ledger(spark, folder):
+    ledger = tables.bad_records(tables.scan_csv(spark, _written_dialect(spark, folder)))
+    return ledger.groupBy("fault").agg(F.sum("records").alias("records"))
+
+
 @query
 def parquet_round_trip(spark, folder):
     path = _fresh_path(spark, "raw")
@@ -515,7 +544,7 @@ def result_round_trip(spark, folder):
     path = _fresh_path(spark, "result")
     result = ranking.uplift_at_k(_scores(spark, folder), "treatment", "visit", KS)
     sinks.write_result(result, path)
-    return spark.read.option("header", True).schema(result.schema).csv(path)
+    return spark.read.option("header", True).option("escape", '"').schema(result.schema).csv(path)
 
 
 @query

@@ -39,7 +39,7 @@ class Sizes:
 
 def prepare(spark: SparkSession, csv: str, out: str, spec: ExperimentSpec = ExperimentSpec()) -> DataFrame:
     """Scan and validate a raw CSV, give every unit a key, store it; returns the dataset report."""
-    names = spark.read.option("header", True).csv(csv).columns
+    names = spark.read.option("header", True).option("escape", '"').csv(csv).columns
     if spec.key in names:
         raw = tables.read_experiment_csv(spark, csv, key=spec.key)
         require_unit_keys(raw, spec.key)
@@ -197,5 +197,5 @@ def simulate_budgets(
     ordered = table.repartition(1).sortWithinPartitions(
         "budget", F.col("incremental_total").desc_nulls_last()
     )
-    ordered.write.mode("overwrite").option("header", True).csv(f"{out}/budget_targeting")
+    ordered.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{out}/budget_targeting")
     return targeting.beat_random(table)

@@ -13,7 +13,7 @@ def write_raw(df: DataFrame, path: str, schema: T.StructType = RAW_SCHEMA, fmt="
     require_columns(df, schema.fieldNames())
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     else:
         writer.parquet(path)
 
@@ -34,7 +34,7 @@ def write_result(df: DataFrame, path: str) -> None:
 
     The shuffle keeps the work before it parallel; ``coalesce`` would pull it into one task.
     """
-    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +15,9 @@ from ..functions.columns import nan_to_null
 from ..session import materialize
 from ..spec import RAW_SCHEMA, ExperimentSpec, require_columns
 
+# Columns that a CSV scan adds.
+BAD_RECORD, SOURCE_FILE = "__bad_record", "__source_file"
+
 # Texts a raw CSV file uses for "missing".
 MISSING_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -42,25 +46,92 @@ def conform(df: DataFrame, schema: T.StructType = RAW_SCHEMA, key: str | None =
     return nan_to_null(df.select(*kept, *[F.col(f.name).cast(f.dataType) for f in schema.fields]))
 
 
-def read_experiment_csv(
-    spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA, key: str | None = None
-) -> DataFrame:
-    """Scan a headed comma-separated experiment file with a declared schema.
+def _line_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files whose records are single lines, and files in which a quoted field holds a line break.
 
-    Everything is read as text, the header is checked by name, then the contract columns are cast.
-    Extra columns are dropped. Missing columns (also the effect of an empty file or of another
-    delimiter) raise ``ValueError`` before any job runs.
+    A line with an odd number of quotes opens or closes such a field. Only files that have one must each be read by one task; all others
+    are split. One row per file reaches the driver.
+    """
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), odd.alias("odd"))
+    found = lines.groupBy("file").agg(F.bool_or("odd").alias("odd")).collect()
+    plain, broken = [], []
+    for row in sorted(found):
+        (broken if row.odd else plain).append(unquote(row.file))
+    return plain, broken
+
+
+def scan_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All records of headed comma-separated files as texts, with the columns ``BAD_RECORD`` and ``SOURCE_FILE``.
+
+    Fields may be quoted, a doubled quote stands for a quote, and a quoted field may hold commas and line breaks. ``BAD_RECORD`` holds the whole
+    record where it has another number of fields than the header. The header of every file must be that of the first one.
     """
     try:
-        raw = spark.read.option("header", True).csv(path)
+        reader = spark.read.option("header", True).option("escape", '"').option("recursiveFileLookup", True)
+        header = reader.csv(path).columns
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(path) from error
         raise
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in (*header, BAD_RECORD)])
+    # Nothing of the first field is added; but Spark refuses queries that read the record column alone.
+    nothing = F.substring(F.coalesce(F.col(header[0]), F.lit("")), 1, 0) if header else F.lit("")
+    whole = F.concat(F.col(BAD_RECORD), nothing)
+    scans = []
+    for files, multi_line in zip(_line_files(spark, path), (False, True)):
+        if files:
+            reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+            reader = reader.option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE")
+            # Fields are counted only where all of them are parsed.
+            reader = reader.option("columnPruning", False).option("columnNameOfCorruptRecord", BAD_RECORD)
+            scans.append(reader.csv(files).select(*header, whole.alias(BAD_RECORD), F.col("_metadata.file_path").alias(SOURCE_FILE)))
+    if not scans:
+        return spark.createDataFrame([], schema.add(SOURCE_FILE, "string"))
+    return reduce(DataFrame.unionByName, scans)
+
+
+def _fault(scan: DataFrame) -> Column:
+    """Why a record cannot be used; NULL if it can. Fields that a short record lacks are NULL, which is no fault."""
+    record = F.col(BAD_RECORD)
+    bare = F.regexp_replace(record, r'"(?:[^"]|"")*"', "")
+    width = len(scan.columns) - 2
+    surplus = F.size(F.split(bare, ",")) > width
+    return F.when(record.isNull(), None).when(F.contains(bare, F.lit('"')), "open quote").when(surplus, "surplus fields")
+
+
+def bad_records(scan: DataFrame) -> DataFrame:
+    """The ledger of a scan: (file, fault, records, example), one row per file and fault."""
+    faulty = scan.select(F.col(SOURCE_FILE).alias("file"), _fault(scan).alias("fault"), F.col(BAD_RECORD).alias("record"))
+    return (
+        faulty.where(F.col("fault").isNotNull())
+        .groupBy("file", "fault")
+        .agg(F.count(F.lit(1)).alias("records"), F.min("record").alias("example"))
+    )
+
+
+def read_experiment_csv(
+    spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA, key: str | None = None, skip_bad: bool = False
+) -> DataFrame:
+    """Scan headed comma-separated experiment files with a declared schema.
+
+    Everything is read as text, the header is checked by name, then the contract columns are cast.
+    Extra columns are dropped. Missing columns (also the effect of an empty file or of another
+    delimiter) raise ``ValueError`` before any row is read. Records with more fields than the header, or with a quote that never closes,
+    raise ``ValueError`` with their file and number; with ``skip_bad`` they are left out, and ``bad_records`` lists them.
+    """
+    scan = scan_csv(spark, path)
     names = ([key] if key else []) + schema.fieldNames()
-    require_columns(raw, names)
+    require_columns(scan, names)
+    if skip_bad:
+        scan = scan.where(_fault(scan).isNull())
+    else:
+        ledger = bad_records(scan).orderBy("file", "fault").limit(20).collect()
+        if ledger:
+            told = "; ".join(f"{r.file}: {r.records} with {r.fault}, such as {r.example[:200]!r}" for r in ledger)
+            raise ValueError(f"records that do not fit the header: {told}")
     kept = [F.col(key).cast("bigint").alias(key)] if key else []
-    return nan_to_null(raw.select(*kept, *[_typed(f.name, f.dataType) for f in schema.fields]))
+    return nan_to_null(scan.select(*kept, *[_typed(f.name, f.dataType) for f in schema.fields]))
 
 
 def read_experiment_parquet(

@@ -56,6 +56,57 @@ def test_csv_errors(spark, tmp_path):
         tables.read_experiment_csv(spark, bad).collect()
 
 
+def dialect_csv(folder, name, records, width=12):
+    head = ",".join(RAW_SCHEMA.fieldNames())
+    (folder / name).write_text("\n".join([head, *records]) + "\n", encoding="utf-8")
+
+
+def record(zip_code, more="", recency="5"):
+    return f'{recency},1) $0 - $100,50.0,1,0,{zip_code},0,Web,Mens E-Mail,1,0,0.0{more}'
+
+
+def test_csv_dialect(spark, tmp_path):
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    dialect_csv(folder, "lines.csv", [record('"say ""x"", or y"'), record('"two\nlines"'), record('""""'), record("plain")])
+    dialect_csv(folder, "plain é.csv", [record('"a, b"'), record("Urban", recency=""), "", record('"Urban"')])
+    (folder / "bare.csv").write_text(",".join(RAW_SCHEMA.fieldNames()) + "\n")
+    rows = tables.read_experiment_csv(spark, str(folder)).collect()
+    assert sorted(r.zip_code for r in rows) == sorted(['say "x", or y', "two\nlines", '"', "plain", "a, b", "Urban", "Urban"])
+    assert [r.recency for r in rows].count(None) == 1
+    plain, broken = tables._line_files(spark, str(folder))
+    assert [f.rsplit("/", 1)[1] for f in broken] == ["lines.csv"] and len(plain) == 2
+
+
+def test_bad_records_are_named_counted_and_listed(spark, tmp_path):
+    surplus = [record("Urban", ",x"), record('"a, b"', ',"y, z"'), record("Urban", ",")]
+    dialect_csv(tmp_path, "one.csv", [record("Urban"), *surplus])
+    dialect_csv(tmp_path, "two.csv", [record('"b\nc"'), record("Rural", ",q"), '7,"never closed'])
+    dialect_csv(tmp_path, "short.csv", ["9,1) $0 - $100,50.0", record("Urban")])
+    with pytest.raises(ValueError, match=r"one\.csv: 3 with surplus fields, such as .*two\.csv: 1 with open quote.*two\.csv: 1 with surplus"):
+        tables.read_experiment_csv(spark, str(tmp_path))
+    kept = tables.read_experiment_csv(spark, str(tmp_path), skip_bad=True).collect()
+    assert sorted(str(r.zip_code) for r in kept) == ["None", "Urban", "Urban", "b\nc"]
+    ledger = tables.bad_records(tables.scan_csv(spark, str(tmp_path))).collect()
+    told = {(r.file.rsplit("/", 1)[1], r.fault): r.records for r in ledger}
+    assert told == {("one.csv", "surplus fields"): 3, ("two.csv", "surplus fields"): 1, ("two.csv", "open quote"): 1}
+
+
+def test_another_header_is_an_error(spark, tmp_path):
+    dialect_csv(tmp_path, "a.csv", [record("Urban")])
+    names = RAW_SCHEMA.fieldNames()
+    (tmp_path / "b.csv").write_text(",".join([names[1], names[0], *names[2:]]) + "\n" + record("Urban") + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_experiment_csv(spark, str(tmp_path)).collect()
+
+
+def test_csv_sink_keeps_quotes_and_line_breaks(spark, units, tmp_path):
+    odd = units.limit(20).withColumn("zip_code", F.concat(F.lit('a "b", c\\'), F.lit("\n"), F.col("unit_id").cast("string")))
+    sinks.write_raw(odd, str(tmp_path / "raw"), fmt="csv")
+    back = tables.read_experiment_csv(spark, str(tmp_path / "raw"), key="unit_id")
+    assert sorted(r.zip_code for r in back.collect()) == sorted(r.zip_code for r in odd.collect())
+
+
 def test_missing_tokens_become_null(spark, tmp_path):
     path = contract_csv(tmp_path / "gaps.csv", history="NaN", zip_code="NA")
     row = tables.read_experiment_csv(spark, path).first()
