@@ -18,7 +18,7 @@ from ..functions.columns import positive_probability, ratio
 from ..functions.hashing import STREAM_FOLD, STREAM_HONEST, unit_hash
 from ..session import ensure_checkpoint_dir, materialize
 from ..spec import ExperimentSpec, require_columns
-from .encoding import fit_features
+from .encoding import EncodedTable, encode_once
 from .learners import MAX_BINS, fit_together
 
 # Assignment probabilities are kept this far off 0 and 1, so that no treatment residual vanishes.
@@ -110,7 +110,7 @@ def cell_effect_scores(
 
 
 def cross_fit_residuals(
-    train: DataFrame,
+    train: DataFrame | EncodedTable,
     spec: ExperimentSpec,
     target: str,
     folds: int = 2,
@@ -123,20 +123,21 @@ def cross_fit_residuals(
     """(unit, features, yr, tr, fold): residuals from models fitted on the other folds.
 
     Returns the stored residual table and the fitted feature stages. Assignment probabilities are kept
-    within ``clip`` and 1 - ``clip``.
+    within ``clip`` and 1 - ``clip``. An encoded table (with key, arm and target) is used as it is.
     """
-    require_columns(train, (spec.key, spec.treatment, target, *spec.features))
     spec.check_leakage()
-    ensure_checkpoint_dir(train.sparkSession)
-    encoder = fit_features(train, spec)
-    encoded = encoder.transform(with_fold(train, spec, folds, seed)).select(
+    if not isinstance(train, EncodedTable):
+        train = encode_once(train, spec, [spec.key, spec.treatment, target])
+    require_columns(train.rows, (spec.key, spec.treatment, target, "features"))
+    session = train.rows.sparkSession
+    ensure_checkpoint_dir(session)
+    encoded = with_fold(train.rows, spec, folds, seed).select(
         spec.key,
         "fold",
         "features",
         F.col(spec.treatment).cast("double").alias("t"),
         F.col(target).cast("double").alias("y"),
     )
-    encoded = materialize(encoded, "encoded")
     learner = {"maxIter": rounds, "maxDepth": depth, "seed": seed, "maxBins": max_bins, "checkpointInterval": 10}
     fits = []
     for k in range(folds):
@@ -145,7 +146,7 @@ def cross_fit_residuals(
         arm = GBTClassifier(labelCol="t", predictionCol="t_class", **learner)
         arm = arm.setProbabilityCol("t_prob")
         fits += [lambda m=outcome, d=others: m.fit(d), lambda m=arm, d=others: m.fit(d)]
-    models = fit_together(train.sparkSession, fits)
+    models = fit_together(session, fits)
     parts = []
     for k in range(folds):
         own = encoded.where(F.col("fold") == k)
@@ -161,7 +162,7 @@ def cross_fit_residuals(
         (F.col("y") - F.col("y_hat")).alias("yr"),
         (F.col("t") - t_hat).alias("tr"),
     )
-    return materialize(residuals, "residuals"), encoder
+    return materialize(residuals, "residuals"), train.encoder
 
 
 def leaf_offsets(forests: Sequence[RandomForestRegressionModel]) -> np.ndarray:
@@ -234,7 +235,7 @@ class EffectForest:
 
 
 def train_effect_forest(
-    train: DataFrame,
+    train: DataFrame | EncodedTable,
     spec: ExperimentSpec,
     target: str,
     trees: int = 200,
@@ -281,7 +282,7 @@ def train_effect_forest(
             featureSubsetStrategy=feature_share,
         ).fit(grow)
 
-    forests = tuple(fit_together(train.sparkSession, [lambda g=g: fit(g) for g in range(groups)]))
+    forests = tuple(fit_together(residuals.sparkSession, [lambda g=g: fit(g) for g in range(groups)]))
     starts = leaf_offsets(forests)
     parts, tree = [], 0
     for g, forest in enumerate(forests):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -9,7 +10,8 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import sanitize_names
+from ..functions.columns import column_name
+from ..session import materialize
 from ..spec import ExperimentSpec, require_columns
 
 
@@ -56,8 +58,9 @@ def fit_one_hot(df: DataFrame, spec: ExperimentSpec, sanitize: bool = True) -> O
         for row in distinct.collect():
             values[row["feature"]].append(row["value"])
     categories = tuple((name, tuple(sorted(values[name]))) for name in spec.categorical)
-    raw = [*spec.numeric, *(f"{name}_{v}" for name, vs in categories for v in vs)]
-    names = sanitize_names(raw) if sanitize else raw
+    sources = [*((name, None) for name in spec.numeric), *((name, v) for name, vs in categories for v in vs)]
+    plain = [name if v is None else f"{name}_{v}" for name, v in sources]
+    names = [column_name(*source) for source in sources] if sanitize else plain
     if len(set(names)) != len(names):
         clashes = sorted({n for n in names if names.count(n) > 1})
         raise ValueError(f"feature names collide: {clashes}")
@@ -89,3 +92,18 @@ def feature_stages(spec: ExperimentSpec, output: str = "features") -> list:
 def fit_features(df: DataFrame, spec: ExperimentSpec, output: str = "features") -> PipelineModel:
     require_columns(df, spec.features)
     return Pipeline(stages=feature_stages(spec, output)).fit(df)
+
+
+@dataclass(frozen=True)
+class EncodedTable:
+    """Feature vectors of a table, stored with some of its columns, and the encoder that made them."""
+
+    rows: DataFrame
+    encoder: PipelineModel
+
+
+def encode_once(df: DataFrame, spec: ExperimentSpec, keep: Sequence[str]) -> EncodedTable:
+    """Fit one encoder on all rows and store the vectors (column ``features``), for any number of learners."""
+    require_columns(df, (*keep, *spec.features))
+    encoder = fit_features(df, spec)
+    return EncodedTable(materialize(encoder.transform(df).select(*keep, "features"), "encoded"), encoder)

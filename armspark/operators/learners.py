@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -20,7 +21,7 @@ from ..functions.columns import (
 )
 from ..session import ensure_checkpoint_dir, materialize
 from ..spec import ExperimentSpec, require_columns
-from .encoding import feature_stages
+from .encoding import EncodedTable, encode_once, feature_stages
 
 # Rounds of boosting used when the caller names none.
 DEFAULT_ROUNDS = 200
@@ -53,8 +54,8 @@ def positive_weight(df: DataFrame, label: str) -> float:
 
 
 def _boosted(
-    spec: ExperimentSpec, label: str, rounds: int, seed: int, depth: int, max_bins: int, weight: str | None = None
-):
+    label: str, rounds: int, seed: int, depth: int, max_bins: int, weight: str | None = None
+) -> GBTClassifier:
     learner = GBTClassifier(
         labelCol=label,
         featuresCol="features",
@@ -67,11 +68,11 @@ def _boosted(
     )
     if weight:
         learner = learner.setWeightCol(weight)
-    return Pipeline(stages=[*feature_stages(spec), learner])
+    return learner
 
 
 def train_response_model(
-    train: DataFrame,
+    train: DataFrame | EncodedTable,
     spec: ExperimentSpec,
     target: str,
     seed: int = 42,
@@ -82,17 +83,23 @@ def train_response_model(
 ) -> PipelineModel:
     """Boosted trees for P(target), positives weighted up to balance; the arm is not a feature.
 
-    ``train`` should be a stored table: fitting scans it once per tree level and round.
+    ``train`` should be a stored table: fitting scans it once per tree level and round. An encoded table brings its encoder along, which
+    becomes part of the model; otherwise the model learns one of its own.
     """
-    require_columns(train, (target, *spec.features))
+    encoded = isinstance(train, EncodedTable)
+    rows, inputs = (train.rows, ("features",)) if encoded else (train, spec.features)
+    require_columns(rows, (target, *inputs))
     spec.check_leakage()
-    ensure_checkpoint_dir(train.sparkSession)
-    data = train.select(*spec.features, F.col(target).cast("double").alias("__label"))
+    ensure_checkpoint_dir(rows.sparkSession)
+    data = rows.select(*inputs, F.col(target).cast("double").alias("__label"))
     weight = None
     if weighted:
         value = positive_weight(data, "__label")
         data, weight = data.withColumn("__weight", class_weight("__label", value)), "__weight"
-    return _boosted(spec, "__label", rounds, seed, depth, max_bins, weight).fit(data)
+    learner = _boosted("__label", rounds, seed, depth, max_bins, weight)
+    if encoded:
+        return PipelineModel(stages=[*train.encoder.stages, learner.fit(data)])
+    return Pipeline(stages=[*feature_stages(spec), learner]).fit(data)
 
 
 def predict_probability(model: PipelineModel, df: DataFrame, output: str) -> DataFrame:
@@ -102,7 +109,7 @@ def predict_probability(model: PipelineModel, df: DataFrame, output: str) -> Dat
 
 
 def two_model(
-    train: DataFrame,
+    train: DataFrame | EncodedTable,
     spec: ExperimentSpec,
     target: str,
     seed: int = 42,
@@ -110,14 +117,16 @@ def two_model(
     depth: int = 5,
     max_bins: int = MAX_BINS,
 ) -> tuple[PipelineModel, PipelineModel]:
-    """One weighted model per arm: (treated model, control model)."""
+    """One weighted model per arm: (treated model, control model). Both share one encoder, fitted on all rows."""
+    if not isinstance(train, EncodedTable):
+        train = encode_once(train, spec, [spec.treatment, target])
     arm = F.col(spec.treatment)
     return tuple(
         fit_together(
-            train.sparkSession,
+            train.rows.sparkSession,
             [
                 lambda value=value: train_response_model(
-                    train.where(arm == value), spec, target, seed, rounds, depth, max_bins=max_bins
+                    replace(train, rows=train.rows.where(arm == value)), spec, target, seed, rounds, depth, max_bins=max_bins
                 )
                 for value in (1, 0)
             ],
@@ -133,7 +142,7 @@ def score_two_model(models: tuple[PipelineModel, PipelineModel], df: DataFrame,
 
 
 def class_transformation(
-    train: DataFrame,
+    train: DataFrame | EncodedTable,
     spec: ExperimentSpec,
     target: str,
     seed: int = 42,
@@ -142,7 +151,11 @@ def class_transformation(
     max_bins: int = MAX_BINS,
 ) -> PipelineModel:
     """One unweighted model of the revert label, with no correction for unequal arms."""
-    labelled = train.withColumn("__revert", revert_label(spec.treatment, target))
+    label = revert_label(spec.treatment, target)
+    if isinstance(train, EncodedTable):
+        labelled = replace(train, rows=train.rows.withColumn("__revert", label))
+    else:
+        labelled = train.withColumn("__revert", label)
     return train_response_model(labelled, spec, "__revert", seed, rounds, depth, weighted=False, max_bins=max_bins)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import binarize_treatment
 from ..operators import balance, curves, effects, learners, profile, ranking, resample, split, targeting
 from ..operators.checks import require_unit_keys
+from ..operators.encoding import encode_once
 from ..operators.ordering import long_scores
 from ..session import materialize
 from ..sources import sinks, tables
@@ -109,6 +110,7 @@ def train_effects(
     """Fit the three effect models, store the combined scores; returns the signal checks."""
     train, test = (tables.read_split(spark, split_path, side) for side in ("train", "test"))
     seed, rounds, depth = sizes.seed, sizes.rounds, sizes.depth
+    train = encode_once(train, spec, [spec.key, spec.treatment, target])
     two, revert, forest = learners.fit_together(
         spark,
         [

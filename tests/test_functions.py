@@ -8,8 +8,8 @@ from armspark.functions import hashing
 from armspark.functions.chi2 import chi2_upper_tail
 from armspark.functions.columns import (
     binarize_treatment,
+    column_name,
     revert_label,
-    sanitize_names,
     strat_key,
     threshold_label,
 )
@@ -27,10 +27,8 @@ def test_binarize_and_null_arm(spark, spec):
 
 
 def test_names_and_labels(spark):
-    assert sanitize_names(["history_segment_7) $1,000 +", "zip_code_Urban"]) == [
-        "history_segment_7_1_000_",
-        "zip_code_Urban",
-    ]
+    assert column_name("price range", "over $2,500!") == "price_range_over_2_500_"
+    assert column_name("zip_code", "Urban") == "zip_code_Urban" and column_name("é/a") == "_a"
     df = spark.createDataFrame([(1, 1), (1, 0), (0, 1), (0, 0)], "t int, y int")
     got = df.select(revert_label("t", "y").alias("z"), strat_key("t", "y").alias("k")).collect()
     assert [r.z for r in got] == [1, 0, 0, 1]

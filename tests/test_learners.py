@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from armspark.operators import effects, learners
+from armspark.operators import effects, encoding, learners
 from armspark.session import materialize
 from armspark.sources import sinks
 from armspark.spec import ExperimentSpec
@@ -79,6 +79,25 @@ def test_effect_learners_find_the_planted_group(planted):
     assert scored.toPandas().score.between(-1, 1).all() and separation(scored) > 0.1
 
 
+def test_learners_share_one_encoder(planted, monkeypatch):
+    """An encoded table serves all learners, with the scores of an encoder of their own."""
+    train, test = planted
+    fitted = []
+    fit = encoding.fit_features
+    monkeypatch.setattr(encoding, "fit_features", lambda *a, **k: fitted.append(1) or fit(*a, **k))
+    table = encoding.encode_once(train, SPEC, [SPEC.key, SPEC.treatment, "visit"])
+    score = lambda model, how: {r.unit_id: r.score for r in how(model, test, "score").select("unit_id", "score").collect()}
+    shared = learners.class_transformation(table, SPEC, "visit", rounds=2, depth=2)
+    two = learners.two_model(table, SPEC, "visit", rounds=2, depth=2)
+    forest = effects.train_effect_forest(table, SPEC, "visit", trees=4, nuisance_rounds=2, depth=2)
+    assert len(fitted) == 1 and forest.encoder is table.encoder
+    own = learners.class_transformation(train, SPEC, "visit", rounds=2, depth=2)
+    assert score(shared, learners.score_class_transformation) == score(own, learners.score_class_transformation)
+    pairs = learners.two_model(train, SPEC, "visit", rounds=2, depth=2)
+    assert len(fitted) == 2
+    assert score(two, learners.score_two_model) == score(pairs, learners.score_two_model)
+
+
 def test_missing_feature_and_leak(planted):
     train, _ = planted
     with pytest.raises(ValueError, match="x1"):

@@ -28,10 +28,10 @@ def test_missing_report_counts_null_and_nan(spark):
 
 def test_actual_effect_and_empty_arm(spark):
     df = spark.createDataFrame(
-        [(t, y) for t, y in zip([1, 1, 1, 0, 0, 0], [1, 1, 0, 0, 0, 0])], "t int, y int"
+        [(t, y) for t, y in zip([1, 0, 1, 0, 1, 1, 0], [1, 0, 0, 1, 1, 1, 0])], "t int, y int"
     )
     row = profile.actual_effect(df, "t", "y").first()
-    assert row["effect"] == pytest.approx(2 / 3) and (row["n_treated"], row["n_control"]) == (3, 3)
+    assert row["effect"] == pytest.approx(3 / 4 - 1 / 3) and (row["n_treated"], row["n_control"]) == (4, 3)
     row = profile.actual_effect(df.where("t = 1"), "t", "y").first()
     assert row["effect"] is None and row["n_control"] == 0
 

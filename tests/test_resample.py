@@ -140,7 +140,13 @@ def test_failed_replicates_are_skipped(spark):
     assert 0 < row.n_successful_resamples < 60
 
 
-CI = [("A", 0.05, 0.01, 0.09), ("B", 0.06, 0.02, 0.10), ("C", 0.50, 0.45, 0.55)]
+REGIONS = ["east", "north", "south", "west"]
+CI = [
+    ("east", 0.12, 0.05, 0.20),
+    ("north", 0.31, 0.18, 0.44),
+    ("south", -0.04, -0.11, 0.049),
+    ("west", 0.02, -0.06, 0.10),
+]
 
 
 def intervals(spark, rows=CI):
@@ -150,28 +156,35 @@ def intervals(spark, rows=CI):
 
 
 def test_pairwise(spark):
-    rows = resample.pairwise_overlap(intervals(spark), ["A", "B", "C"]).collect()
+    rows = resample.pairwise_overlap(intervals(spark), REGIONS).collect()
     got = {(r.model_a, r.model_b): r.cis_overlap for r in rows}
-    assert got == {("A", "B"): True, ("A", "C"): False, ("B", "C"): False}
+    assert got == {
+        ("east", "north"): True,
+        ("east", "south"): False,
+        ("east", "west"): True,
+        ("north", "south"): False,
+        ("north", "west"): False,
+        ("south", "west"): True,
+    }
     assert {r.verdict for r in rows if not r.cis_overlap} == {"Distinguishable (CIs do not overlap)"}
 
 
 def test_verdict(spark):
-    row = resample.verdict_facts(intervals(spark), ["A", "B", "C"], "A").first()
-    assert (row.best_model, row.overlapping, row.n_distinguishable, row.n_pairs) == ("C", "", 2, 3)
-    assert (row.reference_rank, row.n_models) == (3, 3)
-    tied = [("A", 0.3, 0.1, 0.4), ("B", 0.3, 0.2, 0.5), ("C", 0.1, 0.0, 0.2)]
-    row = resample.verdict_facts(intervals(spark, tied), ["A", "B", "C"], "B").first()
-    assert (row.best_model, row.overlapping, row.reference_rank) == ("A", "B,C", 1)
-    assert resample.verdict_facts(intervals(spark), ["A", "B", "C"]).first().reference_rank is None
+    row = resample.verdict_facts(intervals(spark), REGIONS, "east").first()
+    assert (row.best_model, row.overlapping, row.n_distinguishable, row.n_pairs) == ("north", "east", 3, 6)
+    assert (row.reference_rank, row.n_models) == (2, 4)
+    tied = [("p", 0.25, 0.125, 0.5), ("q", 0.25, 0.2, 0.4), ("r", 0.0, -0.5, 0.15)]
+    row = resample.verdict_facts(intervals(spark, tied), ["p", "q", "r"], "q").first()
+    assert (row.best_model, row.overlapping, row.reference_rank) == ("p", "q,r", 1)
+    assert resample.verdict_facts(intervals(spark), REGIONS).first().reference_rank is None
 
 
 def test_results_table(spark):
     uplift = spark.createDataFrame(
-        [(m, k, k / 3) for m in "ABC" for k in (0.1, 0.2)], "model string, k double, uplift_at_k double"
+        [(m, k, k / 3) for m in REGIONS for k in (0.1, 0.2)], "model string, k double, uplift_at_k double"
     )
     rows = {r.model: r for r in resample.results_table(intervals(spark), uplift, (0.1, 0.2)).collect()}
-    assert rows["A"].uplift_at_10pct == 0.0333 and rows["C"].uplift_at_20pct == 0.0667
+    assert rows["east"].uplift_at_10pct == 0.0333 and rows["west"].uplift_at_20pct == 0.0667
 
 
 def test_zero_inclusion(spark):
