@@ -40,6 +40,14 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as keep it apart from the columns of a table (names there differ by more than case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def row_key(df: DataFrame, name: str) -> DataFrame:
     """A key unique per row of one scan: rows whose own ids repeat or are NULL stay apart."""
     return df.withColumn(name, F.monotonically_increasing_id())

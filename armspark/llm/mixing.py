@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import whole_text, word_count
+from .common import free_name, whole_text, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE, EPOCHS = 1.5, 2
@@ -161,7 +161,8 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``mix_target``, ``mix_taken`` (words) and ``mix_copies``.
 
-    The text stays where it is: rules of a few rows per source decide in the scan.
+    The text stays where it is: rules of a few rows per source decide in the scan. Where ``docs`` has a column of such a name already, the new one
+    gets an underscore behind it.
     """
     _, rules = fair_queue(docs, **options)
     named = docs.select(
@@ -171,9 +172,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.col("doc_id"),
     ).withColumn("place", _order_key(F.col("doc_id"), F.col("size")))
     taken = served(named, rules).where("copies > 0")
-    return taken.select(
-        "doc.*", F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"), F.col("copies").alias("mix_copies")
-    )
+    added = {name: free_name(f"mix_{name}", docs.columns) for name in ("target", "taken", "copies")}
+    return taken.select("doc.*", *[F.col(name).alias(new) for name, new in added.items()])
 
 
 ORACLE = """

@@ -31,12 +31,14 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; n_chars follows the new text."""
-    done = surrogates.replace_entities(docs)
+    # Numbered names, so that no column of the input meets the count of entities.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    done = surrogates.replace_entities(docs).toDF(*names, "found")
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        n_chars = F.when(F.col("n_entities") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-        done = done.withColumn("n_chars", n_chars.cast(kind))
-    return done.select(*docs.columns)
+        length, text = names[docs.columns.index("n_chars")], names[docs.columns.index("text")]
+        n_chars = F.when(F.col("found") > 0, F.char_length(text)).otherwise(F.col(length))
+        done = done.withColumn(length, n_chars.cast(docs.schema["n_chars"].dataType))
+    return done.select(*names).toDF(*docs.columns)
 
 
 def weighted_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

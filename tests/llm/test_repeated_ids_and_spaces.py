@@ -5,6 +5,7 @@ import zlib
 
 import pytest
 
+import corpus_pipeline
 from armspark.llm import near_copies, quality, surrogates
 
 X = " ".join(f"word{i}" for i in range(60)) + "."
@@ -58,3 +59,16 @@ def test_the_shape_of_a_word_sees_all_of_it():
     assert quality.shape_of(word) == b"a" + b"9U!" * 18
     code = quality.Codes()[word]
     assert code % quality.SHAPES == zlib.crc32(quality.shape_of(word)) % quality.SHAPES
+
+
+def test_stages_take_columns_whose_names_they_use(spark):
+    rows = [(1, "mail bob@mail.com now " + X, "a", 1, 2, 3, 4, 80), (2, Y, "b", 1, 2, 3, 4, 90), (2, Y, "b", 1, 2, 3, 4, 90), (None, None, None, 1, 2, 3, 4, None)]
+    schema = "doc_id long, text string, source string, n_entities int, mix_target int, n int, c0 int, n_chars int"
+    docs = spark.createDataFrame(rows, schema)
+    done = corpus_pipeline.without_pii(spark, docs, "")
+    assert done.schema == docs.schema and done.count() == 4
+    first = done.where("doc_id = 1").first()
+    assert "bob@" not in first.text and first.n_chars == len(first.text) and first.n_entities == 1
+    mixed = corpus_pipeline.weighted_mix(spark, docs, "")
+    assert mixed.columns == [*docs.columns, "mix_target_", "mix_taken", "mix_copies"]
+    assert mixed.where("mix_target = 2").count() == mixed.count()
