@@ -27,18 +27,18 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import hashing
 from ..functions.columns import stable_sum
 from ..functions.hashing import (
     STREAM_BOOTSTRAP,
     STREAM_DRAW,
-    draw_column,
     poisson_matrix,
-    poisson_weight,
     replicate_words,
     stream_id,
     wide_hash,
@@ -61,17 +61,25 @@ _SUM_SCHEMA = "m int, bin int, sub int, rep int, n bigint, nt bigint, y bigint,
 
 
 def bootstrap_weights(df: DataFrame, key: str, n_replicates: int, seed: int = 42, rate: float = 1.0) -> DataFrame:
-    """(unit, rep, weight) for weights above zero: the resamples themselves, as rows."""
-    words = [
-        F.struct(F.lit(r).alias("rep"), F.lit(int(w)).cast("bigint").alias("word"))
-        for r, w in enumerate(replicate_words(n_replicates))
-    ]
-    reps = df.select(key, stream_id(key, seed, STREAM_BOOTSTRAP).alias("u"), F.inline(F.array(*words)))
-    return (
-        reps.select(key, "rep", draw_column(F.col("u"), F.col("word")).alias("h"))
-        .select(key, "rep", poisson_weight(F.col("h"), rate).cast("int").alias("weight"))
-        .where("weight > 0")
-    )
+    """(unit, rep, weight) for weights above zero: the resamples themselves, as rows.
+
+    Drawn in blocks of units, like the passes below: as column expressions the filter on the weight would be pushed under the draw, and the hash
+    of the unit with it, written out hundreds of times per row.
+    """
+    words = replicate_words(n_replicates)
+    units = df.select(key, stream_id(key, seed, STREAM_BOOTSTRAP).alias("__u"))
+
+    def draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, _BLOCK):
+                block = batch.slice(start, _BLOCK)
+                weights = poisson_matrix(block.column(1).to_numpy(), words, rate)
+                at, rep = np.nonzero(weights)
+                columns = [block.column(0).take(pa.array(at)), pa.array(rep.astype(np.int32)), pa.array(weights[at, rep].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "rep", "weight"])
+
+    schema = T.StructType([df.select(key).schema[0], T.StructField("rep", T.IntegerType(), False), T.StructField("weight", T.IntegerType(), False)])
+    return units.mapInArrow(draws, schema)
 
 
 def _arm_masks(pdf: pd.DataFrame) -> np.ndarray:

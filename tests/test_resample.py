@@ -38,6 +38,18 @@ def test_block_bootstrap_equals_explicit_weights(scores, frame, monkeypatch):
         assert blocks[k][0] == rows[k][0] and blocks[k][1] == pytest.approx(rows[k][1])
 
 
+def test_weights_as_rows_hash_each_unit_once(frame):
+    """A filter pushed under the draw used to repeat the unit's hash hundreds of times per row; texts and NULL keys are units too."""
+    plan = resample.bootstrap_weights(frame, "unit_id", REPS, seed=9)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") <= 2
+    named = frame.select(F.concat(F.lit("k"), "unit_id").alias("unit_id")).unionByName(frame.limit(1).select(F.lit(None).cast("string").alias("unit_id")))
+    units = named.select("unit_id", hashing.stream_id("unit_id", 9, hashing.STREAM_BOOTSTRAP).alias("u")).collect()
+    draws = hashing.poisson_matrix(np.array([r.u for r in units]), hashing.replicate_words(REPS))
+    want = {(r.unit_id, rep, int(w)) for r, row in zip(units, draws) for rep, w in enumerate(row) if w}
+    got = [tuple(r) for r in resample.bootstrap_weights(named, "unit_id", REPS, seed=9).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_weighted_qini_equals_repeated_rows(spark, frame):
     weights = resample.bootstrap_weights(frame, "unit_id", 1, seed=4)
     scores = long_scores(frame, {"A": "tied"}, "unit_id", KEEP)
