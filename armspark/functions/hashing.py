@@ -22,6 +22,9 @@ MASK = 0xFFFFFFFF
 # Fixed value: multiplier of a widely used public-domain 32-bit integer mixer.
 MULTIPLIER = 0x45D9F3B
 
+# Draws below this weight are compared with every cut, the few others are looked up.
+COMMON = 4
+
 # Independent streams, so that one seed never reuses a number for two purposes.
 STREAM_SPLIT = 1
 STREAM_RANDOM_PICK = 2
@@ -37,11 +40,16 @@ def mix_column(h: Column) -> Column:
     return h.bitwiseXOR(F.shiftrightunsigned(h, 16))
 
 
-def mix_array(h: np.ndarray) -> np.ndarray:
+def mix_array(h: np.ndarray, inplace: bool = False) -> np.ndarray:
     """The same round on uint32 arrays (products wrap at 32 bits by themselves)."""
+    h = h if inplace else h.copy()
+    shifted = np.empty_like(h)
     for _ in range(2):
-        h = (h ^ (h >> np.uint32(16))) * np.uint32(MULTIPLIER)
-    return h ^ (h >> np.uint32(16))
+        np.right_shift(h, np.uint32(16), out=shifted)
+        np.bitwise_xor(h, shifted, out=h)
+        np.multiply(h, np.uint32(MULTIPLIER), out=h)
+    np.right_shift(h, np.uint32(16), out=shifted)
+    return np.bitwise_xor(h, shifted, out=h)
 
 
 def unit_prefix(seed: int, stream: int) -> str:
@@ -82,8 +90,12 @@ def draw_matrix(units: np.ndarray, words: np.ndarray, by_replicate: bool = False
     units = units.view(np.uint64)
     low, high = (units & np.uint64(MASK)).astype(np.uint32), (units >> np.uint64(32)).astype(np.uint32)
     if by_replicate:
-        return mix_array(mix_array(words[:, None] ^ low[None, :]) ^ high[None, :])
-    return mix_array(mix_array(low[:, None] ^ words[None, :]) ^ high[:, None])
+        low, high, words = low[None, :], high[None, :], words[:, None]
+    else:
+        low, high, words = low[:, None], high[:, None], words[None, :]
+    h = mix_array(low ^ words, inplace=True)
+    np.bitwise_xor(h, high, out=h)
+    return mix_array(h, inplace=True)
 
 
 def poisson_cuts(rate: float = 1.0) -> tuple[int, ...]:
@@ -108,10 +120,14 @@ def poisson_matrix(units: np.ndarray, words: np.ndarray, rate: float = 1.0, by_r
     """Weights of every pair of unit and replicate."""
     h = draw_matrix(units, words, by_replicate)
     weight = np.zeros(h.shape, dtype=np.int8)
-    for cut in poisson_cuts(rate):
-        if cut > MASK:  # certain: no number lies above it
-            break
-        weight += h >= np.uint32(cut)
+    cuts = [np.uint32(cut) for cut in poisson_cuts(rate) if cut <= MASK]  # no number lies above a larger one
+    above = np.empty(h.shape, dtype=bool)
+    for cut in cuts[:COMMON]:
+        np.greater_equal(h, cut, out=above)
+        np.add(weight, above.view(np.int8), out=weight)
+    if len(cuts) > COMMON:  # few draws reach the later cuts
+        places = np.flatnonzero(weight.ravel() == COMMON)
+        weight.ravel()[places] = np.searchsorted(np.array(cuts), h.ravel()[places], side="right")
     return weight
 
 

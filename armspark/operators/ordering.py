@@ -37,7 +37,8 @@ from ..spec import require_columns
 from .checks import counted_faults, require_binary, require_unit_keys
 
 ROWS_PER_BIN = 2_000_000
-MIN_BINS = 8
+# Enough cells of a model to keep the tasks even, and fine enough to set a score alone that a sixty-fourth of the rows share.
+MIN_BINS = 64
 # Cell tables up to this many rows are sent to every task.
 SENT_CELLS = 100_000
 

@@ -54,8 +54,10 @@ cloudpickle.register_pickle_by_value(hashing)
 # The Poisson total of a replicate lies this many standard deviations below n; it passes n with a chance below 1e-15.
 SPARE_DEVIATIONS = 8.0
 EXTRA = "__extra_draws"
-_BLOCK = 1024
-_AREA_BLOCK = 256
+# Rows of a block: its draws stay in the cache, and the sums of a block of areas fit into the lanes of one number.
+_BLOCK = 128
+_AREA_BLOCK = 128
+_LANE = 15
 _SUMS = ("n", "nt", "y", "yt")
 _SUM_SCHEMA = "m int, bin int, sub int, rep int, n bigint, nt bigint, y bigint, yt bigint"
 
@@ -132,6 +134,13 @@ def _height(n, nt, yt, yc):
     return np.subtract(yt, share, out=share)
 
 
+def _unpacked(pairs: np.ndarray, ahead: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """The four sums that share two numbers, each added to what lies ahead."""
+    low, high = np.int32((1 << _LANE) - 1), np.int32(_LANE)
+    found = [part for pair in pairs for part in (pair & low, pair >> high)]
+    return [part + before for part, before in zip(found, ahead)]
+
+
 def _cell_areas(n_replicates: int, rate: float = 1.0):
     words = replicate_words(n_replicates)
 
@@ -152,8 +161,9 @@ def _cell_areas(n_replicates: int, rate: float = 1.0):
                 batch = batch.iloc[1:]
             scores = batch["score"].to_numpy(np.float64)
             unit, extra = batch["u"].to_numpy(np.int64), batch.get("extra")
-            t, y = batch["t"].to_numpy(np.float64), batch["y"].to_numpy(np.float64)
-            masks = (None, t, t * y, (1 - t) * y)
+            t, y = batch["t"].to_numpy(np.int32), batch["y"].to_numpy(np.int32)
+            # What a unit adds to (n, nt) and to (yt, yc), two sums side by side in one number.
+            lanes = np.stack([1 + (t << _LANE), t * y + (((1 - t) * y) << _LANE)])[:, None, :].astype(np.int32)
             for start in range(0, len(batch), _AREA_BLOCK):
                 block = slice(start, start + _AREA_BLOCK)
                 s = scores[block]
@@ -161,25 +171,32 @@ def _cell_areas(n_replicates: int, rate: float = 1.0):
                 if (s > previous).any():
                     raise RuntimeError("rows of a cell must arrive by descending score")
                 weights = poisson_matrix(unit[block], words, rate, by_replicate=True)
-                weights = _add_extra(weights, None if extra is None else extra.iloc[block], True).astype(np.float64)
-                ahead = []  # column i: sums of everything ahead of row i
-                for j, mask in enumerate(masks):
-                    sums = np.empty((n_replicates, len(s) + 1))
-                    sums[:, 0] = cum[j]
-                    sums[:, 1:] = weights if mask is None else weights * mask[block]
-                    ahead.append(np.cumsum(sums, axis=1, out=sums))
-                cum = [c[:, -1].copy() for c in ahead]
+                if extra is not None:
+                    weights = _add_extra(weights.astype(np.int32), extra.iloc[block], True)
                 drawn = np.flatnonzero(s != previous)
                 score = s[-1]
+                # Runs of one score; a run that goes on from the block before adds to what is ahead of the first point here.
+                runs = drawn if len(drawn) and drawn[0] == 0 else np.append(0, drawn)
+                sums = weights.astype(np.int32) * lanes[:, :, block]
+                if len(runs) < len(s):
+                    sums = np.add.reduceat(sums, runs, axis=2)
+                if sums.shape[2] > 1:
+                    np.cumsum(sums, axis=2, out=sums)
+                last = _unpacked(sums[:, :, -1], cum)
                 if len(drawn) == 0:
+                    cum = last
                     continue
-                every = len(drawn) == len(s)  # no ties: the sums themselves, not a copy
-                points = [c[:, :-1] if every else c[:, drawn] for c in ahead]
-                xs = np.concatenate([x[:, None], points[0]], axis=1)
-                heights = np.concatenate([height[:, None], _height(*points)], axis=1)
-                width = xs[:, 1:] - xs[:, :-1]
-                area += np.einsum("ij,ij->i", width, heights[:, 1:] + heights[:, :-1]) / 2.0
-                x, height = xs[:, -1], heights[:, -1]
+                # Column i: sums of everything ahead of the i-th point.
+                xs, hs = np.empty((n_replicates, len(drawn) + 1)), np.empty((n_replicates, len(drawn) + 1))
+                xs[:, 0], hs[:, 0] = x, height
+                inner = _unpacked(sums[:, :, :-1], [c[:, None] for c in cum])
+                if len(runs) == len(drawn):  # a point ahead of the first row
+                    xs[:, 1], hs[:, 1] = cum[0], _height(*cum)
+                xs[:, xs.shape[1] - inner[0].shape[1] :] = inner[0]
+                hs[:, xs.shape[1] - inner[0].shape[1] :] = _height(*inner)
+                width, both = xs[:, 1:] - xs[:, :-1], hs[:, 1:] + hs[:, :-1]
+                area += np.einsum("ij,ij->i", width, both) / 2.0
+                x, height, cum = xs[:, -1].copy(), hs[:, -1].copy(), last
         area += (cum[0] - x) * (height + _height(*cum)) / 2.0
         yield pd.DataFrame({"m": m, "rep": np.arange(n_replicates), "area": area})
 
@@ -189,7 +206,7 @@ def _cell_areas(n_replicates: int, rate: float = 1.0):
 def _tasks(scores: Scores) -> int:
     """Several tasks per core even out the cells; more only while there are cells to fill them."""
     parallelism = scores.rows.sparkSession.sparkContext.defaultParallelism
-    by_size = scores.n * len(scores.models) // 500_000
+    by_size = scores.n * len(scores.models) // 100_000
     return int(max(parallelism, min(scores.max_cells, max(3 * parallelism, by_size))))
 
 

@@ -50,6 +50,25 @@ def test_weights_as_rows_hash_each_unit_once(frame):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_resample_work_is_dealt_in_small_cells(spark):
+    """Eight cells of a model left most cores idle, and a score that a fortieth of the rows share was walked row by row."""
+    few = spark.range(8000).select(
+        F.col("id").alias("unit_id"), (F.col("id") % 40 / 40.0).alias("few"), (F.col("id") / 8000.0).alias("smooth"),
+        (F.col("id") % 2).alias("treatment"), (F.col("id") % 3 % 2).alias("visit"),
+    )
+    cells = long_scores(few, {"few": "few", "smooth": "smooth"}, "unit_id", KEEP).rows.groupBy("m", "bin", "sub").count()
+    assert cells.agg(F.max("count")).first()[0] <= 8000 / 16
+
+
+@pytest.mark.parametrize("rate", [1.0, 0.97, 0.2])
+def test_poisson_matrix_is_the_inverse_of_the_cumulative_probabilities(rate):
+    units, words = np.arange(3000, dtype=np.int64) << 20, hashing.replicate_words(40)
+    for by_replicate in (False, True):
+        h = hashing.draw_matrix(units, words, by_replicate)
+        want = sum((h.astype(np.int64) >= cut).astype(int) for cut in hashing.poisson_cuts(rate))
+        assert (hashing.poisson_matrix(units, words, rate, by_replicate) == want).all() and (rate < 1 or want.max() > hashing.COMMON)
+
+
 def test_weighted_qini_equals_repeated_rows(spark, frame):
     weights = resample.bootstrap_weights(frame, "unit_id", 1, seed=4)
     scores = long_scores(frame, {"A": "tied"}, "unit_id", KEEP)
