@@ -37,6 +37,7 @@ THRESHOLD = 0.7
 SHINGLE, QUESTION_OVERLAP, ANSWER_OVERLAP = 3, 0.5, 0.5
 BLOCK, TIERS = 64, 6
 SHARD_WORDS = 1_000_000
+_PASSAGES = 512  # of a text at a time
 _SIGNS = string.punctuation + "«»…“”‘’„–—¿¡·•"
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 
@@ -58,12 +59,15 @@ class TermIds(dict):
         self.terms, self.other = terms, len(terms)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        plain = bare(word)
+        plain = word.strip(_SIGNS)
         self[word] = number = self.terms.get(plain, self.other) if plain else -1
         return number
 
+    def of(self, words: list[str] | set[str]) -> list[int]:
+        if len(self) > 200_000:
+            self.clear()
+        return list(map(self.__getitem__, words))
+
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     """An item's last sentence or line is its answer; an item of one sentence has a question only."""
@@ -97,6 +101,7 @@ class BlockMaxIndex:
             self.ends[term] = [at[min(i + BLOCK, len(at)) - 1] for i in range(0, len(at), BLOCK)]
             self.block_max[term] = [max(values[i : i + BLOCK]) for i in range(0, len(at), BLOCK)]
             self.bound[term] = max(values)
+        self._bound = self.bound.tolist()
 
     def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """All (segment place, score) at or above the threshold, by block-max WAND."""
@@ -107,7 +112,7 @@ class BlockMaxIndex:
             cursor.sort()
             reach, pivot = 0.0, -1
             for i, (_, t, _) in enumerate(cursor):
-                reach += self.bound[t]
+                reach += self._bound[t]
                 if reach >= slack:
                     pivot = i
                     break
@@ -167,7 +172,8 @@ class Shard:
             BlockMaxIndex({s: {t: v / own[s] for t, v in segments[s].items()} for s in order[i : i + size]}, len(self.terms))
             for i in range(0, len(order), size)
         ]
-        self.bounds = np.stack([tier.bound for tier in self.tiers])
+        # A row per term, so that the bounds of a word in all tiers lie together.
+        self.bounds = np.stack([tier.bound for tier in self.tiers], axis=1)
         self.checks = {}
         for key, text in texts.items():
             question, answer = question_and_answer(text)
@@ -177,23 +183,25 @@ class Shard:
     def leaks(self, text: str, codes: TermIds, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float, int]]:
         """(item key, score, question share, answer share, word position) of every item leaked into ``text``."""
         words = text.lower().split()
-        ids = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+        ids = np.array(codes.of(words), np.int64)
         at = np.flatnonzero(ids >= 0)
-        ids = ids[at]
+        if len(at) < len(ids):
+            ids = ids[at]
         if not len(ids):
             return []
-        running = np.zeros((len(self.tiers), len(ids) + 1))
-        np.cumsum(self.bounds[:, ids], axis=1, out=running[:, 1:])
-        starts = np.arange(0, max(1, len(ids) - PASSAGE + STRIDE), STRIDE)
-        reach = running[:, np.minimum(starts + PASSAGE, len(ids))] - running[:, starts]
         slack = threshold - 1e-9
         spots: dict[int, list] = {}
-        for place in np.flatnonzero((reach >= slack).any(axis=0)).tolist():
-            start = int(starts[place])
-            found = np.unique(ids[start : start + PASSAGE])
-            reached = self.bounds[:, found].sum(axis=1)  # each word once, as it is scored
-            for tier in np.flatnonzero(reached >= slack).tolist():
-                for segment, score in self.tiers[tier].search(found.tolist(), threshold):
+        passages = max(1, ceil((len(ids) - PASSAGE + STRIDE) / STRIDE))
+        padded = np.append(ids, np.full((passages - 1) * STRIDE + PASSAGE - len(ids), codes.other))
+        windows = np.lib.stride_tricks.sliding_window_view(padded, PASSAGE)[::STRIDE]
+        for first in range(0, passages, _PASSAGES):
+            found = np.sort(windows[first : first + _PASSAGES], axis=1)
+            # Each word once, as it is scored; the number of words outside the index is the largest and lifts nothing.
+            found[:, :-1][found[:, :-1] == found[:, 1:]] = codes.other
+            reached = self.bounds[found].sum(axis=1) >= slack
+            for place, tier in zip(*(x.tolist() for x in np.nonzero(reached))):
+                terms, start = sorted(set(found[place].tolist())), (first + place) * STRIDE
+                for segment, score in self.tiers[tier].search(terms, threshold):
                     spots.setdefault(self.tiers[tier].segments[segment][0], []).append((start, score))
         out = []
         for key, hits in sorted(spots.items()):
@@ -221,9 +229,10 @@ def _term_counts(docs: DataFrame, terms: list[str]) -> dict[str, int]:
         seen = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                words = text.as_py().lower().split()
-                ids = np.unique(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
-                seen[ids[ids >= 0]] += 1
+                # Each written word once, then each term once: a text repeats most of its words.
+                held = set(codes.of(set(text.as_py().lower().split())))
+                held.discard(-1)
+                seen[list(held)] += 1
         found = np.flatnonzero(seen[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(seen[found])], names=["term", "df"])
 

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from armspark.llm import chat, decontaminate, html_extract, lattice, lattice_lm, mixing, near_copies, quality, secrets, simhash, surrogates, topk
@@ -147,6 +148,19 @@ def test_leaks(spark, none):
     assert decontaminate.drop_leaking(docs, items.limit(0)).count() == len(rows)
 
 
+def test_leaks_do_not_depend_on_the_passages_bounded_at_a_time(monkeypatch):
+    """A long text is bounded block by block; a term is looked up once per written word of a text."""
+    words = [f"w{i}" for i in range(30)]
+    rows = [Row(key=1, n=0, term=w, tf=1, length=30) for w in words]
+    shard = decontaminate.Shard(rows, {}, 10, 30.0, {1: " ".join(words)})
+    text = " ".join(["other"] * 1000 + words + ["other"] * 500 + words)
+    found = shard.leaks(text, decontaminate.TermIds(shard.terms))
+    monkeypatch.setattr(decontaminate, "_PASSAGES", 3)
+    codes = decontaminate.TermIds(shard.terms)
+    assert [f[0] for f in found] == [1] and shard.leaks(text, codes) == found
+    assert sorted(codes.of(set(text.split()))) == list(range(31)) and codes.of(["w1,", "..."]) == [codes["w1"], -1]
+
+
 # --- top-k --------------------------------------------------------------------------------------
 
 
