@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from armspark.plans.oracles import oracle_queries
@@ -87,3 +88,14 @@ def test_scans_are_pruned(spark):
     assert "l_shipdate" not in plan and "o_orderpriority" not in plan and "c_name" not in plan
     plan = QUERIES["class_weight"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<visit:int>" in plan
+
+
+def test_dialect_files_do_not_grow_with_the_table(spark, monkeypatch):
+    """Files that one task reads whole: their number grows, not their size; the records stay the same."""
+    folder = "/root/testdata/sf0.001"
+    few = sorted(map(str, registry.QUERIES["csv_dialect"](spark, folder).collect()))
+    monkeypatch.setattr(registry, "ROWS_PER_FILE", 100)
+    path = registry._written_dialect(spark, folder)
+    sizes = spark.read.text(path).where(~F.startswith("value", F.lit("unit_id"))).groupBy(F.col("_metadata.file_path")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 250
+    assert sorted(map(str, registry.QUERIES["csv_dialect"](spark, folder).collect())) == few
