@@ -1,4 +1,4 @@
-"""Response and effect learners: boosted trees on Spark ML, and cell means."""
+"""Response and effect learners: boosted trees, and cell means."""
 
 from __future__ import annotations
 
@@ -8,20 +8,19 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
     centred_score,
-    class_weight,
     positive_probability,
     ratio,
     revert_label,
 )
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import materialize
 from ..spec import ExperimentSpec, require_columns
 from .encoding import EncodedTable, encode_once, feature_stages
+from .histogram_trees import boosted_trees
 
 # Rounds of boosting used when the caller names none.
 DEFAULT_ROUNDS = 200
@@ -53,24 +52,6 @@ def positive_weight(df: DataFrame, label: str) -> float:
     return row["positive_weight"]
 
 
-def _boosted(
-    label: str, rounds: int, seed: int, depth: int, max_bins: int, weight: str | None = None
-) -> GBTClassifier:
-    learner = GBTClassifier(
-        labelCol=label,
-        featuresCol="features",
-        maxIter=rounds,
-        maxDepth=depth,
-        seed=seed,
-        maxBins=max_bins,
-        # Every few rounds the residual table is checkpointed, or its lineage would grow per round.
-        checkpointInterval=10,
-    )
-    if weight:
-        learner = learner.setWeightCol(weight)
-    return learner
-
-
 def train_response_model(
     train: DataFrame | EncodedTable,
     spec: ExperimentSpec,
@@ -83,23 +64,19 @@ def train_response_model(
 ) -> PipelineModel:
     """Boosted trees for P(target), positives weighted up to balance; the arm is not a feature.
 
-    ``train`` should be a stored table: fitting scans it once per tree level and round. An encoded table brings its encoder along, which
-    becomes part of the model; otherwise the model learns one of its own.
+    Fitting reads ``train`` a few times and keeps its bins cached. An encoded table brings its encoder along, which becomes part of the
+    model; otherwise the model learns one of its own.
     """
     encoded = isinstance(train, EncodedTable)
     rows, inputs = (train.rows, ("features",)) if encoded else (train, spec.features)
     require_columns(rows, (target, *inputs))
     spec.check_leakage()
-    ensure_checkpoint_dir(rows.sparkSession)
     data = rows.select(*inputs, F.col(target).cast("double").alias("__label"))
-    weight = None
-    if weighted:
-        value = positive_weight(data, "__label")
-        data, weight = data.withColumn("__weight", class_weight("__label", value)), "__weight"
-    learner = _boosted("__label", rounds, seed, depth, max_bins, weight)
-    if encoded:
-        return PipelineModel(stages=[*train.encoder.stages, learner.fit(data)])
-    return Pipeline(stages=[*feature_stages(spec), learner]).fit(data)
+    weight = positive_weight(data, "__label") if weighted else None
+    encoder = train.encoder if encoded else Pipeline(stages=feature_stages(spec)).fit(data)
+    vectors = (data if encoded else encoder.transform(data)).select("features", "__label")
+    learner = boosted_trees(vectors, "__label", "logistic", rounds, depth, max_bins, seed, weight)
+    return PipelineModel(stages=[*encoder.stages, learner])
 
 
 def predict_probability(model: PipelineModel, df: DataFrame, output: str) -> DataFrame:

@@ -1,9 +1,14 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from armspark.operators import effects, encoding, learners
+from armspark.functions.columns import positive_probability
+from armspark.operators import effects, encoding, histogram_trees, learners
+from armspark.operators.histogram_trees import boosted_trees
 from armspark.session import materialize
 from armspark.sources import sinks
 from armspark.spec import ExperimentSpec
@@ -177,3 +182,60 @@ def test_forest(spark, planted, tmp_path):
         assert first[r.unit_id] == pytest.approx(want)
     with pytest.raises(ValueError, match="honest groups"):
         effects.train_effect_forest(train, SPEC, "visit", honest_groups=0, **sizes)
+
+
+@pytest.mark.parametrize("positive", [None, 3.0])
+def test_boosted_trees_score_as_spark_ml_does(spark, positive):
+    """Same split points, gains and steps on a table small enough that neither samples; later rounds, flags and ties included."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=3000), rng.integers(0, 9, 3000), rng.integers(0, 2, (3000, 10)), np.ones(3000)])
+    y = (rng.random(3000) < 0.2 + 0.3 * (x[:, 0] > 0.3) + 0.2 * x[:, 4]).astype(float)
+    pdf = pd.DataFrame(x, columns=[f"x{i}" for i in range(x.shape[1])]).assign(y=y, w=np.where(y > 0, positive or 1.0, 1.0))
+    vectors = VectorAssembler(inputCols=[f"x{i}" for i in range(x.shape[1])], outputCol="features").transform(spark.createDataFrame(pdf))
+    vectors = materialize(vectors.select("features", "y", "w").repartition(3), "vectors")
+    own = boosted_trees(vectors, "y", "logistic", 6, 4, 40, 7, positive).transform(vectors)
+    other = GBTClassifier(labelCol="y", weightCol="w", maxIter=6, maxDepth=4, maxBins=40, seed=7).fit(vectors)
+    both = other.setProbabilityCol("p").setPredictionCol("c").setRawPredictionCol("r").transform(own)
+    got = both.select(positive_probability("probability").alias("a"), positive_probability("p").alias("b")).toPandas()
+    assert np.allclose(got.a, got.b, atol=1e-9) and got.a.nunique() > 50
+    squares = boosted_trees(vectors, "y", "squared", 4, 3, 40, 7, output="own").transform(vectors)
+    fitted = GBTRegressor(labelCol="y", maxIter=4, maxDepth=3, maxBins=40, seed=7).fit(vectors)
+    got = fitted.transform(squares).select("own", "prediction").toPandas()
+    assert np.allclose(got.own, got.prediction, atol=1e-9)
+
+
+def test_levels_move_sums_not_rows(spark, monkeypatch):
+    """What a level sends to the driver does not grow with the rows, and scores do not depend on how rows are dealt."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"a": rng.normal(size=2000), "b": rng.normal(size=2000), "u": np.arange(2000)})
+    pdf["y"] = (rng.random(2000) < 0.3 + 0.4 * (pdf.a > 0)).astype(float)
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(pdf))
+    df = materialize(df.select("features", "y", "u"), "dealt")
+    sizes = []
+    add = histogram_trees.Growth._sums
+    monkeypatch.setattr(histogram_trees.Growth, "_sums", lambda *a: sizes.append((len(a[3]), add(*a))) or sizes[-1][1])
+    fits = []
+    for parts, checkpoint in ((1, 20), (7, 2)):
+        monkeypatch.setattr(histogram_trees, "CHECKPOINT", checkpoint)
+        fits.append(boosted_trees(df.repartition(parts, "u"), "y", "logistic", 5, 3, 32, 1))
+    assert fits[0].getOrDefault("trees_") == fits[1].getOrDefault("trees_")
+    assert all(sums.shape == (2, nodes, 2, 256) and nodes <= 4 for nodes, sums in sizes)
+    with pytest.raises(ValueError, match="labels in y"):
+        boosted_trees(df.withColumn("y", F.col("y") * 2), "y", "logistic", 1, 1, 32, 1)
+    with pytest.raises(ValueError, match="no training rows"):
+        boosted_trees(df.where("false"), "y", "logistic", 1, 1, 32, 1)
+
+
+def test_forest_does_not_depend_on_how_rows_are_dealt(spark):
+    """Resamples belong to units and sums are exact, so the trees agree however the rows are dealt."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"u": np.arange(1500), "a": rng.normal(size=1500), "b": rng.normal(size=1500), "w": rng.random(1500) + 0.1})
+    pdf["y"] = (pdf.a > 0) + rng.normal(size=1500)
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(pdf))
+    df = materialize(df.select("u", "features", "w", "y"), "forest-rows")
+    sizes = (F.xxhash64("u"), F.col("w"), F.col("y"), 5, 3, 32, 4, "onethird")
+    one, other = (histogram_trees.grown_forest(df.repartition(n, "u"), *sizes) for n in (1, 6))
+    assert one.getOrDefault("trees_") == other.getOrDefault("trees_")
+    assert len({tuple(tree.value) for tree in one.trees}) == 5
+    first = one.trees[0]
+    assert first.numNodes == 2 * len(set(first.leaf_numbers())) - 1
