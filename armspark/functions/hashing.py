@@ -32,6 +32,7 @@ STREAM_BOOTSTRAP = 3
 STREAM_FOLD = 4
 STREAM_HONEST = 5
 STREAM_DRAW = 6
+STREAM_RESAMPLE = 7
 
 
 def mix_column(h: Column) -> Column:

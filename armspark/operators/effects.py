@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import positive_probability, ratio
-from ..functions.hashing import STREAM_FOLD, STREAM_HONEST, unit_hash
-from ..session import ensure_checkpoint_dir, materialize
+from ..functions.hashing import STREAM_FOLD, STREAM_HONEST, STREAM_RESAMPLE, unit_hash, wide_hash
+from ..session import materialize
 from ..spec import ExperimentSpec, require_columns
 from .encoding import EncodedTable, encode_once
+from .histogram_trees import HistogramTrees, boosted_trees, by_feature, grown_forest, reached
 from .learners import MAX_BINS, fit_together
 
 # Assignment probabilities are kept this far off 0 and 1, so that no treatment residual vanishes.
@@ -130,7 +131,6 @@ def cross_fit_residuals(
         train = encode_once(train, spec, [spec.key, spec.treatment, target])
     require_columns(train.rows, (spec.key, spec.treatment, target, "features"))
     session = train.rows.sparkSession
-    ensure_checkpoint_dir(session)
     encoded = with_fold(train.rows, spec, folds, seed).select(
         spec.key,
         "fold",
@@ -138,14 +138,12 @@ def cross_fit_residuals(
         F.col(spec.treatment).cast("double").alias("t"),
         F.col(target).cast("double").alias("y"),
     )
-    learner = {"maxIter": rounds, "maxDepth": depth, "seed": seed, "maxBins": max_bins, "checkpointInterval": 10}
     fits = []
     for k in range(folds):
         others = encoded.where(F.col("fold") != k)
-        outcome = GBTRegressor(labelCol="y", predictionCol="y_hat", **learner)
-        arm = GBTClassifier(labelCol="t", predictionCol="t_class", **learner)
-        arm = arm.setProbabilityCol("t_prob")
-        fits += [lambda m=outcome, d=others: m.fit(d), lambda m=arm, d=others: m.fit(d)]
+        sizes = (rounds, depth, max_bins, seed)
+        fits.append(lambda d=others: boosted_trees(d, "y", "squared", *sizes, output="y_hat"))
+        fits.append(lambda d=others: boosted_trees(d, "t", "logistic", *sizes, output="t_prob"))
     models = fit_together(session, fits)
     parts = []
     for k in range(folds):
@@ -165,14 +163,17 @@ def cross_fit_residuals(
     return materialize(residuals, "residuals"), train.encoder
 
 
-def leaf_offsets(forests: Sequence[RandomForestRegressionModel]) -> np.ndarray:
+def leaf_offsets(forests: Sequence[HistogramTrees]) -> np.ndarray:
     """Where the leaves of each tree start in one numbering of all leaves, and their total at the end."""
     leaves = [(tree.numNodes + 1) // 2 for forest in forests for tree in forest.trees]
     return np.concatenate([[0], np.cumsum(leaves)]).astype(np.int64)
 
 
-def _leaves(forest: RandomForestRegressionModel, df: DataFrame, output: str) -> DataFrame:
-    return forest.transform(df).select(*df.columns, vector_to_array(F.col("leaf")).alias(output))
+def _located(forests: Sequence[HistogramTrees]) -> list[tuple]:
+    """Per tree feature, threshold, depth, and the leaf number of every bottom place."""
+    starts = leaf_offsets(forests)
+    trees = [tree for forest in forests for tree in forest.trees]
+    return [(t.feature, t.threshold, t.depth, s + t.leaf_numbers()) for t, s in zip(trees, starts)]
 
 
 @dataclass(frozen=True)
@@ -181,37 +182,33 @@ class EffectForest:
 
     spec: ExperimentSpec
     encoder: PipelineModel
-    forests: tuple[RandomForestRegressionModel, ...]
+    forests: tuple[HistogramTrees, ...]
     leaves: DataFrame
     population_effect: float
 
     def score(self, df: DataFrame, output: str) -> DataFrame:
         """Effect per row: honest means of the row's leaves, added over the trees, then divided.
 
-        The leaf table has a row per leaf of the trees, which Spark itself keeps on the driver and sends to
-        every task to walk them; it goes the same way, so no row is multiplied by the number of trees
+        The leaf table has a row per leaf of the trees; it goes to every task with them, so no row is multiplied by the number of trees
         and none is joined. A leaf without honest rows adds nothing; without any the population effect stands.
         """
-        starts = leaf_offsets(self.forests)
-        means = np.zeros((2, int(starts[-1])))
+        means = np.zeros((2, int(leaf_offsets(self.forests)[-1])))
         for row in self.leaves.collect():
             means[:, row["slot"]] = row["cross"], row["square"]
-        shared = df.sparkSession.sparkContext.broadcast((starts[:-1], means, self.population_effect))
-
-        @F.pandas_udf("double")
-        def effect(leaves: pd.Series) -> pd.Series:
-            if leaves.empty:
-                return pd.Series([], dtype="float64")
-            first, values, otherwise = shared.value
-            at = np.stack(leaves.to_numpy()).astype(np.int64) + first
-            cross, square = values[0][at].sum(axis=1), values[1][at].sum(axis=1)
-            return pd.Series(np.where(square > 0, cross / np.where(square > 0, square, 1.0), otherwise))
-
-        located = self.encoder.transform(df).select(*df.columns, "features")
-        for i, forest in enumerate(self.forests):
-            located = _leaves(forest, located, f"__leaf{i}")
-        every = F.concat(*[F.col(f"__leaf{i}") for i in range(len(self.forests))])
-        return located.select(*df.columns, effect(every).alias(output))
+        shared = df.sparkSession.sparkContext.broadcast((_located(self.forests), means, self.population_effect))
+
+        @F.arrow_udf("double")
+        def effect(features: pa.Array) -> pa.Array:
+            trees, means, otherwise = shared.value
+            total = np.zeros((2, len(features)))
+            if len(features):
+                x = by_feature(features)
+                for feature, threshold, depth, leaf in trees:
+                    total += means[:, leaf[reached(x, feature, threshold, depth)]]
+            cross, square = total
+            return pa.array(np.where(square > 0, cross / np.where(square > 0, square, 1.0), otherwise))
+
+        return self.encoder.transform(df).select(*df.columns, effect(vector_to_array("features")).alias(output))
 
     def save(self, path: str) -> None:
         self.encoder.write().overwrite().save(f"{path}/encoder")
@@ -228,12 +225,34 @@ class EffectForest:
         return EffectForest(
             spec,
             PipelineModel.load(f"{path}/encoder"),
-            tuple(RandomForestRegressionModel.load(f"{path}/forest-{i}") for i in range(facts["groups"])),
+            tuple(HistogramTrees.load(f"{path}/forest-{i}") for i in range(facts["groups"])),
             stored.drop("population_effect", "groups"),
             facts["population_effect"],
         )
 
 
+def _leaf_sums(trees: list[tuple]):
+    """Rows, cross and square sums per leaf of ``trees``, added up in each task over its (features, cross, square)."""
+
+    def run(batches):
+        low, high = int(trees[0][3][0]), int(trees[-1][3][-1]) + 1
+        sums = np.zeros((3, high - low))
+        for batch in batches:
+            if batch.num_rows:
+                x = by_feature(batch.column(0))
+                cross, square = (batch.column(i).to_numpy() for i in (1, 2))
+                for feature, threshold, depth, leaf in trees:
+                    first, last = int(leaf[0]), int(leaf[-1]) + 1
+                    at = leaf[reached(x, feature, threshold, depth)] - first
+                    for row, weight in zip(sums, (None, cross, square)):
+                        row[first - low : last - low] += np.bincount(at, weight, last - first)
+        hit = np.flatnonzero(sums[0])
+        columns = [pa.array(hit + low), pa.array(sums[0][hit].astype(np.int64)), pa.array(sums[1][hit]), pa.array(sums[2][hit])]
+        yield pa.RecordBatch.from_arrays(columns, names=["slot", "n", "cross", "square"])
+
+    return run
+
+
 def train_effect_forest(
     train: DataFrame | EncodedTable,
     spec: ExperimentSpec,
@@ -265,36 +284,33 @@ def train_effect_forest(
         raise ValueError("treatment does not vary: no effect to estimate")
     fills = [F.shiftrightunsigned(unit_hash(spec.key, seed, STREAM_HONEST), g) % 2 == 1 for g in range(groups)]
 
-    def fit(g: int) -> RandomForestRegressionModel:
-        grow = residuals.where(~fills[g]).select(
-            "features",
-            (F.col("yr") / F.col("tr")).alias("__target"),
-            (F.col("tr") * F.col("tr")).alias("__weight"),
+    yr, tr = F.col("yr"), F.col("tr")
+
+    def fit(g: int) -> HistogramTrees:
+        return grown_forest(
+            residuals.where(~fills[g]),
+            wide_hash(spec.key, seed, STREAM_RESAMPLE),
+            tr * tr,
+            yr / tr,
+            trees // groups + (g < trees % groups),
+            depth,
+            max_bins,
+            seed + g,
+            feature_share,
         )
-        return RandomForestRegressor(
-            labelCol="__target",
-            weightCol="__weight",
-            leafCol="leaf",
-            numTrees=trees // groups + (g < trees % groups),
-            maxDepth=depth,
-            maxBins=max_bins,
-            seed=seed + g,
-            featureSubsetStrategy=feature_share,
-        ).fit(grow)
 
     forests = tuple(fit_together(residuals.sparkSession, [lambda g=g: fit(g) for g in range(groups)]))
-    starts = leaf_offsets(forests)
-    parts, tree = [], 0
+    located, tree, sums = _located(forests), 0, None
     for g, forest in enumerate(forests):
-        first = F.array(*[F.lit(int(s)) for s in starts[tree : tree + forest.getNumTrees]])
-        tree += forest.getNumTrees
-        slots = F.zip_with("__leaf", first, lambda leaf, start: leaf.cast("bigint") + start)
-        located = _leaves(forest, residuals.where(fills[g]).select("features", "yr", "tr"), "__leaf")
-        parts.append(located.select("yr", "tr", F.explode(slots).alias("slot")))
-    located = parts[0]
-    for part in parts[1:]:
-        located = located.unionByName(part)
-    yr, tr = F.col("yr"), F.col("tr")
+        mine = located[tree : tree + len(forest.trees)]
+        tree += len(mine)
+        rows = residuals.where(fills[g]).select(vector_to_array("features").alias("features"), (yr * tr).alias("cross"), (tr * tr).alias("square"))
+        part = rows.mapInArrow(_leaf_sums(mine), "slot long, n long, cross double, square double")
+        sums = part if sums is None else sums.unionByName(part)
     # Each tree counts the same in a leaf of any size: averages, not totals.
-    leaves = located.groupBy("slot").agg(F.avg(yr * tr).alias("cross"), F.avg(tr * tr).alias("square"))
+    leaves = sums.groupBy("slot").agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in ("cross", "square")])
     return EffectForest(spec, encoder, forests, materialize(leaves, "leaves"), overall)
+
+
+# The functions of tasks travel with the tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
