@@ -6,10 +6,12 @@ for bits that were close calls: each text is filed under the four values that it
 bucket, the next four and eight segments must stay within their proportional budgets of the radius, and the numbers of shingles within
 the similarity. The full Hamming distance and then the exact similarity of the shingle sets decide.
 
-A group of thousands of texts gives trees first, not pairs: per bucket a forest of links at each of three budgets, so that texts are
+A group of texts gives trees first, not pairs: per bucket one forest, grown over three budgets, so that texts are
 joined by the closest links there are. Where the exact check rejects a link of a tree, the components it would have joined meet again in
 rounds: each row lists its closest rows of other components, eight times as many from round to round, until no list is cut. Then every
-pair within budgets is in one component or verified. Components that are really apart cost all their pairs within budgets. A bucket of
+pair within budgets is in one component, verified, or ruled out. In these rounds rows carry their whole print and the counts of their shingles in 128 parts
+of the hash space: the shingles that two texts share are at most the smaller counts added up, so a pair that this or the radius rules out
+never leaves the bucket, and components that are really apart cost comparisons there but hardly a row. A bucket of
 more than ``hot`` rows is cut into parts that meet pairwise in tasks of their own: memory is bounded and no meeting is left out.
 
 The 64-bit components of :mod:`simhash` are buckets too: in them the pairs of at most 3 bits are candidates, and verified like the others.
@@ -40,6 +42,7 @@ RADIUS = 75
 HOT, SMALL, COUNTED = 8192, 32, 16
 LEVELS = (0.3, 0.6, 1.0)  # shares of the budgets, closest links first
 LISTED, MORE = 16, 8  # rows of other components that a row lists in the second round, and times as many in each later one
+PARTS = 128  # of the hash space, in which shingles are counted
 _BLOCK, _ROWS, _HASHES, _NODES = 255, 256, 200_000, 2048
 _LANES = np.uint64(0x0101010101010101)
 _WINDOW = (np.arange(STARTS)[:, None] * STEP * 8 + np.arange(CHAIN * 8)) % (RING * 8)
@@ -178,24 +181,83 @@ def meets(x: np.ndarray, short: np.ndarray | bool, share: float = 1.0) -> np.nda
     return np.where(short, np.bitwise_count(x) <= int(share * FEW), within_budgets(x, share))
 
 
-def forest(n: np.ndarray, ahead: np.ndarray, share: float, short: bool = False) -> tuple[list, list]:
-    """Trees of links within ``share`` of the budgets that join whatever such links join. A row meets only rows not yet in a tree."""
+def forest(n: np.ndarray, ahead: np.ndarray, short: bool = False, levels: tuple = LEVELS) -> tuple[list, list]:
+    """Fewer links than rows, within budgets, that join whatever links within each share of the budgets join: the closest first.
+
+    A tree of one level goes on to the next as a whole. A row meets only rows not yet in its tree.
+    """
     a, b = [], []
-    left = np.arange(len(n))
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            low, high = np.minimum(n[left], n[i]), np.maximum(n[left], n[i])
-            hit = meets(ahead[left] ^ ahead[i], short, share) & (low >= SIMILARITY * high)
-            found, left = left[hit], left[~hit]
-            a += [i] * len(found)
-            b += found.tolist()
-            queue += found.tolist()
+    tree = np.arange(len(n))
+    for share in levels:
+        order = np.argsort(tree, kind="stable")
+        starts = np.searchsorted(tree[order], np.arange(len(n) + 1))
+        left = np.arange(len(n))
+        while len(left):
+            first = tree[left[0]]
+            queue = order[starts[first] : starts[first + 1]].tolist()
+            mine, left = queue.copy(), left[tree[left] != first]
+            while queue and len(left):
+                i = queue.pop()
+                low, high = np.minimum(n[left], n[i]), np.maximum(n[left], n[i])
+                found = left[meets(ahead[left] ^ ahead[i], short, share) & (low >= SIMILARITY * high)]
+                if not len(found):
+                    continue
+                joined, at = np.unique(tree[found], return_index=True)
+                a += [int(i)] * len(at)
+                b += found[at].tolist()
+                gone = np.isin(tree[left], joined)
+                queue += left[gone].tolist()
+                mine += left[gone].tolist()
+                left = left[~gone]
+            tree[mine] = first
     return a, b
 
 
-def closest(n: np.ndarray, ahead: np.ndarray, root: np.ndarray, most: int, short: bool = False) -> tuple[list, list, list]:
+def spanning(bucket: np.ndarray, level: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs (a, b) of each bucket join what all its pairs join, lowest level and earliest rows first; and which buckets give up pairs."""
+    order = np.lexsort((b, a, level, bucket))
+    _, at, times = np.unique(bucket, return_inverse=True, return_counts=True)
+    keep, cut = np.ones(len(a), bool), np.zeros(len(times), bool)
+    order = order[times[at[order]] > 2]  # two pairs close no circle
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    for k, g, i, j in zip(order.tolist(), at[order].tolist(), a[order].tolist(), b[order].tolist()):
+        i, j = top(i), top(j)
+        if i == j:
+            keep[k], cut[g] = False, True
+        else:
+            above[max(i, j)] = min(i, j)
+    return keep, cut[at]
+
+
+def most_alike(n: np.ndarray, parts: np.ndarray, i, other) -> np.ndarray:
+    """Whether the shingles in common can be enough: in each part of the hash space at most the smaller count is."""
+    shared = np.minimum(parts[i], parts[other]).sum(axis=-1, dtype=np.int64)
+    # A count of 65535 may stand for more, which only texts of more shingles than that can have.
+    return (shared >= SIMILARITY * (n[i] + n[other] - shared)) | (np.minimum(n[i], n[other]) >= 65535)
+
+
+def ruled_in(n: np.ndarray, whole: tuple | None, short: np.ndarray | bool, i, other) -> np.ndarray:
+    """Pairs that neither the radius nor the counts rule out; all, without ``whole``: prints and counts."""
+    if whole is None or not np.size(other):
+        return np.ones(np.shape(other), bool)
+    prints, parts = whole
+    near = np.bitwise_count(prints[i] ^ prints[other]).sum(axis=-1, dtype=np.int64) <= RADIUS
+    ok = np.flatnonzero(near | short)
+    pick = i[ok] if np.ndim(i) else i
+    ok = ok[most_alike(n, parts, pick, other[ok])]
+    out = np.zeros(len(other), bool)
+    out[ok] = True
+    return out
+
+
+def closest(n: np.ndarray, ahead: np.ndarray, root: np.ndarray, most: int, short: bool = False, whole: tuple | None = None) -> tuple[list, list, list]:
     """Per row up to ``most`` later rows of other roots within budgets, the closest; and whether its list was cut. ``n`` ascends."""
     a, b, cut = [], [], []
     if (root == root[0]).all():
@@ -204,6 +266,7 @@ def closest(n: np.ndarray, ahead: np.ndarray, root: np.ndarray, most: int, short
     for i, end in enumerate(ends):
         x = ahead[i + 1 : end] ^ ahead[i]
         hit = np.flatnonzero(meets(x, short) & (root[i + 1 : end] != root[i]))
+        hit = hit[ruled_in(n, whole, short, i, hit + i + 1)]
         over = len(hit) > most
         if over:
             hit = hit[np.argsort(np.bitwise_count(x[hit]), kind="stable")[:most]]
@@ -213,11 +276,11 @@ def closest(n: np.ndarray, ahead: np.ndarray, root: np.ndarray, most: int, short
     return a, b, cut
 
 
-def bucket_pairs(group: np.ndarray, n: np.ndarray, node: np.ndarray, ahead: np.ndarray, root: np.ndarray, most: int = 0) -> tuple:
+def bucket_pairs(group: np.ndarray, n: np.ndarray, node: np.ndarray, ahead: np.ndarray, root: np.ndarray, most: int = 0, whole: tuple | None = None) -> tuple:
     """Candidate pairs (a, b, open, short) in whole buckets: rows are sorted by group, then n. Open pairs come from a bucket that may hold
     others, short ones from a group with an odd number, where ``ahead`` is the 64-bit print.
 
-    ``most`` is 0 for trees in large buckets, or the length of the lists.
+    ``most`` is 0 for trees in buckets, or the length of the lists. ``whole`` holds prints and counts of the rows, if pairs are ruled out here.
     """
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
@@ -225,28 +288,37 @@ def bucket_pairs(group: np.ndarray, n: np.ndarray, node: np.ndarray, ahead: np.n
     out_a, out_b, out_open, out_short = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, bool)]
     short = (group & 1).astype(bool)
     rows, offset = np.flatnonzero((per_row > 1) & (per_row <= SMALL)), 1
+    small = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     while len(rows):
         rows = rows[rows + offset < len(group)]
         other = rows + offset
         alike = (group[other] == group[rows]) & (n[rows] >= SIMILARITY * n[other])
         rows, other = rows[alike], other[alike]  # n ascends: whoever is too far here stays so
         ok = meets(ahead[rows] ^ ahead[other], short[rows]) & (root[rows] != root[other])
-        out_a.append(node[rows[ok]])
-        out_b.append(node[other[ok]])
-        out_open.append(np.zeros(int(ok.sum()), bool))
-        out_short.append(short[rows[ok]])
+        ok[ok] = ruled_in(n, whole, short[rows[ok]], rows[ok], other[ok])
+        small.append((rows[ok], other[ok]))
         offset += 1
+    rows, other = (np.concatenate(x) for x in zip(*small))
+    keep, is_open = np.ones(len(rows), bool), np.zeros(len(rows), bool)
+    if not most:
+        x = ahead[rows] ^ ahead[other]
+        level = sum(~meets(x, short[rows], share) for share in LEVELS[:-1])
+        keep, is_open = spanning(group[rows], level, rows, other)
+    out_a.append(node[rows[keep]])
+    out_b.append(node[other[keep]])
+    out_open.append(is_open[keep])
+    out_short.append(short[rows[keep]])
     for s, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
         mine = slice(s, s + size)
         if most:
-            found = [closest(n[mine], ahead[mine], root[mine], most, short[s])]
+            a, b, is_open = closest(n[mine], ahead[mine], root[mine], most, short[s], whole and tuple(x[mine] for x in whole))
         else:
-            found = [(a, b, [True] * len(a)) for a, b in (forest(n[mine], ahead[mine], share, short[s]) for share in LEVELS)]
-        for a, b, is_open in found:
-            out_a.append(node[mine][np.array(a, np.int64)])
-            out_b.append(node[mine][np.array(b, np.int64)])
-            out_open.append(np.array(is_open, bool))
-            out_short.append(np.full(len(a), short[s]))
+            a, b = forest(n[mine], ahead[mine], short[s])
+            is_open = [True] * len(a)
+        out_a.append(node[mine][np.array(a, np.int64)])
+        out_b.append(node[mine][np.array(b, np.int64)])
+        out_open.append(np.array(is_open, bool))
+        out_short.append(np.full(len(a), short[s]))
     a, b, marks = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_open) + 2 * np.concatenate(out_short)
     pairs = np.stack([np.minimum(a, b), np.maximum(a, b), marks], axis=1)[a != b]
     pairs = np.unique(pairs, axis=0)
@@ -254,7 +326,10 @@ def bucket_pairs(group: np.ndarray, n: np.ndarray, node: np.ndarray, ahead: np.n
 
 
 def candidate_pairs(keys: DataFrame, hot: int = HOT, most: int = 0) -> DataFrame:
-    """(a, b, open, short): candidates of all buckets of ``keys`` (key, n, node, ahead, root), each pair once. Odd keys hold 64-bit prints."""
+    """(a, b, open, short): candidates of all buckets of ``keys`` (key, n, node, ahead, root), each pair once. Odd keys hold 64-bit prints.
+
+    With ``most``, rows also have ``print`` and ``counts``, by which pairs are ruled out.
+    """
     # One node in sixteen tells which buckets are crowded; it decides how they are cut, not what is found.
     sampled = keys.where(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0).groupBy("key").count()
     limit = max(1, hot // COUNTED // 2)
@@ -273,7 +348,10 @@ def candidate_pairs(keys: DataFrame, hot: int = HOT, most: int = 0) -> DataFrame
     # Buckets whose hashes agree meet as one: that adds candidates and loses none.
     odd = F.col("key").bitwiseAND(F.lit(1))
     group = F.shiftleft(F.xxhash64("key", tile), 1).bitwiseOR(odd)
-    rows = keys.select(group.alias("group"), "n", "node", "ahead", "root")
+    rows = keys.select(group.alias("group"), "n", "node", "ahead", "root", *(["print", "counts"] if most else []))
+
+    def pairs_of(block):
+        return bucket_pairs(*block[:5], most, block[5:] or None)
 
     def run(batches):
         held = None
@@ -284,6 +362,7 @@ def candidate_pairs(keys: DataFrame, hot: int = HOT, most: int = 0) -> DataFrame
                 batch.column(2).to_numpy(),
                 batch.column(3).to_numpy().view("<u8"),
                 batch.column(4).to_numpy(),
+                *(_matrix(batch.column(5 + i), kind) for i, kind in enumerate(("<u8", "<u2") if most else ())),
             )
             if held is not None:
                 block = tuple(np.concatenate(x) for x in zip(held, block))
@@ -292,9 +371,9 @@ def candidate_pairs(keys: DataFrame, hot: int = HOT, most: int = 0) -> DataFrame
             cut = int(np.searchsorted(block[0], block[0][-1]))  # the last bucket may go on in the next batch
             held = tuple(x[cut:] for x in block)
             if cut:
-                yield _pair_batch(*bucket_pairs(*(x[:cut] for x in block), most))
+                yield _pair_batch(*pairs_of(tuple(x[:cut] for x in block)))
         if held is not None and len(held[0]):
-            yield _pair_batch(*bucket_pairs(*held, most))
+            yield _pair_batch(*pairs_of(held))
 
     by_group = rows.repartition("group").sortWithinPartitions("group", "n", "node")
     return by_group.mapInArrow(run, "a long, b long, open boolean, short boolean").groupBy("a", "b").agg(
@@ -306,6 +385,23 @@ def _pair_batch(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "open", "short"])
 
 
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Binary values of one length, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def part_counts(sets: DataFrame) -> DataFrame:
+    """(node, counts): how many of the shingles of each row of ``sets`` (node, grams) lie in each part of the hash space."""
+
+    def run(batches):
+        for batch in batches:
+            counts = [np.bincount(row.values.to_numpy().view("<u8") % np.uint64(PARTS), minlength=PARTS) for row in batch.column(1)]
+            packed = [np.minimum(x, 65535).astype("<u2").tobytes() for x in counts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "counts"])
+
+    return sets.select("node", "grams").mapInArrow(run, "node long, counts binary")
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(node, grams) of every row with words."""
 
@@ -323,6 +419,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select(text_bytes()).mapInArrow(run, "node long, grams array<long>")
 
 
+def _print_bytes() -> Column:
+    """The wide print of a row as bytes; their order is the same in every row, which is all that counting bits needs."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(p), 16, "0") for p in _P]))
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFrame:
     """(a, b): verified links between nodes of ``prints``, the wide prints of ``docs``.
 
@@ -339,11 +440,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFra
     apart = sum((F.bit_count(F.col(p + "a").bitwiseXOR(F.col(p + "b"))) for p in _P), F.lit(0))
     checked = links = sets = None
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def gather(wanted: DataFrame) -> None:
+        """Read the shingles of nodes whose shingles are not yet read."""
         nonlocal sets
-        near = pairs.join(sides["a"], "a").join(sides["b"], "b").where(F.col("short") | (apart <= RADIUS)).select("a", "b", "na", "nb")
-        near = materialize(near, "copies-near")
-        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if sets is not None:
             wanted = wanted.join(sets, "node", "left_anti")
         wanted = materialize(wanted, "copies-wanted")
@@ -353,6 +452,11 @@ def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFra
         new = shingle_sets(texts).join(wanted, "node", "left_semi").dropDuplicates(["node"])
         new = materialize(new, "copies-sets")
         sets = new if sets is None else sets.unionByName(new)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(sides["a"], "a").join(sides["b"], "b").where(F.col("short") | (apart <= RADIUS)).select("a", "b", "na", "nb")
+        near = materialize(near, "copies-near")
+        gather(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = near.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
         shared = F.size(F.array_intersect("ga", "gb"))
         return materialize(both.where(shared >= SIMILARITY * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "copies-found")
@@ -362,7 +466,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFra
         keys = chain_keys(active).withColumn("key", F.col("key").cast("long") * 2)
         keys = keys.unionByName(active.join(rings, "node").select(F.col("ring").alias("key"), "n", "node", F.col("fp").alias("ahead")))
         if most:
-            keys = keys.join(active.select("node", "root"), "node")
+            keys = keys.join(active.select("node", "root", _print_bytes().alias("print"), "counts"), "node")
         else:
             keys = keys.withColumn("root", F.col("node"))
         pairs = candidate_pairs(keys, hot, most)
@@ -388,7 +492,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFra
             if doubtful.isEmpty():
                 return links
             active = active.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            active = active.join(doubtful, "root", "left_semi")
+            active = materialize(active.join(doubtful, "root", "left_semi"), "copies-active")
+            gather(active.select("node"))
+            active = active.join(part_counts(sets.join(active.select("node"), "node", "left_semi")), "node")
         else:
             active = active.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         active = materialize(active, "copies-active")

@@ -521,3 +521,28 @@ def test_parts_become_placeholders(spark):
     row = chat.format_turns(df).first()
     assert row.piece == "<|im_start|>user\nsee<|image_1|><|audio_2|><|document_3|><|im_end|>\n"
     assert [(a.ref, a.tokens) for a in row.attachments] == [("a.png", 6), ("b.wav", 50), ("c.pdf", 768)]
+
+
+def test_groups_of_copies_give_trees_and_lists_hold_only_what_may_be_similar():
+    """Pairs that leave the buckets grow with the rows, not with their square, in both kinds of round; nothing similar is ruled out."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**63, 200).astype("<u8")
+    # 25 of 200 shingles replaced in each: every two are about 0.77 alike, and near by their prints.
+    sets = [np.unique(np.concatenate([np.delete(base, rng.choice(200, 25, replace=False)), rng.integers(0, 2**63, 25).astype("<u8")])) for _ in range(120)]
+    n = np.array([len(x) for x in sets])
+    prints = np.packbits(near_copies.tallies(sets) > 0, axis=1, bitorder="little").view("<u8")
+    parts = np.stack([np.bincount(x % np.uint64(near_copies.PARTS), minlength=near_copies.PARTS) for x in sets]).astype("<u2")
+    i, j = np.triu_indices(120, 1)
+    shared = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    alike = shared >= near_copies.SIMILARITY * (n[i] + n[j] - shared)
+    allowed = near_copies.ruled_in(n, (prints, parts), False, i, j)
+    near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1) <= near_copies.RADIUS
+    assert not (alike & near & ~allowed).any() and allowed.sum() < 0.2 * near.sum() and near.sum() > 500
+    node, ahead, same = np.arange(120), np.zeros(120, "<u8"), np.zeros(120, np.int64)
+    for size in (near_copies.SMALL, 120):
+        a, b, is_open, _ = near_copies.bucket_pairs(same[:size], np.sort(n)[:size], node[:size], ahead[:size], node[:size])
+        assert len(a) == size - 1 and is_open.all() and set(a) | set(b) == set(range(size))
+    order = np.argsort(n, kind="stable")
+    whole = (prints[order], parts[order])
+    a, b, is_open, _ = near_copies.bucket_pairs(same, n[order], node, ahead, node, 1000, whole)
+    assert len(a) == allowed.sum() and not is_open.any()
