@@ -7,8 +7,8 @@ bucket, the next four and eight segments must stay within their proportional bud
 the similarity. The full Hamming distance and then the exact similarity of the shingle sets decide.
 
 A group of texts gives trees first, not pairs: per bucket one forest, grown over three budgets, so that texts are
-joined by the closest links there are. Where the exact check rejects a link of a tree, the components it would have joined meet again in
-rounds: each row lists its closest rows of other components, eight times as many from round to round, until no list is cut. Then every
+joined by the closest links there are. Of the links of trees with cycles cut only the closest of each row is verified at once. Where a link of a
+tree then lies between two components, because it was rejected or not verified, they meet again in rounds: each row lists its closest rows of other components, eight times as many from round to round, until no list is cut. Then every
 pair within budgets is in one component, verified, or ruled out. In these rounds rows carry their whole print and the counts of their shingles in 128 parts
 of the hash space: the shingles that two texts share are at most the smaller counts added up, so a pair that this or the radius rules out
 never leaves the bucket, and components that are really apart cost comparisons there but hardly a row. A bucket of
@@ -424,8 +424,28 @@ def _print_bytes() -> Column:
     return F.unhex(F.concat(*[F.lpad(F.hex(p), 16, "0") for p in _P]))
 
 
+def closest_links(near: DataFrame) -> DataFrame:
+    """Of the pairs ``near`` the one with the fewest differing bits for each of its nodes."""
+    rest = [c for c in near.columns if c not in "ab"]
+    each = [near.groupBy(s).agg(F.min_by(F.struct(o, *rest), F.struct("apart", o)).alias("best")).select(s, "best.*") for s, o in ("ab", "ba")]
+    return each[0].unionByName(each[1]).distinct()
+
+
+def with_roots(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the smallest nodes ra and rb that ``links`` (each node, its smallest node) join theirs to."""
+    for s in "ab":
+        pairs = pairs.join(links.toDF(s, f"r{s}"), s, "left").withColumn(f"r{s}", F.coalesce(f"r{s}", s))
+    return pairs
+
+
+def joined(links: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(a, b): each node and the smallest node that ``links`` and ``found`` join it to, if that is another."""
+    every = found if links is None else links.unionByName(found)
+    return materialize(connected(every).toDF("a", "b"), "copies-rounds")
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFrame:
-    """(a, b): verified links between nodes of ``prints``, the wide prints of ``docs``.
+    """(a, b): each node of ``prints``, the wide prints of ``docs``, and the smallest node that verified links join it to, if that is another.
 
     They join what all pairs within budgets and the radius, or within 3 bits of the 64-bit prints, that are 0.8 or more alike join.
     """
@@ -453,9 +473,11 @@ def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFra
         new = materialize(new, "copies-sets")
         sets = new if sets is None else sets.unionByName(new)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(sides["a"], "a").join(sides["b"], "b").where(F.col("short") | (apart <= RADIUS)).select("a", "b", "na", "nb")
-        near = materialize(near, "copies-near")
+    def within_radius(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(sides["a"], "a").join(sides["b"], "b").withColumn("apart", apart).where(F.col("short") | (F.col("apart") <= RADIUS))
+        return materialize(near.select("a", "b", "open", "short", "na", "nb", "apart"), "copies-near")
+
+    def verified(near: DataFrame) -> DataFrame:
         gather(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = near.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
         shared = F.size(F.array_intersect("ga", "gb"))
@@ -475,19 +497,20 @@ def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFra
         else:
             pairs = pairs.withColumn("known", F.lit(False))
         pairs = materialize(pairs.select("a", "b", "open", "short", F.coalesce("known", F.lit(False)).alias("known")), "copies-candidates")
-        new = pairs.where("NOT known").select("a", "b", "short")
-        found = verified(new)
+        near = within_radius(pairs.where("NOT known"))
+        if not most:
+            # Of the links of larger trees only the closest of each row: what the others may join meets again in the lists, unless ruled out there.
+            near = materialize(near.where("NOT open").unionByName(closest_links(near.where("open"))), "copies-first")
+        new = near.select("a", "b", "short")
         checked = new if checked is None else checked.unionByName(new)
-        links = found if links is None else links.unionByName(found)
+        links = joined(links, verified(near))
         doubtful = pairs.where("open").select("a", "b")
         if doubtful.isEmpty():
             return links
-        roots = materialize(connected(links), "copies-rounds")
+        roots = links.toDF("node", "root")
         if not most:
-            # A pair that no tree lists is within one component, or its two components each have a rejected link of that tree.
-            for s in "ab":
-                doubtful = doubtful.join(roots.toDF(s, f"r{s}"), s, "left").withColumn(f"r{s}", F.coalesce(f"r{s}", s))
-            doubtful = doubtful.where("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("root")).distinct()
+            # A pair that no tree lists is within one component, or its two components each have a link of that tree that joins nothing yet.
+            doubtful = with_roots(links, doubtful).where("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("root")).distinct()
             doubtful = materialize(doubtful, "copies-doubtful")
             if doubtful.isEmpty():
                 return links
@@ -504,8 +527,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, hot: int = HOT) -> DataFra
 def _rooted(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, text_key, root, component_id) of every row."""
     prints = materialize(wide_prints(docs), "copies-prints")
-    links = similar_links(docs, prints, hot)
-    roots = materialize(connected(links), "copies-roots")
+    roots = similar_links(docs, prints, hot).toDF("node", "root")
     rooted = prints.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left")
     rooted = materialize(rooted.select("node", "first", F.coalesce("root", "node").alias("root")), "copies-rooted")
     merged = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "copies-merged")

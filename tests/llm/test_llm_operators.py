@@ -426,6 +426,27 @@ def test_near_copies_check_64_bit_links(spark):
     assert sorted(r.doc_id for r in near_copies.keep_first(df).collect()) == [*range(1, 41), 50, 52]
 
 
+def test_large_groups_of_near_copies_need_few_links(spark, monkeypatch):
+    """One group of edited copies: all are joined, and the links that all rounds join grow with its texts, not with its buckets."""
+    rng = np.random.default_rng(6)
+    base, rows = [f"w{x}" for x in range(160)], []
+    for i in range(400):
+        words = list(base)
+        for at in rng.choice(len(words), int(rng.integers(1, 3)), replace=False):
+            words[at] = f"o{i}x{at}"
+        rows.append((i, " ".join(words), "a"))
+    joined, connected = [], near_copies.connected
+
+    def counted(links):
+        joined.append(links.count())
+        return connected(links)
+
+    monkeypatch.setattr(near_copies, "connected", counted)
+    got = near_copies.near_copy_groups(table(spark, rows)).collect()
+    assert len(got) == 400 and {r.component_id for r in got} == {0}
+    assert sum(joined) < 5 * 400
+
+
 # --- HTML ---------------------------------------------------------------------------------------
 
 
