@@ -54,6 +54,8 @@ cloudpickle.register_pickle_by_value(hashing)
 # The Poisson total of a replicate lies this many standard deviations below n; it passes n with a chance below 1e-15.
 SPARE_DEVIATIONS = 8.0
 EXTRA = "__extra_draws"
+# Single draws that one task makes, about.
+DRAWS_PER_TASK = 1_000_000
 # Rows of a block: its draws stay in the cache, and the sums of a block of areas fit into the lanes of one number.
 _BLOCK = 128
 _AREA_BLOCK = 128
@@ -316,12 +318,16 @@ def single_draws(df: DataFrame, key: str, n_replicates: int, seed: int = 42) ->
     block = 1 << 16
     starts = wanted.select("rep", "missing", F.explode(F.sequence(F.lit(0), F.col("missing") - 1, F.lit(block))).alias("at"))
     ends = F.least(F.col("at") + block, F.col("missing")) - 1
-    draws = starts.repartition("rep", "at").select("rep", F.explode(F.sequence("at", ends)).alias("draw"))
+    # The adaptive planner sees these few rows, not the draws they stand for: with a number of tasks it does not merge them into one.
+    tasks = max(spark.sparkContext.defaultParallelism, sum(missing) // DRAWS_PER_TASK)
+    draws = starts.repartition(tasks, "rep", "at").select("rep", F.explode(F.sequence("at", ends)).alias("draw"))
     place = wide_hash(F.concat_ws(":", "rep", "draw"), seed, STREAM_DRAW) % F.lit(max(n, 1))
     # A constant score ranks the units by key alone: a dense position without a global sort.
     flat = long_scores(df.select(key).withColumn("flat", F.lit(0.0)), {"": "flat"}, key, [])
     places = global_rank(flat).select(key, (F.col("rank") - 1).alias("position"))
-    return draws.select("rep", place.alias("position")).join(places, "position").select(key, "rep"), rate
+    # For the same reason it would send all draws through the driver to every task; both sides are large, so they are dealt by position.
+    routed = draws.select("rep", place.alias("position")).hint("merge")
+    return routed.join(places, "position").select(key, "rep"), rate
 
 
 def with_exact_draws(df: DataFrame, key: str, n_replicates: int, seed: int = 42) -> tuple[DataFrame, float]:

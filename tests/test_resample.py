@@ -121,6 +121,16 @@ def test_streamed_multinomial_equals_explicit_weights(frame, monkeypatch, rows_p
     assert plan.count("Generate") == plan.count("Generate inline")
 
 
+def test_single_draws_are_dealt_not_sent(frame):
+    """The few rows that stand for the draws looked small enough to send: all draws went through the driver, made by one task."""
+    draws, _ = resample.single_draws(frame, "unit_id", REPS, seed=3)
+    rows = draws.collect()
+    final = draws._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final and len(rows) > REPS
+    assert "SortMergeJoin [position" in final and "BroadcastHashJoin [position" not in final
+    assert "REPARTITION_BY_NUM" in final
+
+
 @pytest.mark.parametrize("n, replicates", [(1, 5), (3, 400), (40, 300), (900, 200)])
 def test_multinomial_moments(spark, n, replicates):
     """Exactly n draws; mean 1 and variance 1 - 1/n per unit, also for few units (rate 0)."""
